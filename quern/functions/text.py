@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
-INVISIBLE = "[​-‏⁠﻿­]"
 
 
 def blank(c: Column) -> Column:
