@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import source_key
-from quern.llm import mixing, sampling, splits, tokenizer
+from quern.llm import contamination, mixing, neardup, sampling, splits, tokenizer
 from quern.session import table, written
 
 
@@ -35,6 +35,34 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(p1_splits(spark, d), table(spark, d, "split_targets"))
 
 
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = table(spark, d, "dialogues")
+    named = splits.named_entities(t.select("dialogue_id", "symptom"), "dialogue_id", "symptom", vocabulary(spark, d))
+    both = t.select("dialogue_id", "patient_query", "split").join(named, "dialogue_id")
+    return contamination.cross_split_overlaps(both, "dialogue_id", "entity", "patient_query", "split")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.overlap_pairs(*_overlaps(spark, d), "dialogue_id").select("dialogue_id_a", "dialogue_id_b")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.overlap_report(table(spark, d, "dialogues"), *_overlaps(spark, d), "dialogue_id", "split", "source")
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cols = table(spark, d, "dialogues").select("dialogue_id", "patient_query", "reasoning_decision")
+    return neardup.near_duplicates(cols, "dialogue_id", ["patient_query", "reasoning_decision"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.duplicate_pairs(*_near(spark, d), "dialogue_id")
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.duplicate_groups(*_near(spark, d), "dialogue_id")
+
+
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dialogues").select("dialogue_id", "final_triage_decision")
 
@@ -86,7 +114,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p5_found, p5_sample, p5_report, p6_ids, p6_round_trip, p7_found, p7_mix, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_sample, p5_report, p6_ids, p6_round_trip, p7_found, p7_mix, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:

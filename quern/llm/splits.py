@@ -86,6 +86,12 @@ def name_links(df: DataFrame, name: str, vocabulary: DataFrame) -> DataFrame:
     return keys.select("key").join(known.unionByName(mended), "key", "left")
 
 
+def named_entities(df: DataFrame, key: str, name: str, vocabulary: DataFrame) -> DataFrame:
+    """``<key>`` and ``entity``, the vocabulary entry that the record's name is of; records that name none are left out."""
+    links = written(name_links(df, name, vocabulary).where("entity is not null"), "links")
+    return salted_lookup(df.select(key, name_key(name_words(F.col(name))).alias("key")), links, "key", key, how="inner").select(key, "entity")
+
+
 def entity_groups(df: DataFrame, key: str, name: str, vocabulary: DataFrame) -> DataFrame:
     """``<key>``, ``entity`` (null if the record names none) and ``component`` of every record.
 
