@@ -168,14 +168,17 @@ def candidates(prints: DataFrame, key: str) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-@F.pandas_udf("double")
-def shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of the words of the longer text that occur in the other too, repeats counted; words are parted by blanks."""
+def _shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):
         p, q = Counter(x.split(" ")), Counter(y.split(" "))
         out.append(sum((p & q).values()) / max(sum(p.values()), sum(q.values())))
-    return pd.Series(out)
+    return pd.Series(out, dtype="float64")
+
+
+def shared_words(a: Column | str, b: Column | str) -> Column:
+    """Share of the words of the longer text that occur in the other too, repeats counted; words are parted by blanks."""
+    return F.pandas_udf(_shared_words, "double")(a, b)
 
 
 def prose(c: Column) -> Column:
@@ -210,13 +213,28 @@ def near_duplicates(df: DataFrame, key: str, fields: list[str], similar: float =
     prints = written(fingerprints(texts.select("rep", F.concat_ws(" ", *fields).alias("_all")), "rep", "_all"), "prints")
     pairs = written(candidates(prints, "rep"), "candidates")
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    some = texts.join(ids, "rep", "left_semi")
-    x = some.select(F.col("rep").alias("a"), *(F.col(f).alias(f"_a{i}") for i, f in enumerate(fields)))
-    y = some.select(F.col("rep").alias("b"), *(F.col(f).alias(f"_b{i}") for i, f in enumerate(fields)))
+    some = written(texts.join(ids, "rep", "left_semi"), "candidate-texts")
+    links = written(_verified(pairs, some, fields, similar), "links")
+    more = written(_verified(_beside(links), some, fields, similar), "links")
+    return members, links.unionByName(more)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, fields: list[str], similar: float) -> DataFrame:
+    """The pairs ``a, b`` that are similar in every field, by their words."""
+    x = texts.select(F.col("rep").alias("a"), *(F.col(f).alias(f"_a{i}") for i, f in enumerate(fields)))
+    y = texts.select(F.col("rep").alias("b"), *(F.col(f).alias(f"_b{i}") for i, f in enumerate(fields)))
     both = pairs.join(x, "a").join(y, "b")
     for i in range(len(fields)):
         both = both.where(shared_words(f"_a{i}", f"_b{i}") >= similar)
-    return members, written(both.select("a", "b"), "links")
+    return both.select("a", "b")
+
+
+def _beside(links: DataFrame) -> DataFrame:
+    """Unlinked pairs with the same smallest neighbour: what the anchors may have missed of a family of copies."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
+    pairs = least.join(least.withColumnRenamed("a", "b"), "m").where("a < b").select("a", "b")
+    return pairs.join(links, ["a", "b"], "left_anti")
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
