@@ -13,9 +13,14 @@ def blank(c: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(c, r"[\p{Z}\s\p{Cf}]+", "")) == 0, F.lit(True))
 
 
+def plain(c: Column) -> Column:
+    """The words (runs of letters or digits) in lower case, parted by single blanks; empty text if there are none."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+
+
 def words(c: Column) -> Column:
     """Runs of letters or digits in lower case, in order; null stays null."""
-    return F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
+    return F.filter(F.split(plain(c), " "), lambda w: w != "")
 
 
 def tokens(c: Column) -> Column:
