@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.text import blank, words
+from quern.functions.text import blank, plain
 from quern.llm.components import connected_components
 from quern.session import written
 
@@ -29,7 +29,7 @@ BITS = 23
 TABLES = 6
 RADIUS = 3
 THRESHOLD = 1
-FAR = 0.27  # share of all fingerprint bits by which a compared pair may differ
+FAR = 0.23  # share of all fingerprint bits by which a compared pair may differ
 FIT_ROWS = 20_000
 SIMILAR = 0.75
 LAST = 2**18 - 1  # three tables share a long: 23 + 23 + 18 bits
@@ -181,10 +181,13 @@ def shared_words(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_shared_words, "double")(a, b)
 
 
-def prose(c: Column) -> Column:
-    """Words of a text parted by blanks; text without any letter or digit stands for itself; null for blank text."""
-    w = F.array_join(words(c), " ")
-    return F.when(~blank(c), F.when(w != "", w).otherwise(F.trim(c)))
+def prose(df: DataFrame, fields: list[str]) -> DataFrame:
+    """``df`` with each field as its words parted by blanks; text without any letter or digit stands for itself, blank text is null."""
+    raw = [F.col(f).alias(f"_raw_{f}") for f in fields]
+    t = df.select(*(c for c in df.columns if c not in fields), *raw, *(plain(F.col(f)).alias(f) for f in fields))
+    for f in fields:
+        t = t.withColumn(f, F.when(F.col(f) != "", F.col(f)).when(~blank(F.col(f"_raw_{f}")), F.trim(f"_raw_{f}")))
+    return t.select(*df.columns)
 
 
 def classes(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +196,7 @@ def classes(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, Data
     Records with a null or blank field are in neither. ``rep`` is the smallest key of the class; a class may hold any share of all
     records, as only keys are grouped. Repeated keys are one record.
     """
-    t = df.select(key, *(prose(F.col(f)).alias(f) for f in fields)).where(" and ".join(f"`{f}` is not null" for f in fields))
+    t = prose(df.select(key, *fields), fields).where(" and ".join(f"`{f}` is not null" for f in fields))
     t = t.withColumn("_class", F.md5(F.concat_ws("\u0000", *fields)))
     t = written(t, "texts")
     reps = t.groupBy("_class").agg(F.min(key).alias("rep"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import source_key
-from quern.llm import contamination, mixing, neardup, sampling, splits, tokenizer
+from quern.llm import answers, contamination, mixing, neardup, reading, sampling, splits, tokenizer
 from quern.session import table, written
 
 
@@ -63,6 +63,14 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_groups(*_near(spark, d), "dialogue_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defects(table(spark, d, "dialogues"), "dialogue_id", table(spark, d, "documents"))
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p4_found(spark, d).groupBy("field", "defect").agg(F.count(F.lit(1)).alias("answers"))
+
+
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dialogues").select("dialogue_id", "final_triage_decision")
 
@@ -113,8 +121,22 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.bands(p8_levels(spark, d))
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source and whole grade of their level."""
+    levels = p8_levels(spark, d).join(table(spark, d, "documents").select("doc_id", source_key(F.col("source")).alias("source_key")), "doc_id")
+    return levels.groupBy("source_key", F.floor("level").alias("level")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_sample, p5_report, p6_ids, p6_round_trip, p7_found, p7_mix, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_counts, p5_found, p5_sample, p5_report, p6_ids, p6_round_trip, p7_found, p7_mix, p7_report, p8_found, p8_levels, p8_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
