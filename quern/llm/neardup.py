@@ -168,17 +168,25 @@ def candidates(prints: DataFrame, key: str) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _shared_words(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        p, q = Counter(x.split(" ")), Counter(y.split(" "))
-        out.append(sum((p & q).values()) / max(sum(p.values()), sum(q.values())))
-    return pd.Series(out, dtype="float64")
+def _similar(x: str, y: str, least: float) -> bool:
+    """Whether of the words of the longer text at least ``least`` occur in the other too, repeats counted; words are parted by blanks."""
+    p, q = x.split(" "), y.split(" ")
+    longer = max(len(p), len(q))
+    if min(len(p), len(q)) < least * longer:
+        return False
+    return x == y or sum((Counter(p) & Counter(q)).values()) >= least * longer
 
 
-def shared_words(a: Column | str, b: Column | str) -> Column:
-    """Share of the words of the longer text that occur in the other too, repeats counted; words are parted by blanks."""
-    return F.pandas_udf(_shared_words, "double")(a, b)
+def similar_in_all(a: list[str], b: list[str], least: float) -> Column:
+    """Whether two texts are similar in each of the columns ``a`` against ``b``; the shorter columns are compared first."""
+
+    def run(*cols: pd.Series) -> pd.Series:
+        half = len(cols) // 2
+        order = sorted(range(half), key=lambda i: cols[i].str.len().sum())
+        keep = [all(_similar(row[i], row[half + i], least) for i in order) for row in zip(*cols)]
+        return pd.Series(keep, dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(*a, *b)
 
 
 def prose(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -201,9 +209,14 @@ def classes(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, Data
     t = written(t, "texts")
     reps = t.groupBy("_class").agg(F.min(key).alias("rep"))
     members = written(t.select(key, "_class").join(reps, "_class").select(key, "rep").distinct(), "members")
-    only = members.where(F.col(key) == F.col("rep")).select("rep").distinct()
-    texts = t.withColumnRenamed(key, "rep").join(only, "rep", "left_semi").select("rep", *fields)
-    return members, texts
+    copies = members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("rep"))
+    texts = t.withColumnRenamed(key, "rep").select("rep", *fields).join(copies, "rep", "left_anti")
+    return members, texts.dropDuplicates(["rep"]) if repeated(members, t) else texts
+
+
+def repeated(members: DataFrame, rows: DataFrame) -> bool:
+    """Whether keys repeat: fewer distinct keys than rows."""
+    return members.count() < rows.count()
 
 
 def near_duplicates(df: DataFrame, key: str, fields: list[str], similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -212,7 +225,6 @@ def near_duplicates(df: DataFrame, key: str, fields: list[str], similar: float =
     Similar means that of the longer text's words at least ``similar`` occur in the other. Null or blank fields match nothing.
     """
     members, texts = classes(df, key, fields)
-    texts = written(texts, "class-texts")
     prints = written(fingerprints(texts.select("rep", F.concat_ws(" ", *fields).alias("_all")), "rep", "_all"), "prints")
     pairs = written(candidates(prints, "rep"), "candidates")
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
@@ -227,9 +239,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, fields: list[str], similar: fl
     x = texts.select(F.col("rep").alias("a"), *(F.col(f).alias(f"_a{i}") for i, f in enumerate(fields)))
     y = texts.select(F.col("rep").alias("b"), *(F.col(f).alias(f"_b{i}") for i, f in enumerate(fields)))
     both = pairs.join(x, "a").join(y, "b")
-    for i in range(len(fields)):
-        both = both.where(shared_words(f"_a{i}", f"_b{i}") >= similar)
-    return both.select("a", "b")
+    n = range(len(fields))
+    return both.where(similar_in_all([f"_a{i}" for i in n], [f"_b{i}" for i in n], similar)).select("a", "b")
 
 
 def _beside(links: DataFrame) -> DataFrame:

@@ -26,11 +26,12 @@ SLOTS = 4096
 SEED = 42
 
 
-def name_words(c: Column) -> Column:
-    """The words of a name in one spelling: percent codes decoded, accents, ae/oe digraphs, case number and file suffix removed."""
+def name_words(c: Column, fold: bool = True) -> Column:
+    """The words of a name in one spelling: percent codes decoded, accents, case number and file suffix removed, ae/oe written e if ``fold``."""
     t = F.coalesce(F.try_url_decode(F.regexp_replace(c, r"\+", " ")), c)
     t = F.regexp_replace(F.lower(t), r"[\p{Cf}]+", "")
-    t = F.translate(F.regexp_replace(F.regexp_replace(t, "œ|oe", "e"), "æ|ae", "e"), ACCENTED, PLAIN)
+    t = F.regexp_replace(F.regexp_replace(F.translate(t, ACCENTED, PLAIN), "œ", "oe"), "æ", "ae")
+    t = F.regexp_replace(t, "[oa]e", "e") if fold else t
     t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
     return F.filter(F.split(F.regexp_replace(F.concat(F.lit(" "), F.trim(t)), SUFFIXES, ""), " "), lambda w: w != "")
 
@@ -49,15 +50,18 @@ def _stubs(word: Column) -> Column:
 def word_corrections(words: DataFrame, vocabulary: DataFrame, shortest: int = 4) -> DataFrame:
     """``word`` and the ``right`` vocabulary words within one edit (letter lost, added, changed or moved); words with digits have none.
 
-    Both frames have one column ``word``. Pairs meet on the words they become by losing a letter, so no two lists are crossed.
+    Both frames have ``word`` and ``raw``, the word before ae and oe are folded, as an edit may fall on these. Pairs meet on what
+    their words or raw words become by losing a letter, so no two lists are crossed.
     """
-    plain = F.length("word") >= shortest
     letters = ~F.col("word").rlike(r"\p{N}")
-    a = words.where(plain & letters).withColumn("stub", F.explode(_stubs(F.col("word"))))
-    b = vocabulary.where((F.length("word") >= shortest - 1) & letters).select(F.col("word").alias("right")).withColumn("stub", F.explode(_stubs(F.col("right"))))
-    same = F.array_sort(F.split("word", "")) == F.array_sort(F.split("right", ""))
-    near = a.join(b, "stub").where((F.levenshtein("word", "right") <= 1) | ((F.length("word") == F.length("right")) & same))
-    return near.groupBy("word").agg(F.collect_set("right").alias("right"))
+    stubs = lambda: F.explode(F.array_union(_stubs(F.col("word")), _stubs(F.col("raw")))).alias("stub")
+    a = words.where((F.length("raw") >= shortest) & letters).select("word", "raw", stubs())
+    b = vocabulary.where((F.length("raw") >= shortest - 1) & letters).select("word", "raw", stubs()).withColumnsRenamed({"word": "right", "raw": "right_raw"})
+    near = F.lit(False)
+    for x, y in (("word", "right"), ("raw", "right_raw")):
+        moved = (F.length(x) == F.length(y)) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, "")))
+        near = near | (F.levenshtein(x, y) <= 1) | moved
+    return a.join(b, "stub").where(near).groupBy("word").agg(F.collect_set("right").alias("right"))
 
 
 def name_links(df: DataFrame, name: str, vocabulary: DataFrame) -> DataFrame:
@@ -66,14 +70,16 @@ def name_links(df: DataFrame, name: str, vocabulary: DataFrame) -> DataFrame:
     ``vocabulary`` has ``entity`` and ``name`` (one row a name, thousands at most). A key that is no vocabulary key is tried with
     the corrections of its unknown words; all combinations are looked up and those of one entity count.
     """
-    names = vocabulary.select("entity", name_words(F.col("name")).alias("words")).withColumn("key", name_key(F.col("words")))
+    spelled = lambda c: (name_words(F.col(c)).alias("words"), name_words(F.col(c), fold=False).alias("raws"))
+    names = vocabulary.select("entity", *spelled("name")).withColumn("key", name_key(F.col("words")))
     known = names.where("key is not null").groupBy("key").agg(F.min("entity").alias("entity"), F.count_distinct("entity").alias("n")).where("n = 1").drop("n")
-    keys = df.select(name_words(F.col(name)).alias("words")).withColumn("key", name_key(F.col("words"))).where("key is not null")
-    keys = written(keys.groupBy("key").agg(F.first("words").alias("words")), "names")
-    vocab_words = names.select(F.explode("words").alias("word")).distinct()
+    keys = df.select(F.col(name).alias("_name")).distinct().select(*spelled("_name")).withColumn("key", name_key(F.col("words"))).where("key is not null")
+    keys = written(keys.groupBy("key").agg(F.min_by(F.struct("words", "raws"), F.array_join("raws", " ")).alias("w")).select("key", "w.*"), "names")
+    pairs = lambda: F.explode(F.arrays_zip("words", "raws")).alias("w")
+    vocab_words = names.select(pairs()).select(F.col("w.words").alias("word"), F.col("w.raws").alias("raw")).distinct()
     open_ = keys.join(F.broadcast(known), "key", "left_anti")
-    parts = open_.select("key", F.posexplode("words").alias("pos", "word"))
-    unknown = parts.select("word").distinct().join(F.broadcast(vocab_words), "word", "left_anti")
+    parts = open_.select("key", F.posexplode(F.arrays_zip("words", "raws")).alias("pos", "w")).select("key", "pos", F.col("w.words").alias("word"), F.col("w.raws").alias("raw"))
+    unknown = parts.select("word", "raw").distinct().join(F.broadcast(vocab_words.select("word").distinct()), "word", "left_anti")
     fixes = written(word_corrections(unknown, vocab_words), "corrections")
     tried = parts.join(fixes, "word", "left").withColumn("right", F.coalesce("right", F.array("word")))
     tried = tried.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "right"))).alias("slots"), F.max((F.size("right") > 1) | (F.col("right")[0] != F.col("word"))).alias("fixed"))
