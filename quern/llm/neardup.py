@@ -1,7 +1,7 @@
 """Near-duplicate records by anchor-point covering.
 
-A record's fingerprint is a row of short binary words, each 23 bits: signs of seeded random projections of its word counts, cut
-at the corpus's medians. The anchors of each table are the 4,096 codewords of the perfect binary Golay code, a covering code of
+A record's fingerprint is a row of short binary words, each 23 bits: signs of seeded random projections of its word counts, from
+which the corpus's mean and leading directions are taken off. The anchors of each table are the 4,096 codewords of the perfect binary Golay code, a covering code of
 radius 3: every word lies within 3 bits of exactly one codeword, its home. A record goes to its home and, as a visitor, to every
 anchor within covering radius plus threshold, 3 + 1 bits (5.3 on average); homes are compared with visitors at each anchor. Words
 that differ by at most the threshold always meet; pairs with more flips meet in one of the tables with high probability. Pairs
@@ -31,6 +31,8 @@ RADIUS = 3
 THRESHOLD = 1
 FAR = 0.23  # share of all fingerprint bits by which a compared pair may differ
 FIT_ROWS = 20_000
+LEADING = 8
+FEW = 200_000
 SIMILAR = 0.75
 LAST = 2**18 - 1  # three tables share a long: 23 + 23 + 18 bits
 GENERATOR = 0b101011100011  # fixed value: generator polynomial of the binary Golay code
@@ -105,27 +107,36 @@ def projections(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _fit(df: DataFrame, text: str, sample: int) -> np.ndarray:
-    """Median of each projection over about ``sample`` records, chosen by a hash of their text; one row of numbers comes to the driver."""
+def _fit(df: DataFrame, text: str, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the projections and their ``LEADING`` principal directions over about ``sample`` records, chosen by a hash of their text.
+
+    Records of one language or template share these directions; without them their fingerprints are as far apart as any others.
+    The bounded sample is summed up in eight tasks, each of which sends one row of sums.
+    """
+    d = TABLES * BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, top, outer = 0, np.zeros(d), np.zeros((d, d))
         for b in batches:
-            p = projections(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(p))], names=["p"])
+            p = projections(b.column(0).to_pylist()).astype(np.float64)
+            n, top, outer = n + len(p), top + p.sum(0), outer + p.T @ p
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([top.tolist()]), pa.array([outer.ravel().tolist()])], names=["n", "top", "outer"])
 
     n = max(1, df.count())
     some = df.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n)))
-    p = some.select(text).mapInArrow(run, "p array<int>")
-    mid = p.agg(*(F.percentile_approx(F.col("p")[i], 0.5).alias(f"m{i}") for i in range(TABLES * BITS))).first()
-    return np.array([m or 0 for m in mid], np.int32)
+    rows = some.select(text).repartition(8).mapInArrow(run, "n long, top array<double>, outer array<double>").collect()
+    n = max(1, sum(r["n"] for r in rows))
+    mean = np.sum([r["top"] for r in rows], axis=0) / n
+    cov = np.sum([r["outer"] for r in rows], axis=0).reshape(d, d) / n - np.outer(mean, mean)
+    return mean, np.linalg.eigh(cov)[1][:, ::-1][:, :LEADING]
 
 
 def fingerprints(df: DataFrame, key: str, text: str, sample: int = FIT_ROWS) -> DataFrame:
     """``key``, ``print`` (a long for three tables), ``homes`` and ``near`` (anchor ids; the table is part of the id) of each record.
 
-    ``text`` is words parted by single blanks. The medians are fitted on about ``sample`` records; every record is indexed.
+    ``text`` is words parted by single blanks. Centre and directions are fitted on about ``sample`` records; every record is indexed.
     """
-    cut = _fit(df, text, sample)
+    mean, lead = _fit(df, text, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
@@ -133,7 +144,8 @@ def fingerprints(df: DataFrame, key: str, text: str, sample: int = FIT_ROWS) ->
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
-                bits = projections(b.column(1).to_pylist()) > cut
+                p = projections(b.column(1).to_pylist()) - mean
+                bits = p - (p @ lead) @ lead.T > 0
                 w = (bits.reshape(-1, BITS) * weights).sum(1).reshape(-1, TABLES)
                 home, near, n = golay.anchors(w.ravel())
                 table = np.tile(np.arange(TABLES) << 12, b.num_rows)
@@ -209,11 +221,18 @@ def classes(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, Data
     t = written(t, "texts")
     reps = t.groupBy("_class").agg(F.min(key).alias("rep"))
     members = written(t.select(key, "_class").join(reps, "_class").select(key, "rep").distinct(), "members")
-    copies = members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("rep"))
-    texts = t.withColumnRenamed(key, "rep").select("rep", *fields).join(copies, "rep", "left_anti")
+    texts = without_copies(t, members, key).select("rep", *fields)
     return members, texts.dropDuplicates(["rep"]) if repeated(members, t) else texts
 
 
+def without_copies(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """The rows of each class's ``rep``, their key under that name. Up to ``FEW`` copies (a few MB) are broadcast, which spares a shuffle of all texts."""
+    copies = members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("rep"))
+    if copies.limit(FEW + 1).count() <= FEW:
+        copies = F.broadcast(copies)
+    return rows.withColumnRenamed(key, "rep").join(copies, "rep", "left_anti")
+
+
 def repeated(members: DataFrame, rows: DataFrame) -> bool:
     """Whether keys repeat: fewer distinct keys than rows."""
     return members.count() < rows.count()
