@@ -139,5 +139,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_counts, p5_found, p5_sample, p5_report, p6_ids, p6_round_trip, p7_found, p7_mix, p7_report, p8_found, p8_levels, p8_profile)}
 
 
+_CATEGORY = r"""cat AS (SELECT CASE
+    WHEN regexp_matches(t, '\b(error|err|exception|failed|failure|timeout|timed out|traceback|crash(ed)?)\b') THEN 'ERROR'
+    WHEN regexp_matches(t, '\b(un|not |in)(known|decided|determined|clear|certain|sure|specified|stated|available|conclusive)\b|\bundetermined\b|\b(unkn?|na|n a|none|null|nil|nan|tbd|tbc|pending)\b') THEN 'UNKNOWN'
+    WHEN regexp_matches(t, '\b(ed|er|ae|a&e|a & e|emergency|emergencies|ambulance|hospital|111|911|999)\b') THEN 'ED'
+    WHEN regexp_matches(t, '\b(gp|gps|general pract\w*|practitioner|practice|family (doctor|physician)|doctors?|physician|clinic|primary care|medical cent(re|er))\b') THEN 'GP'
+    WHEN regexp_matches(t, '\b(home|self ?care|selfcare|self manage\w*|self treat\w*|pharmacy|rest)\b') THEN 'HOME' ELSE 'UNKNOWN' END AS category
+    FROM (SELECT regexp_replace(trim(regexp_replace(lower(coalesce(final_triage_decision, '')), '[^\p{L}\p{N}&]+', ' ', 'g')), '\b(e|g|a) (d|p|e)\b', '\1\2', 'g') AS t FROM dialogues))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where the whole operator can be said in it; the others are tested against brute force, round trips and held-out rows."""
+    return {
+        "p5_found": f"""WITH {_CATEGORY}, n AS (SELECT category, count(*) AS n FROM cat GROUP BY category), total AS (SELECT count(*) AS rows_ FROM cat)
+            SELECT plan, t.category FROM sample_targets t LEFT JOIN n USING (category) CROSS JOIN total
+            WHERE coalesce(n, 0) < greatest(target_share, min_share)::DECIMAL(9, 6) * sample_share::DECIMAL(9, 6) * rows_"""
+    }
