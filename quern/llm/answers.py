@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import words
+from quern.functions.text import plain
 from quern.session import written
 
 FIT_DOCS = 2_000
@@ -31,36 +31,44 @@ OPENING = 5
 
 #: Placeholders that say nothing, once all but letters and digits is gone.
 PLACEHOLDERS = "n a|na|n d|null|nul|none|nil|nan|tbd|tba|tbc|todo|blank|empty|no (answer|response|reply|text|content|data)|not (available|applicable|provided|specified|given)|undefined|missing|placeholder|answer here|lorem ipsum"
-#: What a refusal says; each pattern names the answering itself, so that "can't sleep" or "can't see it from here" are none.
+#: What a refusal says, in words parted by blanks; each pattern names the answering itself, so that "can t sleep" or "can t see it from here" are none.
 REFUSALS = [
-    r"\b(can ?(no|')?t|cant|cannot|can not|could not|couldn't|won't|will not|unable to|not able to|not (going|allowed|permitted|authori[sz]ed) to|must not|may not|do not feel able to) (be able to |be in a position to )?(help|assist|answer|comply|continue|discuss|respond|engage|advise|reply|diagnose|give (you )?(any )?(medical|health) advice|offer (you )?(any )?(medical|health)|provide|talk about|comment|fulfil|support (this|that|your) request)",
+    r"\b(can ?t|cannot|can not|could not|couldn t|won t|will not|unable to|not able to|not (going|allowed|permitted|authori[sz]ed) to|must not|may not|not feel able to) (be able to |be in a position to )?(help|assist|answer|comply|continue|discuss|respond|engage|advise|reply|diagnose|give (you )?(any )?(medical|health) advice|offer (you )?(any )?(medical|health)|provide|talk about|comment|fulfil|support (this|that|your) request)",
     r"\b(have|need|forced|obliged) to (decline|refuse)\b|\bi (must |respectfully )?(decline|refuse)\b|\b(request|question|prompt|query|answer) (was |is |has been )?(declined|refused|rejected|denied|blocked)\b|\bdeclined to (answer|respond)\b",
-    r"\bas an? (ai|a i|artificial intelligence|(large )?language model|assistant|virtual assistant|chatbot|bot)\b|\bi('m| am) (just |only )?an? (ai|artificial intelligence|(large )?language model|chatbot)\b",
-    r"\b(guidelines|policy|policies|rules|instructions|programming) (do not|don't|does not|doesn't|forbids?|prevents?|prohibits?|not) ?(allow|permit|let|me)?|\bviolates? (the |our |my )?[a-z ]{0,20}(policy|policies|guidelines|terms)\b|\bno answer was produced\b|\bagainst (my|our|the) (policy|policies|guidelines|rules)\b",
-    r"\b(rather|prefer) not (to )?(answer|say anything|comment|discuss|respond|help)\b|\boutside (of )?(my|the|what i)\b[a-z' ]{0,30}\b(scope|remit|permitted|allowed|able|capabilities|expertise)\b|\bnot something i (can|am able to|'m able to)\b|\bnot comfortable (answering|discussing|with)\b",
+    r"\bas an? (ai|a i|artificial intelligence|(large )?language model|assistant|virtual assistant|chatbot|bot)\b|\bi (m|am) (just |only )?an? (ai|artificial intelligence|(large )?language model|chatbot)\b",
+    r"\b(guidelines|policy|policies|rules|instructions|programming) (do not|don t|does not|doesn t|forbids?|prevents?|prohibits?|not) ?(allow|permit|let|me)?|\bviolates? (the |our |my )?[a-z ]{0,20}(policy|policies|guidelines|terms)\b|\bno answer was produced\b|\bagainst (my|our|the) (policy|policies|guidelines|rules)\b",
+    r"\b(rather|prefer) not (to )?(answer|say anything|comment|discuss|respond|help)\b|\boutside (of )?(my|the|what i)\b[a-z ]{0,30}\b(scope|remit|permitted|allowed|able|capabilities|expertise)\b|\bnot something i (can|am able to|m able to)\b|\bnot comfortable (answering|discussing|with)\b",
 ]
+#: One of these is in every refusal; looking for them first spares the patterns on most texts.
+REFUSAL_MARKS = ["can t", "cant ", "cannot", "can not", "not", "won t", "unable to", "declin", "refus", "rejected", "denied", "blocked", " ai", "intelligence", "language model", "assistant", "bot", "guidelines", "polic", "rules", "instructions", "programming", "violate", "outside"]
 FIELDS = {"clarifying_question": "patient_query", "patient_response": "clarifying_question", "reasoning_decision": "patient_query"}
 
 
-def says_nothing(c: Column) -> Column:
-    """Null, blank, without letters or digits, or a placeholder. A placeholder closed by a full stop is an answer."""
-    t = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return (t == "") | (t.rlike(f"^({PLACEHOLDERS})$") & ~F.coalesce(c, F.lit("")).rlike(r"\p{L}[.!?]\s*$"))
+def says_nothing(c: Column, said: Column) -> Column:
+    """Null, blank, without letters or digits, or a placeholder; ``said`` are the words of ``c``. A placeholder closed by a full stop is an answer."""
+    holder = (F.length(said) <= 24) & said.rlike(f"^({PLACEHOLDERS})$")
+    return F.coalesce(said == "", F.lit(True)) | (holder & ~c.rlike(r"\p{L}[.!?]\s*$"))
 
 
-def refuses(c: Column) -> Column:
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[’‘`]", "'")
-    out = F.lit(False)
+def refuses(said: Column) -> Column:
+    """Whether words parted by blanks decline to answer."""
+    mark, out = F.lit(False), F.lit(False)
+    for m in REFUSAL_MARKS:
+        mark = mark | F.contains(said, F.lit(m))
     for p in REFUSALS:
-        out = out | t.rlike(p)
-    return out
+        out = out | said.rlike(p)
+    return F.coalesce(mark & out, F.lit(False))
 
 
-def copies(answer: Column, question: Column, whole: float = 0.8, part: float = 0.6) -> Column:
-    """Whether the distinct words of a question mostly come again in the answer and the answer has little else."""
-    a, q = F.array_distinct(words(answer)), F.array_distinct(words(question))
+def copies(said: Column, asked: Column, whole: float = 0.8, part: float = 0.6) -> Column:
+    """Whether the distinct words of a question mostly come again in the answer and the answer has little else.
+
+    Both are words parted by blanks. An answer of under a third or over four times the question's length is not looked at.
+    """
+    a, q = F.array_distinct(F.split(said, " ")), F.array_distinct(F.split(asked, " "))
     both = F.size(F.array_intersect(a, q))
-    return F.coalesce((F.size(q) >= 3) & (both >= whole * F.size(q)) & (both >= part * F.size(a)), F.lit(False))
+    alike = (F.length(said) * 3 >= F.length(asked)) & (F.length(said) <= F.length(asked) * 4)
+    return F.coalesce(alike & (F.size(q) >= 3) & (both >= whole * F.size(q)) & (both >= part * F.size(a)), F.lit(False))
 
 
 def _trigrams(text: str) -> np.ndarray:
@@ -209,9 +217,9 @@ def cut_off(open_: DataFrame, counts: DataFrame) -> DataFrame:
     t = t.join(starts.join(rare, "_one", "left_semi").withColumn("_begins", F.lit(True)), "_one", "left")
     two, one = F.col("_two_e") + F.col("_two_g"), F.col("_one_e") + F.col("_one_g")
     cut = (
-        F.when(F.col("_mark"), True)
+        F.when(F.col("_mark") | ((one < SEEN) & F.coalesce("_begins", F.lit(False))), True)
         .when((F.col("_n") <= OPENING) & (F.col("_all_e") + F.col("_all_g") > 0), F.col("_all_g") > F.col("_all_e"))
-        .when(one < SEEN, F.coalesce("_begins", F.lit(False)))
+        .when(one < SEEN, False)
         .when(two >= SEEN, F.col("_two_e") < ENDS * two)
         .otherwise(F.col("_one_e") < ENDS * one)
     )
@@ -230,12 +238,14 @@ def defects(df: DataFrame, key: str, docs: DataFrame, doc_text: str = "text", do
         differs = other_language(query, list(fields), names, shipped)
     else:
         differs = F.array(*(F.lit(False) for _ in fields))
-    cells = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.col(q).alias("question"), F.col("_d")[i].alias("differs")) for i, (f, q) in enumerate(fields.items())]
-    rows = df.select(key, *dict.fromkeys([query, *fields, *fields.values()])).withColumn("_d", differs).select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*")
+    names_ = list(dict.fromkeys([query, *fields, *fields.values()]))
+    wide = df.select(key, *names_).withColumn("_d", differs)
+    wide = wide.select(key, "_d", *(F.col(f).alias(f"_t_{f}") for f in fields), *(plain(F.col(f)).alias(f"_w_{f}") for f in names_))
+    cells = [F.struct(F.lit(f).alias("field"), F.col(f"_t_{f}").alias("text"), F.col(f"_w_{f}").alias("said"), F.col(f"_w_{q}").alias("asked"), F.col("_d")[i].alias("differs")) for i, (f, q) in enumerate(fields.items())]
+    rows = wide.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*")
     closed = F.rtrim("text").rlike(r"""[.!?]["'”’)\]]*$""") & ~F.rtrim("text").rlike(r"\.\.\.$")
-    defect = (
-        F.when(says_nothing(F.col("text")), "empty").when(refuses(F.col("text")), "refusal").when(copies(F.col("text"), F.col("question")), "copy").when(F.col("differs"), "language").when(~closed, "open")
-    )
+    said = F.col("said")
+    defect = F.when(says_nothing(F.col("text"), said), "empty").when(refuses(said), "refusal").when(copies(said, F.col("asked")), "copy").when(F.col("differs"), "language").when(~closed, "open")
     rows = written(rows.select(key, "field", defect.alias("defect"), F.when(defect == "open", F.col("text")).alias("text")).where("defect is not null"), "defects")
     texts = df.select(F.explode(F.array(*fields)).alias("text")).where("text is not null")
     counts = written(ending_counts(texts), "endings")
