@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.functions.text import source_key
+from quern.functions.text import plain, source_key
 from quern.llm import answers, mixing, reading, sampling, tokenizer
 
 JSON = "/opt/tokenizers/byte_bpe_50k.json"
@@ -134,7 +134,7 @@ def test_defects(spark, small):
 
 @pytest.mark.parametrize("text, want", [("can't sleep, sorry", False), ("Sorry, I'm not able to see it from here; can you say more?", False), ("As an AI model, I must decline.", True), ("i cant answer that, sorry", True), ("The patient cannot manage stairs.", False), ("Request declined: outside my scope.", True)])
 def test_refusals(spark, text, want):
-    assert spark.createDataFrame([(text,)], "c string").select(answers.refuses(F.col("c"))).first()[0] is want
+    assert spark.createDataFrame([(text,)], "c string").select(answers.refuses(plain(F.col("c")))).first()[0] is want
 
 
 EASY = "The cat sat on the mat. The dog ran to the hill. Mum put ice on it. You can play in the sun. We had milk and a nap. " * 3
