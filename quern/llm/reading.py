@@ -8,6 +8,7 @@ words, rarer words weighing more. A line fitted on the examples, each valued fro
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 from collections import Counter
@@ -33,12 +34,26 @@ OTHER = set(
     "der das und ist nicht ein eine mit zu den dem sie auf für von bei wenn ihr ihre im oder nach le les des et est une un pour dans que qui vous votre avec sur au aux ne pas ou du el los las y una por con para su se al como más si lo del os um uma não é com seu sua ao na em mais da dos e".split()
 )
 _TAG = re.compile(r"<[^<>]{1,200}>")
-_ABBREVIATION = re.compile(r"\b(e\.g|i\.e|approx|dr|mr|mrs|ms|prof|st|vs|etc|al|no|fig|cf)\.", re.I)
-_DECIMAL = re.compile(r"(?<=\d)\.(?=\d)")
-_STOP = re.compile(r"[.!?]+(?=[\s\"'”’)\]]|$)|\n+|\r+")
+#: Abbreviations whose stop ends no sentence; those of the second row only at the start of a word.
+_INSIDE = ["e.g.", "i.e.", "approx.", "et al."]
+_TITLES = ["dr.", "mr.", "mrs.", "ms.", "prof.", "vs.", "fig.", "cf."]
+_DECIMAL = re.compile(r"([0-9])\.(?=[0-9])")
+_STOP = re.compile(r"[.!?]+(?=[\s\"'”’)\]]|$)|[\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _VOWELS = re.compile(r"[aeiouyāēīōūáéíóúàèìòùâêîôûäëïöü]+")
-_SYMBOLS = re.compile(r"[{}\[\]=_\\|<>@#$^~`/*+]")
+_SYMBOLS = "{}[]=_\\|<>@#$^~`/*+"
+
+
+def _without_abbreviations(t: str) -> str:
+    for a in _INSIDE:
+        if a in t:
+            t = t.replace(a, a.replace(".", ""))
+    for a in _TITLES:
+        if a in t:
+            for lead in (" ", "\n", "("):
+                t = t.replace(lead + a, lead + a[:-1])
+            t = a[:-1] + t[len(a) :] if t.startswith(a) else t
+    return t
 
 
 def syllables(word: str) -> int:
@@ -72,10 +87,12 @@ class Reader:
         """(grade, words, English prose or not, buckets of the distinct words and of the sentence length)."""
         if not text:
             return 0.0, 0, False, []
-        t = _DECIMAL.sub("", _ABBREVIATION.sub(r"\1", _TAG.sub("\n", text)))
+        t = text.lower()
+        t = _TAG.sub("\n", t) if "<" in t else t
+        t = _DECIMAL.sub(r"\1", _without_abbreviations(t))
         counts: Counter = Counter()
         sentences = 0
-        for s in _STOP.split(t.lower()):
+        for s in _STOP.split(t):
             if s and (found := _WORD.findall(s)):
                 sentences += 1
                 counts.update(found)
@@ -88,11 +105,11 @@ class Reader:
             syl += s * k
             nodes.append(b)
         nodes.append(self.word(f"# {min(40, n // sentences)}")[1])
-        english = sum(counts[w] for w in ENGLISH if w in counts)
-        other = sum(counts[w] for w in OTHER if w in counts)
-        letters = sum(len(w) * k for w, k in counts.items())
-        solid = letters >= 0.8 * len(re.sub(r"\s+", "", t)) and len(_SYMBOLS.findall(t)) <= 0.02 * len(t)
-        ascii_ = sum(len(w) * k for w, k in counts.items() if w.isascii()) >= 0.9 * letters
+        english = sum(counts[w] for w in ENGLISH & counts.keys())
+        other = sum(counts[w] for w in OTHER & counts.keys())
+        letters = sum(map(operator.mul, map(len, counts), counts.values()))
+        solid = letters >= 0.8 * len("".join(t.split())) and sum(map(t.count, _SYMBOLS)) <= 0.02 * len(t)
+        ascii_ = t.isascii() or sum(len(w) * k for w, k in counts.items() if w.isascii()) >= 0.9 * letters
         return grade(n, sentences, syl), n, bool(solid and ascii_ and other <= max(0.06 * n, 0.35 * english)), nodes
 
 
