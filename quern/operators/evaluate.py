@@ -21,6 +21,27 @@ def relevant_by_name(symptom: Column, document: Column) -> Column:
     return F.coalesce(F.contains(doc, name) | ((F.size(kw) > 0) & (hits >= F.least(F.lit(2), F.size(kw)))), F.lit(False))
 
 
+#: Conditions whose documents go by other names.
+SYNONYMS = {
+    "abdominal_aortic_aneurysm": ["aortic", "aneurysm"],
+    "acute_myocardial_infarction": ["heart_attack", "myocardial", "cardiac"],
+    "asthma": ["asthma"],
+    "migraine": ["migraine"],
+}
+
+
+def relevant_by_synonym(symptom: Column, document: Column, synonyms: dict[str, list[str]] = SYNONYMS) -> Column:
+    """Whether a document name holds the symptom, or, for the first known condition in the symptom, one of its other names."""
+    s, d = F.lower(strip_case(symptom)), F.lower(document)
+    out = F.when(F.contains(d, s), True)
+    for condition, names in synonyms.items():
+        other = F.lit(False)
+        for n in names:
+            other = other | F.contains(d, F.lit(n))
+        out = out.when(F.contains(s, F.lit(condition)), other)
+    return F.coalesce(out.otherwise(False), F.lit(False))
+
+
 def pass_at_k(hits: DataFrame, cases: DataFrame, by: list[str], case: str, rank: str, relevant: Column, ks: list[int]) -> DataFrame:
     """``by, cases, pass_at_<k>``: share of all cases with a relevant hit among the first k; a case without hits fails.
 

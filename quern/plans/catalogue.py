@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import labels
+from quern.functions import labels, parse
 from quern.functions.text import keywords, safe_filename, source_key, squeeze, strip_case, strip_quotes
 from quern.operators import analytics, chunking, curate, evaluate, retrieval, sampling
 from quern.session import table
+from quern.streaming.frontier import windowed_counts
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -684,3 +685,68 @@ def repeated_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits that were loaded more than once, and whether the last load was late."""
     g = table(spark, d, "hits").groupBy("config", "case_id", "source", "chunk_id", "rank").agg(F.count(F.lit(1)).alias("copies"), (F.max("loaded_at") - F.max("retrieved_at") > F.expr("interval 1 day")).alias("late"))
     return g.where("copies > 1")
+
+
+# ------------------------------------------------------------------------------------------------- names, replies and filters
+@query(
+    r"""SELECT strategy, CASE WHEN contains(s, 'contextual') THEN 'contextual' WHEN contains(s, 'sentence') THEN 'sentence' WHEN contains(s, 'fixed') THEN 'fixed' WHEN contains(s, 'paragraph') THEN 'paragraph'
+    WHEN contains(s, 'structured_agent') THEN 'structured_agent' WHEN contains(s, 'agent') THEN 'agent' ELSE 'other' END AS kind,
+    coalesce(try_cast(nullif(regexp_extract(s, '[ct](\d+)', 1), '') AS INT), CASE WHEN contains(s, 'contextual') THEN 1024 WHEN contains(s, 'sentence') THEN 512 WHEN contains(s, 'fixed') THEN 512 WHEN contains(s, 'paragraph') THEN 768 ELSE 512 END) AS size,
+    coalesce(try_cast(nullif(regexp_extract(s, '_o(\d+)', 1), '') AS INT), 0) AS overlap, count(*) AS chunks FROM (SELECT strategy, lower(strategy) AS s FROM chunks) GROUP BY strategy, s"""
+)
+def method_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Kind, size and overlap read from the strategy names."""
+    c = F.col("strategy")
+    return table(spark, d, "chunks").groupBy("strategy").agg(F.count(F.lit(1)).alias("chunks")).select("strategy", parse.method_type(c).alias("kind"), parse.method_size(c).alias("size"), parse.method_overlap(c).alias("overlap"), "chunks")
+
+
+@query(
+    r"""SELECT config, case_id, loaded_at, CASE WHEN x IN ('ED', 'GP', 'HOME') THEN x ELSE 'UNKNOWN' END AS exact, CASE WHEN contains(t, 'triage decision: ed') OR contains(t, 'triage decision:ed') THEN 'ED'
+    WHEN contains(t, 'triage decision: gp') OR contains(t, 'triage decision:gp') THEN 'GP' WHEN contains(t, 'triage decision: home') OR contains(t, 'triage decision:home') THEN 'HOME' WHEN contains(t, 'emergency') OR contains(t, ' ed ') THEN 'ED'
+    WHEN contains(t, 'gp') OR contains(t, 'doctor') THEN 'GP' WHEN contains(t, 'home') OR contains(t, 'rest') THEN 'HOME' ELSE 'UNKNOWN' END AS spaced
+    FROM (SELECT *, upper(regexp_extract(response, '(?i)Triage Decision:\s*([A-Z]+)', 1)) AS x, lower(trim(response)) AS t FROM case_results)"""
+)
+def reply_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The two other label dialects."""
+    return table(spark, d, "case_results").select("config", "case_id", "loaded_at", parse.triage_exact(F.col("response")).alias("exact"), parse.triage_spaced(F.col("response")).alias("spaced"))
+
+
+@query()
+def reply_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Next step, reasoning and score read from each reply (tested on fixtures)."""
+    r = F.col("response")
+    return table(spark, d, "case_results").select("config", "case_id", "loaded_at", parse.next_step(r).alias("next_step"), parse.reasoning(r).alias("reasoning"), parse.score_of(r, "Quality Score").alias("score"))
+
+
+@query()
+def document_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Condition names from the documents' file names (tested on fixtures)."""
+    name = parse.without_native_terms(parse.condition_of_file(F.regexp_replace("source_document", r"\.txt$", "")))
+    return table(spark, d, "chunks").select(name.alias("condition")).where(F.length("condition") > 1).groupBy("condition").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query("SELECT chunk_id FROM chunks WHERE contains(lower(text), 'water') ORDER BY chunk_id LIMIT 20")
+def like_search(spark: SparkSession, d: str) -> DataFrame:
+    """Substring fallback search; the limit is its feature."""
+    return table(spark, d, "chunks").where(F.contains(F.lower("text"), F.lit("water"))).orderBy("chunk_id").limit(20).select("chunk_id")
+
+
+@query(
+    """WITH p AS (SELECT config, avg(is_correct::INT) FILTER (success) AS acc, avg(inference_time) FILTER (success) AS sec FROM (SELECT *, row_number() OVER (PARTITION BY config, case_id ORDER BY loaded_at DESC) AS rn FROM case_results) WHERE rn = 1 GROUP BY config),
+    v AS (SELECT *, max((acc > 0)::INT) OVER () AS any_valid FROM p) SELECT config, round(acc, 6) AS accuracy, round(sec, 6) AS seconds, coalesce(acc > 0.6 AND sec < 1, false) AS production FROM v WHERE acc > 0 OR any_valid = 0"""
+)
+def production_gate(spark: SparkSession, d: str) -> DataFrame:
+    """valid configurations (all, if none is) with the gate on quality and time."""
+    from pyspark.sql import Window as W
+
+    ok = F.col("success")
+    p = _results(spark, d).groupBy("config").agg(F.avg(F.when(ok, F.col("is_correct").cast("int"))).alias("acc"), F.avg(F.when(ok, F.col("inference_time"))).alias("sec"))
+    v = p.withColumn("_any", F.max((F.col("acc") > 0).cast("int")).over(W.partitionBy(F.lit(1)))).where("acc > 0 or _any = 0")
+    return v.select("config", r6("acc").alias("accuracy"), r6("sec").alias("seconds"), F.coalesce((F.col("acc") > 0.6) & (F.col("sec") < 1), F.lit(False)).alias("production"))
+
+
+@query("SELECT date_trunc('hour', ts)::VARCHAR AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """V1, V4: hourly windows by type; the same operator runs on a stream with a watermark."""
+    w = windowed_counts(table(spark, d, "events"), "ts", "event_type", "value")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))

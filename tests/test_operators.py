@@ -149,3 +149,8 @@ def test_operators_on_empty_tables(spark):
     assert chunking.fixed_windows(e, "k", "t", 5).count() == 0 and chunking.sentence_packs(e, "k", "t", 5).count() == 0
     assert retrieval.bm25_scores(e, "k", "t", e.withColumnRenamed("k", "d"), "p", "d", "t").count() == 0
     assert evaluate.confusion(e, ["p"], "t", "t").count() == 0
+
+
+def test_synonyms(spark):
+    df = spark.createDataFrame([("Acute_Myocardial_Infarction (Case 1)", "heart_attack.txt"), ("asthma", "child_asthma"), ("gout", "asthma"), (None, "x"), ("x", None)], "s string, d string")
+    assert [r[0] for r in df.select(evaluate.relevant_by_synonym(F.col("s"), F.col("d"))).collect()] == [True, True, False, False, False]
