@@ -37,10 +37,11 @@ REFUSALS = [
     r"\b(have|need|forced|obliged) to (decline|refuse)\b|\bi (must |respectfully )?(decline|refuse)\b|\b(request|question|prompt|query|answer) (was |is |has been )?(declined|refused|rejected|denied|blocked)\b|\bdeclined to (answer|respond)\b",
     r"\bas an? (ai|a i|artificial intelligence|(large )?language model|assistant|virtual assistant|chatbot|bot)\b|\bi (m|am) (just |only )?an? (ai|artificial intelligence|(large )?language model|chatbot)\b",
     r"\b(guidelines|policy|policies|rules|instructions|programming) (do not|don t|does not|doesn t|forbids?|prevents?|prohibits?|not) ?(allow|permit|let|me)?|\bviolates? (the |our |my )?[a-z ]{0,20}(policy|policies|guidelines|terms)\b|\bno answer was produced\b|\bagainst (my|our|the) (policy|policies|guidelines|rules)\b",
-    r"\b(rather|prefer) not (to )?(answer|say anything|comment|discuss|respond|help)\b|\boutside (of )?(my|the|what i)\b[a-z ]{0,30}\b(scope|remit|permitted|allowed|able|capabilities|expertise)\b|\bnot something i (can|am able to|m able to)\b|\bnot comfortable (answering|discussing|with)\b",
+    r"\b(rather|prefer) not (to )?(answer|say anything|comment|discuss|respond|help)\b|\boutside (of )?(my|the|what i)\b[a-z ]{0,30}\b(scope|remit|permitted|allowed|able|capabilities|expertise)\b|\bnot something i (can|am able to|m able to)\b",
+    r"\b(not|don t|n t|never) (feel |be |being )?comfortable (answering|responding|replying|discussing|helping|advising|giving|providing|with)\b|\bnot possible for me to (give|answer|provide|help|assist|offer|discuss|respond|diagnose|comment|continue|advise|say)\b|\bno can do\b|\b(off limits|out of bounds) for (this|an?|your|the|me)\b",
 ]
 #: One of these is in every refusal; looking for them first spares the patterns on most texts.
-REFUSAL_MARKS = ["can t", "cant ", "cannot", "can not", "not", "won t", "unable to", "declin", "refus", "rejected", "denied", "blocked", " ai", "intelligence", "language model", "assistant", "bot", "guidelines", "polic", "rules", "instructions", "programming", "violate", "outside"]
+REFUSAL_MARKS = ["can t", "cant ", "cannot", "can not", "not", "won t", "unable to", "declin", "refus", "rejected", "denied", "blocked", " ai", "intelligence", "language model", "assistant", "bot", "guidelines", "polic", "rules", "instructions", "programming", "violate", "outside", "comfortable", "can do", "off limits", "out of bounds"]
 FIELDS = {"clarifying_question": "patient_query", "patient_response": "clarifying_question", "reasoning_decision": "patient_query"}
 
 
