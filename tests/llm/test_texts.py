@@ -132,7 +132,7 @@ def test_defects(spark, small):
     assert answers.defects(df.limit(0), "k", docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("text, want", [("can't sleep, sorry", False), ("Sorry, I'm not able to see it from here; can you say more?", False), ("As an AI model, I must decline.", True), ("i cant answer that, sorry", True), ("The patient cannot manage stairs.", False), ("Request declined: outside my scope.", True)])
+@pytest.mark.parametrize("text, want", [("can't sleep, sorry", False), ("Sorry, I'm not able to see it from here; can you say more?", False), ("As an AI model, I must decline.", True), ("i cant answer that, sorry", True), ("The patient cannot manage stairs.", False), ("Request declined: outside my scope.", True), ("Regrettably, I don't feel comfortable responding to this.", True), ("No can do. Such questions are off limits for this assistant.", True), ("It is not possible for me to give a diagnosis.", True), ("I don't feel comfortable lying down.", False)])
 def test_refusals(spark, text, want):
     assert spark.createDataFrame([(text,)], "c string").select(answers.refuses(plain(F.col("c")))).first()[0] is want
 
