@@ -37,3 +37,18 @@ def test_scans_read_only_what_they_need(spark, small):
     assert "l_shipdate" not in plan and "l_orderkey" not in plan
     plan = catalogue.queries()["pass_at_k"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as e
+
+    for name in [n for n in sys.modules if n.startswith("quern.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "quern.llm", None)
+    alone = importlib.reload(e)
+    assert set(alone.queries()) == set(NAMES) | (set(catalogue.queries()) - set(NAMES)) and not any(n.startswith("p1_") for n in alone.queries())
+    monkeypatch.undo()
+    importlib.reload(e)
