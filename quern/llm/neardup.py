@@ -1,7 +1,7 @@
 """Near-duplicate records by anchor-point covering.
 
-A record's fingerprint is a row of short binary words, each 23 bits: signs of seeded random projections of its word counts, from
-which the corpus's mean and leading directions are taken off. The anchors of each table are the 4,096 codewords of the perfect binary Golay code, a covering code of
+A record's fingerprint is a row of short binary words, each 23 bits: signs of seeded random projections of its word counts against
+the corpus's mean. The anchors of each table are the 4,096 codewords of the perfect binary Golay code, a covering code of
 radius 3: every word lies within 3 bits of exactly one codeword, its home. A record goes to its home and, as a visitor, to every
 anchor within covering radius plus threshold, 3 + 1 bits (5.3 on average); homes are compared with visitors at each anchor. Words
 that differ by at most the threshold always meet; pairs with more flips meet in one of the tables with high probability. Pairs
@@ -31,7 +31,8 @@ RADIUS = 3
 THRESHOLD = 1
 FAR = 0.23  # share of all fingerprint bits by which a compared pair may differ
 FIT_ROWS = 20_000
-LEADING = 8
+SKETCH = 64
+SLACK = 1.7
 FEW = 200_000
 SIMILAR = 0.75
 LAST = 2**18 - 1  # three tables share a long: 23 + 23 + 18 bits
@@ -107,36 +108,29 @@ def projections(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _fit(df: DataFrame, text: str, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of the projections and their ``LEADING`` principal directions over about ``sample`` records, chosen by a hash of their text.
-
-    Records of one language or template share these directions; without them their fingerprints are as far apart as any others.
-    The bounded sample is summed up in eight tasks, each of which sends one row of sums.
-    """
-    d = TABLES * BITS
+def _fit(df: DataFrame, text: str, sample: int) -> np.ndarray:
+    """Mean of the projections over about ``sample`` records, chosen by a hash of their text; each of eight tasks sends one row of sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, top, outer = 0, np.zeros(d), np.zeros((d, d))
+        n, top = 0, np.zeros(TABLES * BITS)
         for b in batches:
-            p = projections(b.column(0).to_pylist()).astype(np.float64)
-            n, top, outer = n + len(p), top + p.sum(0), outer + p.T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([top.tolist()]), pa.array([outer.ravel().tolist()])], names=["n", "top", "outer"])
+            p = projections(b.column(0).to_pylist())
+            n, top = n + len(p), top + p.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([top.tolist()])], names=["n", "top"])
 
     n = max(1, df.count())
     some = df.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n)))
-    rows = some.select(text).repartition(8).mapInArrow(run, "n long, top array<double>, outer array<double>").collect()
-    n = max(1, sum(r["n"] for r in rows))
-    mean = np.sum([r["top"] for r in rows], axis=0) / n
-    cov = np.sum([r["outer"] for r in rows], axis=0).reshape(d, d) / n - np.outer(mean, mean)
-    return mean, np.linalg.eigh(cov)[1][:, ::-1][:, :LEADING]
+    rows = some.select(text).repartition(8).mapInArrow(run, "n long, top array<double>").collect()
+    return np.sum([r["top"] for r in rows], axis=0) / max(1, sum(r["n"] for r in rows))
 
 
 def fingerprints(df: DataFrame, key: str, text: str, sample: int = FIT_ROWS) -> DataFrame:
-    """``key``, ``print`` (a long for three tables), ``homes`` and ``near`` (anchor ids; the table is part of the id) of each record.
+    """``key``, ``print`` (a long for three tables), ``homes`` and ``near`` (anchor ids; the table is part of the id), ``sketch`` and ``n_words`` of each record.
 
-    ``text`` is words parted by single blanks. Centre and directions are fitted on about ``sample`` records; every record is indexed.
+    ``text`` is words parted by single blanks. The centre is fitted on about ``sample`` records; every record is indexed. ``sketch`` holds
+    the first ``SKETCH`` projections themselves.
     """
-    mean, lead = _fit(df, text, sample)
+    mean = _fit(df, text, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
@@ -144,8 +138,10 @@ def fingerprints(df: DataFrame, key: str, text: str, sample: int = FIT_ROWS) ->
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
-                p = projections(b.column(1).to_pylist()) - mean
-                bits = p - (p @ lead) @ lead.T > 0
+                texts = b.column(1).to_pylist()
+                p = projections(texts)
+                bits = p > mean
+                own = np.clip(p[:, :SKETCH], -32_768, 32_767).astype(np.int16)
                 w = (bits.reshape(-1, BITS) * weights).sum(1).reshape(-1, TABLES)
                 home, near, n = golay.anchors(w.ravel())
                 table = np.tile(np.arange(TABLES) << 12, b.num_rows)
@@ -158,11 +154,14 @@ def fingerprints(df: DataFrame, key: str, text: str, sample: int = FIT_ROWS) ->
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(home) + 1, TABLES, dtype=np.int32)), pa.array((table | info(home)).astype(np.int32))),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array((np.repeat(table, n) | info(near)).astype(np.int32))),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["_key", "print", "homes", "near"])
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, SKETCH, dtype=np.int32)), pa.array(own.ravel())))
+                cols.append(pa.array([t.count(" ") + 1 for t in texts], pa.int32()))
+                yield pa.RecordBatch.from_arrays(cols, names=["_key", "print", "homes", "near", "sketch", "n_words"])
 
     two = df.select(df[key].alias("_key"), df[text].alias("_text"))
     ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("_key", two.schema[0].dataType), T.StructField("print", longs), T.StructField("homes", ints), T.StructField("near", ints)])
+    kinds = [("_key", two.schema[0].dataType), ("print", longs), ("homes", ints), ("near", ints), ("sketch", T.ArrayType(T.ShortType())), ("n_words", T.IntegerType())]
+    schema = T.StructType([T.StructField(n, k) for n, k in kinds])
     return two.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 
@@ -180,6 +179,20 @@ def candidates(prints: DataFrame, key: str) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def sketched_near(pairs: DataFrame, prints: DataFrame, key: str, similar: float) -> DataFrame:
+    """The pairs whose word counts can differ little enough, by their sketches.
+
+    The mean squared difference of two sketches estimates that of the word counts, which is about the number of words they do not
+    share: at most 2 (1 - ``similar``) of the longer text. ``SLACK`` times as much passes, over three standard errors. Records of one
+    language or template, near each other against the whole corpus, part here before their texts are fetched.
+    """
+    x = prints.select(F.col(key).alias("a"), F.col("sketch").alias("_s"), F.col("n_words").alias("_n"))
+    y = prints.select(F.col(key).alias("b"), F.col("sketch").alias("_t"), F.col("n_words").alias("_m"))
+    square = F.aggregate(F.zip_with("_s", "_t", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda t, v: t + v)
+    near = square <= SLACK * 2 * (1 - similar) * SKETCH * F.greatest("_n", "_m", F.lit(8))
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
+
+
 def _similar(x: str, y: str, least: float) -> bool:
     """Whether of the words of the longer text at least ``least`` occur in the other too, repeats counted; words are parted by blanks."""
     p, q = x.split(" "), y.split(" ")
@@ -245,7 +258,7 @@ def near_duplicates(df: DataFrame, key: str, fields: list[str], similar: float =
     """
     members, texts = classes(df, key, fields)
     prints = written(fingerprints(texts.select("rep", F.concat_ws(" ", *fields).alias("_all")), "rep", "_all"), "prints")
-    pairs = written(candidates(prints, "rep"), "candidates")
+    pairs = written(sketched_near(candidates(prints, "rep"), prints, "rep", similar), "candidates")
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     some = written(texts.join(ids, "rep", "left_semi"), "candidate-texts")
     links = written(_verified(pairs, some, fields, similar), "links")
