@@ -31,8 +31,6 @@ RADIUS = 3
 THRESHOLD = 1
 FAR = 0.23  # share of all fingerprint bits by which a compared pair may differ
 FIT_ROWS = 20_000
-SKETCH = 64
-SLACK = 1.7
 FEW = 200_000
 SIMILAR = 0.75
 LAST = 2**18 - 1  # three tables share a long: 23 + 23 + 18 bits
@@ -125,10 +123,9 @@ def _fit(df: DataFrame, text: str, sample: int) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, key: str, text: str, sample: int = FIT_ROWS) -> DataFrame:
-    """``key``, ``print`` (a long for three tables), ``homes`` and ``near`` (anchor ids; the table is part of the id), ``sketch`` and ``n_words`` of each record.
+    """``key``, ``print`` (a long for three tables), ``homes`` and ``near`` (anchor ids; the table is part of the id) of each record.
 
-    ``text`` is words parted by single blanks. The centre is fitted on about ``sample`` records; every record is indexed. ``sketch`` holds
-    the first ``SKETCH`` projections themselves.
+    ``text`` is words parted by single blanks. The centre is fitted on about ``sample`` records; every record is indexed.
     """
     mean = _fit(df, text, sample)
 
@@ -141,7 +138,6 @@ def fingerprints(df: DataFrame, key: str, text: str, sample: int = FIT_ROWS) ->
                 texts = b.column(1).to_pylist()
                 p = projections(texts)
                 bits = p > mean
-                own = np.clip(p[:, :SKETCH], -32_768, 32_767).astype(np.int16)
                 w = (bits.reshape(-1, BITS) * weights).sum(1).reshape(-1, TABLES)
                 home, near, n = golay.anchors(w.ravel())
                 table = np.tile(np.arange(TABLES) << 12, b.num_rows)
@@ -154,13 +150,11 @@ def fingerprints(df: DataFrame, key: str, text: str, sample: int = FIT_ROWS) ->
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(home) + 1, TABLES, dtype=np.int32)), pa.array((table | info(home)).astype(np.int32))),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array((np.repeat(table, n) | info(near)).astype(np.int32))),
                 ]
-                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, SKETCH, dtype=np.int32)), pa.array(own.ravel())))
-                cols.append(pa.array([t.count(" ") + 1 for t in texts], pa.int32()))
-                yield pa.RecordBatch.from_arrays(cols, names=["_key", "print", "homes", "near", "sketch", "n_words"])
+                yield pa.RecordBatch.from_arrays(cols, names=["_key", "print", "homes", "near"])
 
     two = df.select(df[key].alias("_key"), df[text].alias("_text"))
     ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
-    kinds = [("_key", two.schema[0].dataType), ("print", longs), ("homes", ints), ("near", ints), ("sketch", T.ArrayType(T.ShortType())), ("n_words", T.IntegerType())]
+    kinds = [("_key", two.schema[0].dataType), ("print", longs), ("homes", ints), ("near", ints)]
     schema = T.StructType([T.StructField(n, k) for n, k in kinds])
     return two.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
@@ -179,20 +173,6 @@ def candidates(prints: DataFrame, key: str) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def sketched_near(pairs: DataFrame, prints: DataFrame, key: str, similar: float) -> DataFrame:
-    """The pairs whose word counts can differ little enough, by their sketches.
-
-    The mean squared difference of two sketches estimates that of the word counts, which is about the number of words they do not
-    share: at most 2 (1 - ``similar``) of the longer text. ``SLACK`` times as much passes, over three standard errors. Records of one
-    language or template, near each other against the whole corpus, part here before their texts are fetched.
-    """
-    x = prints.select(F.col(key).alias("a"), F.col("sketch").alias("_s"), F.col("n_words").alias("_n"))
-    y = prints.select(F.col(key).alias("b"), F.col("sketch").alias("_t"), F.col("n_words").alias("_m"))
-    square = F.aggregate(F.zip_with("_s", "_t", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda t, v: t + v)
-    near = square <= SLACK * 2 * (1 - similar) * SKETCH * F.greatest("_n", "_m", F.lit(8))
-    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
-
-
 def _similar(x: str, y: str, least: float) -> bool:
     """Whether of the words of the longer text at least ``least`` occur in the other too, repeats counted; words are parted by blanks."""
     p, q = x.split(" "), y.split(" ")
@@ -258,7 +238,7 @@ def near_duplicates(df: DataFrame, key: str, fields: list[str], similar: float =
     """
     members, texts = classes(df, key, fields)
     prints = written(fingerprints(texts.select("rep", F.concat_ws(" ", *fields).alias("_all")), "rep", "_all"), "prints")
-    pairs = written(sketched_near(candidates(prints, "rep"), prints, "rep", similar), "candidates")
+    pairs = written(candidates(prints, "rep"), "candidates")
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     some = written(texts.join(ids, "rep", "left_semi"), "candidate-texts")
     links = written(_verified(pairs, some, fields, similar), "links")

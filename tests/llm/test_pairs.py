@@ -169,6 +169,18 @@ def test_near_duplicates(spark):
     assert groups.count() == members.count() and groups.where("k >= 300 and k < 320").select("group").distinct().count() == 1
 
 
+def test_candidates_reach_the_exact_check(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    long = [rng.choice(vocab) for _ in range(40_000)]
+    other = " ".join(f"o{rng.randrange(5000)}" for _ in range(40_000))
+    longer = " ".join(long + rng.choices(vocab, [1 / (i + 1) for i in range(5000)], k=8_000))
+    rows = [(1, " ".join(long), "one and the same"), (2, longer, "one and the same"), (3, other, "one and the same")]
+    monkeypatch.setattr(neardup, "candidates", lambda *_: spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a int, b int"))
+    members, links = neardup.near_duplicates(spark.createDataFrame(rows, "k int, p string, q string"), "k", ["p", "q"])
+    assert [(r["a"], r["b"]) for r in links.collect()] == [(1, 2)]
+
+
 def test_nothing_to_compare(spark):
     df = spark.createDataFrame([], "k int, p string, q string")
     members, links = neardup.near_duplicates(df, "k", ["p", "q"])
