@@ -1,16 +1,13 @@
-"""Near-duplicate records by anchor-point covering.
-
-A record's fingerprint is a row of short binary words, each 23 bits: signs of seeded random projections of its word counts against
-the corpus's mean. The anchors of each table are the 4,096 codewords of the perfect binary Golay code, a covering code of
-radius 3: every word lies within 3 bits of exactly one codeword, its home. A record goes to its home and, as a visitor, to every
-anchor within covering radius plus threshold, 3 + 1 bits (5.3 on average); homes are compared with visitors at each anchor. Words
-that differ by at most the threshold always meet; pairs with more flips meet in one of the tables with high probability. Pairs
-whose whole fingerprints are close enough are then checked exactly on their words.
+"""Near-duplicate records: every pair that is similar in each field, without any blocking that could lose one.
+
+Each field of a record becomes its ``wordbits``, from which a true lower bound of the difference of two texts follows. Records are dealt
+into groups by a hash; each pair of groups is one cell, in which all pairs are compared by the bound. What may be similar is then
+checked exactly on its words. Comparisons grow with the square of the records (a few nanoseconds each), memory and rows of a
+cell do not grow.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,17 +20,17 @@ from pyspark.sql import types as T
 
 from quern.functions.text import blank, plain
 from quern.llm.components import connected_components
+from quern.llm.wordbits import LONGS, possible, word_bits
 from quern.session import written
 
 BITS = 23
-TABLES = 6
 RADIUS = 3
 THRESHOLD = 1
-FAR = 0.23  # share of all fingerprint bits by which a compared pair may differ
-FIT_ROWS = 20_000
+GROUPS = 8
+FEWEST = 5_000
+LARGEST = 250_000
 FEW = 200_000
 SIMILAR = 0.75
-LAST = 2**18 - 1  # three tables share a long: 23 + 23 + 18 bits
 GENERATOR = 0b101011100011  # fixed value: generator polynomial of the binary Golay code
 
 
@@ -45,7 +42,7 @@ def _syndrome(word: int) -> int:
 
 
 class Golay:
-    """Home anchor and anchors within ``RADIUS + THRESHOLD`` of 23-bit words, for whole arrays at once."""
+    """Home anchor and anchors within ``RADIUS + THRESHOLD`` of 23-bit words, for whole arrays at once. No query uses it."""
 
     def __init__(self) -> None:
         unit = np.array([_syndrome(1 << i) for i in range(BITS)])
@@ -72,105 +69,50 @@ class Golay:
         return w ^ self.errors[self.starts[s]], near, n
 
 
-class _Signs(dict):
-    """Number of each word in ``matrix``, whose rows are the words' random signs; a word's signs depend on the word alone."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.matrix = np.zeros((1024, TABLES * BITS), np.int8)
-
-    def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        raw = word.encode()
-        rng = np.random.Generator(np.random.SFC64([zlib.crc32(raw), zlib.adler32(raw), len(raw)]))
-        self.matrix[n] = rng.integers(0, 2, TABLES * BITS) * 2 - 1
-        self[word] = n
-        return n
-
-
-_signs = _Signs()
-
-
-def projections(texts: list[str]) -> np.ndarray:
-    """Sums of the words' random signs, one row a text and ``TABLES * BITS`` columns; words are parted by blanks."""
-    global _signs
-    if len(_signs) > 500_000:  # bounds a worker's memory, changes no result
-        _signs = _Signs()
-    out = np.zeros((len(texts), TABLES * BITS), np.int32)
-    number = _signs.__getitem__
-    for i, t in enumerate(texts):
-        at = list(map(number, t.split(" ")))
-        out[i] = _signs.matrix[at].sum(0, dtype=np.int16) if len(at) < 30_000 else _signs.matrix[at].sum(0, dtype=np.int32)
-    return out
-
-
-def _fit(df: DataFrame, text: str, sample: int) -> np.ndarray:
-    """Mean of the projections over about ``sample`` records, chosen by a hash of their text; each of eight tasks sends one row of sums."""
+def field_bits(texts: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``key`` and ``bits``: the ``word_bits`` of each field, with its number of words, as bytes. Texts are words parted by single blanks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, top = 0, np.zeros(TABLES * BITS)
         for b in batches:
-            p = projections(b.column(0).to_pylist())
-            n, top = n + len(p), top + p.sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([top.tolist()])], names=["n", "top"])
+            parts = []
+            for c in b.columns[1:]:
+                bits, n = word_bits(c.to_pylist())
+                parts += [bits.view(np.uint8), n.astype(np.int64)[:, None].view(np.uint8)]
+            rows = np.ascontiguousarray(np.concatenate(parts, axis=1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["_key", "bits"])
 
-    n = max(1, df.count())
-    some = df.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n)))
-    rows = some.select(text).repartition(8).mapInArrow(run, "n long, top array<double>").collect()
-    return np.sum([r["top"] for r in rows], axis=0) / max(1, sum(r["n"] for r in rows))
+    some = texts.select(texts[key].alias("_key"), *fields)
+    schema = T.StructType([T.StructField("_key", some.schema[0].dataType), T.StructField("bits", T.BinaryType())])
+    return some.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 
-def fingerprints(df: DataFrame, key: str, text: str, sample: int = FIT_ROWS) -> DataFrame:
-    """``key``, ``print`` (a long for three tables), ``homes`` and ``near`` (anchor ids; the table is part of the id) of each record.
+def candidates(bits: DataFrame, key: str, fields: int, similar: float = SIMILAR) -> DataFrame:
+    """All pairs ``a`` < ``b`` of ``field_bits`` rows that may be similar in every field; each comes once.
 
-    ``text`` is words parted by single blanks. The centre is fitted on about ``sample`` records; every record is indexed.
+    A record goes to one cell for each group, which are up to ``GROUPS`` or as many as hold ``LARGEST`` records each.
     """
-    mean = _fit(df, text, sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay()
-        weights = 1 << np.arange(BITS, dtype=np.int64)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
-                texts = b.column(1).to_pylist()
-                p = projections(texts)
-                bits = p > mean
-                w = (bits.reshape(-1, BITS) * weights).sum(1).reshape(-1, TABLES)
-                home, near, n = golay.anchors(w.ravel())
-                table = np.tile(np.arange(TABLES) << 12, b.num_rows)
-                info = lambda c: c >> 11  # noqa: E731  the upper 12 bits name a codeword
-                ends = np.concatenate([[0], np.cumsum(n)])[:: TABLES].astype(np.int32)
-                print_ = (w[:, 0::3] | w[:, 1::3] << BITS | (w[:, 2::3] & LAST) << 2 * BITS).ravel()
-                cols = [
-                    b.column(0),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(print_) + 1, TABLES // 3, dtype=np.int32)), pa.array(print_)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(home) + 1, TABLES, dtype=np.int32)), pa.array((table | info(home)).astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array((np.repeat(table, n) | info(near)).astype(np.int32))),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["_key", "print", "homes", "near"])
-
-    two = df.select(df[key].alias("_key"), df[text].alias("_text"))
-    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
-    kinds = [("_key", two.schema[0].dataType), ("print", longs), ("homes", ints), ("near", ints)]
-    schema = T.StructType([T.StructField(n, k) for n, k in kinds])
-    return two.mapInArrow(run, schema).withColumnRenamed("_key", key)
-
-
-def candidates(prints: DataFrame, key: str) -> DataFrame:
-    """Pairs ``a`` < ``b`` that meet at an anchor and whose fingerprints differ by at most ``FAR`` of their bits.
-
-    A hot anchor is a hot join key: adaptive execution splits its partition.
-    """
-    rest = [F.col("print")[i].alias(f"f{i}") for i in range(TABLES // 3)]
-    homes = prints.select(F.explode("homes").alias("anchor"), F.col(key).alias("x"), *rest)
-    near = prints.select(F.explode("near").alias("anchor"), F.col(key).alias("y"), *(c for c in rest))
-    near = near.select("anchor", "y", *(F.col(f"f{i}").alias(f"g{i}") for i in range(TABLES // 3)))
-    apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(1, TABLES // 3)), F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))))
-    met = homes.join(near, "anchor").where((F.col("x") != F.col("y")) & (apart <= int(FAR * 64 * (TABLES // 3))))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    n = bits.count()
+    groups = max(1, min(GROUPS, -(-n // FEWEST)), -(-n // LARGEST))
+    g = bits.withColumn("group", F.pmod(F.xxhash64(key, F.lit(5)), F.lit(groups)).cast("int"))
+    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    g = g.select(F.least("group", "other").alias("first"), F.greatest("group", "other").alias("second"), "group", F.col(key).alias("_key"), "bits")
+    width = LONGS + 1
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        first, second = t.column("first")[0].as_py(), t.column("second")[0].as_py()
+        own = t.column("group").to_numpy()
+        keys = t.column("_key").combine_chunks()
+        rows = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, fields * width)
+        x, y = (np.flatnonzero(own == s) for s in (first, second))
+        sides = [[(np.ascontiguousarray(rows[at, f * width : f * width + LONGS]), rows[at, f * width + LONGS].astype(np.int64)) for f in range(fields)] for at in (x, y)]
+        for p, q in possible(*sides, similar, first == second):
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(x[p])), keys.take(pa.array(y[q]))], names=["a", "b"])
+
+    kind = bits.schema[key].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    met = g.repartition(max(1, groups * (groups + 1) // 2), "first", "second").groupBy("first", "second").applyInArrow(compare, schema)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _similar(x: str, y: str, least: float) -> bool:
@@ -237,13 +179,11 @@ def near_duplicates(df: DataFrame, key: str, fields: list[str], similar: float =
     Similar means that of the longer text's words at least ``similar`` occur in the other. Null or blank fields match nothing.
     """
     members, texts = classes(df, key, fields)
-    prints = written(fingerprints(texts.select("rep", F.concat_ws(" ", *fields).alias("_all")), "rep", "_all"), "prints")
-    pairs = written(candidates(prints, "rep"), "candidates")
+    bits = written(field_bits(texts, "rep", fields), "bits")
+    pairs = written(candidates(bits, "rep", len(fields), similar), "candidates")
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    some = written(texts.join(ids, "rep", "left_semi"), "candidate-texts")
-    links = written(_verified(pairs, some, fields, similar), "links")
-    more = written(_verified(_beside(links), some, fields, similar), "links")
-    return members, links.unionByName(more)
+    some = texts.join(ids, "rep", "left_semi")
+    return members, written(_verified(pairs, some, fields, similar), "links")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, fields: list[str], similar: float) -> DataFrame:
@@ -255,14 +195,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, fields: list[str], similar: fl
     return both.where(similar_in_all([f"_a{i}" for i in n], [f"_b{i}" for i in n], similar)).select("a", "b")
 
 
-def _beside(links: DataFrame) -> DataFrame:
-    """Unlinked pairs with the same smallest neighbour: what the anchors may have missed of a family of copies."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
-    pairs = least.join(least.withColumnRenamed("a", "b"), "m").where("a < b").select("a", "b")
-    return pairs.join(links, ["a", "b"], "left_anti")
-
-
 def duplicate_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """All pairs of records, ``<key>_a`` < ``<key>_b``, in linked or equal classes."""
     a = members.select(F.col("rep").alias("a"), F.col(key).alias("x"))

@@ -181,6 +181,33 @@ def test_candidates_reach_the_exact_check(spark, monkeypatch):
     assert [(r["a"], r["b"]) for r in links.collect()] == [(1, 2)]
 
 
+def edited(rng, text, similarity):
+    """The words of ``text`` with as many replaced or added as that similarity allows, in another order."""
+    w = text.split(" ")
+    if rng.random() < 0.5:
+        for i in rng.sample(range(len(w)), int((1 - similarity) * len(w))):
+            w[i] = rng.choice(WORDS)
+    else:
+        w += [rng.choice([*WORDS, w[0]]) for _ in range(int(len(w) / similarity) - len(w))]
+    rng.shuffle(w)
+    return " ".join(w)
+
+
+def test_no_pair_at_the_limit_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEWEST", 50)
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        p, q = (" ".join(rng.choice(WORDS) for _ in range(rng.randrange(30, 160))) for _ in "pq")
+        rows += [(2 * i, p, q), (2 * i + 1, edited(rng, p, 0.76), edited(rng, q, 0.76))]
+    base = " ".join(WORDS[:160])
+    rows += [(900, base, "same words"), (901, base + " w001" * 32, "same words")]
+    want = {(r[0], s[0]) for r in rows for s in rows if r[0] < s[0] and near(r[1], s[1]) and near(r[2], s[2])}
+    members, links = neardup.near_duplicates(spark.createDataFrame(rows, "k int, p string, q string"), "k", ["p", "q"])
+    got = [(r["a"], r["b"]) for r in links.collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 120
+
+
 def test_nothing_to_compare(spark):
     df = spark.createDataFrame([], "k int, p string, q string")
     members, links = neardup.near_duplicates(df, "k", ["p", "q"])
