@@ -1,35 +1,32 @@
 """Records of evaluation splits that occur again, exactly or almost, in the training split.
 
-Evaluation texts are cut into disjoint passages of three words. Those of one shard (at most about ``SHARD`` texts of one entity)
-become an Aho-Corasick automaton over word numbers, which scans every training text of that entity, at any offset. The matched
-intervals add up to the coverage of each evaluation text; pairs above ``COVER`` are then checked exactly on their words. A changed
-or lost word spoils one passage, so a text that keeps three quarters of its words keeps a quarter of its passages or more; added
-words and moved sentences spoil a passage only where they cut one. A pair of which ``COVER`` of the passages survive is always found.
+Evaluation texts of one shard (at most about ``SHARD`` texts of one entity) are compared with every training text of that entity by a
+true lower bound of the difference of their words (``wordbits``), whatever their order; what may be similar is then checked exactly.
+No similar pair is lost. ``coverage`` tells of each found pair which share of the evaluation text's disjoint passages of three words
+survive in the training text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
-import ahocorasick
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.neardup import prose, repeated, without_copies
+from quern.llm.wordbits import possible, word_bits
 from quern.session import written
 
 PASSAGE = 3
 SHORT = 24
 SHARD = 6_000
 BLOCK = 24_000
-COVER = 0.25
 SIMILAR = 0.75
 
 
-def passages(ids: tuple[int, ...]) -> list[tuple[int, ...]]:
+def passages(ids: tuple) -> list[tuple]:
     """Disjoint passages of a text; a short text has its single words, so that any shared word counts."""
     if len(ids) < SHORT:
         return [(i,) for i in ids]
@@ -39,48 +36,33 @@ def passages(ids: tuple[int, ...]) -> list[tuple[int, ...]]:
 
 def overlaps(evals: list[str], trains: list[str], similar: float = SIMILAR) -> list[tuple[int, int, float, float]]:
     """(number of the evaluation text, number of the training text, coverage, share of words in common) of all similar pairs."""
-    number: dict[str, int] = {}
-    known = [tuple(number.setdefault(w, len(number) + 1) for w in t.split(" ")) for t in evals]
-    pid: dict[tuple[int, ...], int] = {}
-    holders: list[list[int]] = []
-    total = np.zeros(len(evals), np.int32)
-    for e, ids in enumerate(known):
-        for p in passages(ids):
-            k = pid.setdefault(p, len(pid))
-            if k == len(holders):
-                holders.append([])
-            holders[k].append(e)
-            total[e] += 1
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p, k in pid.items():
-        machine.add_word(p, k)
-    machine.make_automaton()
-    held = [np.array(h, np.int32) for h in holders]
-    need = np.maximum(1, np.ceil(total * COVER)).astype(np.int32)
-    bags: dict[int, Counter] = {}
+    bags: dict[tuple[int, int], Counter] = {}
+
+    def bag(side: int, i: int, words: list[str]) -> Counter:
+        if (side, i) not in bags:
+            if len(bags) > 20_000:  # bounds a worker's memory, changes no result
+                bags.clear()
+            bags[side, i] = Counter(words)
+        return bags[side, i]
+
     out = []
-    for t, text in enumerate(trains):
-        ids = tuple(number.get(w, 0) for w in text.split(" "))
-        hit = {k for _, k in machine.iter(ids)}
-        if not hit:
-            continue
-        cover = np.bincount(np.concatenate([held[k] for k in hit]), minlength=len(evals))
-        bag = None
-        for e in np.nonzero(cover >= need)[0].tolist():
-            longer = max(len(ids), len(known[e]))
-            if min(len(ids), len(known[e])) < similar * longer:
-                continue
-            if bag is None:
-                bag = Counter(ids)
-            other = bags.get(e)
-            if other is None:
-                other = bags[e] = Counter(known[e])
-            common = sum((bag & other).values())
+    for es, ts in possible([word_bits(evals)], [word_bits(trains)], similar):
+        for e, t in zip(es.tolist(), ts.tolist()):
+            x, y = evals[e].split(" "), trains[t].split(" ")
+            longer = max(len(x), len(y))
+            common = sum((bag(0, e, x) & bag(1, t, y)).values())
             if common >= similar * longer:
-                out.append((e, t, float(cover[e] / total[e]), common / longer))
+                out.append((e, t, _coverage(x, y), common / longer))
     return out
 
 
+def _coverage(x: list[str], y: list[str]) -> float:
+    """Share of the distinct passages of ``x`` that occur in ``y`` at any offset."""
+    own = set(passages(tuple(x)))
+    size = len(next(iter(own)))
+    return len(own & {tuple(y[i : i + size]) for i in range(len(y) - size + 1)}) / len(own)
+
+
 def _cells(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Evaluation and training texts with the number of their cell: an entity's shard against one of its blocks of training texts."""
     n = texts.groupBy("entity").agg(F.count_if("evaluation").alias("_e"), F.count_if(~F.col("evaluation")).alias("_t"))

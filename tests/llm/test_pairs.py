@@ -107,6 +107,17 @@ def test_overlaps_in_plain_python():
     assert got == {(i, j) for i, a in enumerate(e) for j, b in enumerate(t) if near(a, b)} and got
 
 
+def test_overlaps_in_another_order():
+    rng = random.Random(10)
+    e = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(24, 120))) for _ in range(80)]
+    t = [edited(rng, x, 0.76) for x in e]
+    w = e[0].split(" ")
+    t.append(" ".join(x for i in range(0, len(w), 3) for x in (*w[i : i + 2], "added", *w[i + 2 : i + 3])))
+    got = [(i, j) for i, j, *_ in contamination.overlaps(e, t)]
+    want = {(i, j) for i, a in enumerate(e) for j, b in enumerate(t) if near(a, b)}
+    assert set(got) == want and len(got) == len(want) >= 80
+
+
 def test_short_texts_overlap():
     got = contamination.overlaps(["a b c d", "x"], ["d c a", "x", "a b"])
     assert {(i, j) for i, j, *_ in got} == {(0, 0), (1, 1)}
