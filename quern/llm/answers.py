@@ -41,7 +41,7 @@ REFUSALS = [
     r"\b(not|don t|n t|never) (feel |be |being )?comfortable (answering|responding|replying|discussing|helping|advising|giving|providing|with)\b|\bnot possible for me to (give|answer|provide|help|assist|offer|discuss|respond|diagnose|comment|continue|advise|say)\b|\bno can do\b|\b(off limits|out of bounds) for (this|an?|your|the|me)\b",
 ]
 #: One of these is in every refusal; looking for them first spares the patterns on most texts.
-REFUSAL_MARKS = ["can t", "cant ", "cannot", "can not", "not", "won t", "unable to", "declin", "refus", "rejected", "denied", "blocked", " ai", "intelligence", "language model", "assistant", "bot", "guidelines", "polic", "rules", "instructions", "programming", "violate", "outside", "comfortable", "can do", "off limits", "out of bounds"]
+REFUSAL_MARKS = ["can t", "couldn t", " a i", "no answer", "cant ", "cannot", "can not", "not", "won t", "unable to", "declin", "refus", "rejected", "denied", "blocked", " ai", "intelligence", "language model", "assistant", "bot", "guidelines", "polic", "rules", "instructions", "programming", "violate", "outside", "comfortable", "can do", "off limits", "out of bounds"]
 FIELDS = {"clarifying_question": "patient_query", "patient_response": "clarifying_question", "reasoning_decision": "patient_query"}
 
 
@@ -64,12 +64,11 @@ def refuses(said: Column) -> Column:
 def copies(said: Column, asked: Column, whole: float = 0.8, part: float = 0.6) -> Column:
     """Whether the distinct words of a question mostly come again in the answer and the answer has little else.
 
-    Both are words parted by blanks. An answer of under a third or over four times the question's length is not looked at.
+    Both are words parted by blanks; how often a word comes does not count.
     """
     a, q = F.array_distinct(F.split(said, " ")), F.array_distinct(F.split(asked, " "))
     both = F.size(F.array_intersect(a, q))
-    alike = (F.length(said) * 3 >= F.length(asked)) & (F.length(said) <= F.length(asked) * 4)
-    return F.coalesce(alike & (F.size(q) >= 3) & (both >= whole * F.size(q)) & (both >= part * F.size(a)), F.lit(False))
+    return F.coalesce((F.size(q) >= 3) & (both >= whole * F.size(q)) & (both >= part * F.size(a)), F.lit(False))
 
 
 def _trigrams(text: str) -> np.ndarray:

@@ -162,3 +162,43 @@ def test_held_out_levels_follow_grades(spark, small):
 
 def test_syllables():
     assert [reading.syllables(w) for w in ("cat", "table", "make", "syllable", "the", "hypersensitivity")] == [1, 2, 1, 3, 1, 7]
+
+
+@pytest.mark.parametrize("text", ["I'm sorry, I couldn't help with that.", "No answer was produced.", "As an A.I., I would leave this.", "I couldn't comment.", "As a chatbot I leave this.", "That violates the terms.", "This is out of bounds for me."])
+def test_every_refusal_has_a_mark(spark, text):
+    assert spark.createDataFrame([(text,)], "c string").select(answers.refuses(plain(F.col("c")))).first()[0] is True
+
+
+def test_alternatives_of_refusals_have_marks():
+    import itertools
+    import re._parser as parser
+
+    def texts(p):
+        """Texts that the pattern matches: every branch of it, optional parts left out and put in, classes as one member."""
+        parts = []
+        for op, arg in p:
+            op = str(op)
+            if op == "LITERAL":
+                parts.append([chr(arg)])
+            elif op == "IN":
+                parts.append([chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])])
+            elif op == "BRANCH":
+                parts.append([t for b in arg[1] for t in texts(b)])
+            elif op == "SUBPATTERN":
+                parts.append(texts(arg[3]))
+            elif op == "MAX_REPEAT":
+                parts.append(["", *texts(arg[2])] if arg[0] == 0 else texts(arg[2]))
+            else:
+                assert op == "AT", op
+        return ["".join(x) for x in itertools.product(*parts)]
+
+    for p in answers.REFUSALS:
+        for t in texts(parser.parse(p)):
+            assert any(m in f"{t} " or m in f" {t} " for m in answers.REFUSAL_MARKS), t
+
+
+def test_repeated_question_is_a_copy(spark):
+    q = "how long has the pain been there"
+    rows = [(" ".join([q] * 5), q), (q, " ".join([q] * 5)), ("since monday " * 20, q)]
+    got = spark.createDataFrame(rows, "a string, q string").select(answers.copies(plain(F.col("a")), plain(F.col("q")))).collect()
+    assert [r[0] for r in got] == [True, True, False]
