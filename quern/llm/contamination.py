@@ -1,113 +1,182 @@
 """Records of evaluation splits that occur again, exactly or almost, in the training split.
 
-Evaluation texts of one shard (at most about ``SHARD`` texts of one entity) are compared with every training text of that entity by a
-true lower bound of the difference of their words (``wordbits``), whatever their order; what may be similar is then checked exactly.
-No similar pair is lost. ``coverage`` tells of each found pair which share of the evaluation text's disjoint passages of three words
-survive in the training text.
+Texts are normalised to an order of their words that does not depend on the order in the text: rarest first, ties by the word's number.
+The passages of an evaluation text are its pairs of neighbours in that order, with a mark at both ends. An Aho-Corasick automaton
+over the passages of one shard of evaluation texts scans the normalised training texts of the same entity; the intervals it matches
+are merged into the coverage of each evaluation text.
+
+No similar pair is lost, whatever its order, edits and length: two sorted texts of n and m words with c in common, of which one
+has n + 1 passages, lose at most two passages for each of its n - c words that are missing and one for each of the m - c words that
+are new, so at least 3 c - n - m + 1 survive (``surviving``), which is above m / 4 where c is three quarters of the longer. Pairs
+with fewer hits are dropped, all others are checked exactly on their words. The commonest passages of a text, up to half of that
+number, are left out of the automaton and of the number of hits needed, which spares the longest lists.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+import math
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.neardup import prose, repeated, without_copies
-from quern.llm.wordbits import possible, word_bits
-from quern.session import written
-
-PASSAGE = 3
-SHORT = 24
-SHARD = 6_000
-BLOCK = 24_000
-SIMILAR = 0.75
-
-
-def passages(ids: tuple) -> list[tuple]:
-    """Disjoint passages of a text; a short text has its single words, so that any shared word counts."""
-    if len(ids) < SHORT:
-        return [(i,) for i in ids]
-    cut = [ids[i : i + PASSAGE] for i in range(0, len(ids) - PASSAGE + 1, PASSAGE)]
-    return cut if len(ids) % PASSAGE == 0 else [*cut, ids[-PASSAGE:]]
-
-
-def overlaps(evals: list[str], trains: list[str], similar: float = SIMILAR) -> list[tuple[int, int, float, float]]:
-    """(number of the evaluation text, number of the training text, coverage, share of words in common) of all similar pairs."""
-    bags: dict[tuple[int, int], Counter] = {}
-
-    def bag(side: int, i: int, words: list[str]) -> Counter:
-        if (side, i) not in bags:
-            if len(bags) > 20_000:  # bounds a worker's memory, changes no result
-                bags.clear()
-            bags[side, i] = Counter(words)
-        return bags[side, i]
-
-    out = []
-    for es, ts in possible([word_bits(evals)], [word_bits(trains)], similar):
-        for e, t in zip(es.tolist(), ts.tolist()):
-            x, y = evals[e].split(" "), trains[t].split(" ")
-            longer = max(len(x), len(y))
-            common = sum((bag(0, e, x) & bag(1, t, y)).values())
-            if common >= similar * longer:
-                out.append((e, t, _coverage(x, y), common / longer))
-    return out
-
-
-def _coverage(x: list[str], y: list[str]) -> float:
-    """Share of the distinct passages of ``x`` that occur in ``y`` at any offset."""
-    own = set(passages(tuple(x)))
-    size = len(next(iter(own)))
-    return len(own & {tuple(y[i : i + size]) for i in range(len(y) - size + 1)}) / len(own)
+from quern.llm.neardup import SIMILAR, verified
+from quern.llm.wordbits import Numbers, document_counts, fold
+from quern.session import dropped, salted_lookup, written
+
+SHARD = 20_000  # evaluation texts whose passages make one automaton
+BLOCK = 100_000  # training texts in one task
+START, END, FIRST = 1, 2, 0x10000  # characters: the marks, and the rarest word
+
+
+def surviving(n: int, m: int, similar: float = SIMILAR) -> int:
+    """Passages of a text of ``n`` words that a similar text of ``m`` words holds at least."""
+    return 3 * math.ceil(similar * max(n, m) - 1e-9) - n - m + 1
+
+
+def normalised(ranks: np.ndarray) -> str:
+    """A sorted text as characters, one a word, between the marks."""
+    c = np.empty(len(ranks) + 2, np.uint32)
+    c[0], c[-1] = START, END
+    c[1:-1] = ranks.astype(np.uint32) + FIRST
+    return c.tobytes().decode("utf-32-le")
+
+
+class Shard:
+    """Evaluation texts (sorted word ranks) and the automaton of their passages."""
+
+    def __init__(self, texts: list[np.ndarray], similar: float = SIMILAR) -> None:
+        self.similar, self.texts = similar, [normalised(t) for t in texts]
+        self.n = np.array([len(t) for t in texts], np.int64)
+        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in self.texts]
+        pairs = np.concatenate([(c[:-1] << 32) | c[1:] for c in codes])
+        owner = np.repeat(np.arange(len(texts)), self.n + 1)
+        known, passage, often = np.unique(pairs, return_inverse=True, return_counts=True)
+        self.spared = np.maximum(0, np.floor(((3 * similar - 2) * self.n + 1) / 2)).astype(np.int64)  # half of the least number that survives, whatever the other text
+        order = np.lexsort((-often[passage], owner))  # the commonest of each text first
+        place = np.arange(len(order)) - np.repeat(np.r_[0, np.cumsum(self.n + 1)[:-1]], self.n + 1)
+        kept = order[place >= self.spared[owner[order]]]
+        kept = kept[np.argsort(passage[kept], kind="stable")]
+        self.owners, of = owner[kept], passage[kept]
+        self.starts = np.searchsorted(of, np.arange(len(known) + 1))
+        self.automaton = ahocorasick.Automaton()
+        for i in np.unique(of).tolist():
+            self.automaton.add_word(chr(known[i] >> 32) + chr(known[i] & 0xFFFFFFFF), i)
+        self.automaton.make_automaton()
+
+    def scan(self, text: str) -> list[tuple[int, float]]:
+        """(number, coverage) of the evaluation texts that may be similar to a normalised training text."""
+        hits = {i for _, i in self.automaton.iter(text)}
+        if not hits:
+            return []
+        found = np.bincount(np.concatenate([self.owners[self.starts[i] : self.starts[i + 1]] for i in hits]), minlength=len(self.n))
+        m = len(text) - 2
+        longer = np.maximum(self.n, m)
+        need = 3 * np.ceil(self.similar * longer - 1e-9) - self.n - m + 1 - self.spared
+        maybe = np.flatnonzero((found >= np.maximum(need, 1)) & (np.minimum(self.n, m) >= self.similar * longer - 1e-9))
+        if not len(maybe):
+            return []
+        held = set(zip(text, text[1:]))
+        return [(i, coverage(self.texts[i], held)) for i in maybe.tolist()]
+
+
+def coverage(text: str, held: set) -> float:
+    """Share of an evaluation text's words (without its marks) that the merged intervals of its matched passages cover."""
+    covered, end = 0, 0
+    for i, pair in enumerate(zip(text, text[1:])):
+        if pair in held:
+            covered += i + 2 - max(i, end)
+            end = i + 2
+    n = len(text) - 2
+    marks = (text[0], text[1]) in held, (text[-2], text[-1]) in held
+    return max(0, covered - sum(marks)) / n
+
+
+def sorted_texts(df: DataFrame, key: str, text: str, keep: list[str], counts: np.ndarray) -> DataFrame:
+    """``<key>, <keep>, class, ranks``: a digest of the words in any order, and their sorted ranks as bytes; null and blank text has no row."""
+    rank = np.empty(len(counts), np.uint16)
+    rank[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))  # the rarest word is 0
+    shipped = df.sparkSession.sparkContext.broadcast(rank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, order = Numbers(), shipped.value
+        for b in batches:
+            at, digests, ranks = [], [], []
+            for i, t in enumerate(b.column(0).to_pylist()):
+                if words := fold(t):
+                    at.append(i)
+                    digests.append(hashlib.md5(" ".join(sorted(words)).encode("utf-8", "surrogatepass")).digest())
+                    ranks.append(np.sort(order[numbers.of(words)]).tobytes())
+            rest = [c.take(pa.array(at, pa.int64())) for c in b.columns[1:]]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(digests, pa.binary()), pa.array(ranks, pa.binary())], names=[*b.schema.names[1:], "class", "ranks"])
+
+    some = df.select(df[text].alias("_text"), df[key].alias("_key"), *(df[c] for c in keep))
+    schema = T.StructType([*some.schema.fields[1:], T.StructField("class", T.BinaryType()), T.StructField("ranks", T.BinaryType())])
+    return some.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 
 def _cells(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Evaluation and training texts with the number of their cell: an entity's shard against one of its blocks of training texts."""
+    """Evaluation and training texts by cell: an entity's shard against one of its blocks of training texts.
+
+    Up to ``SHARD`` and ``BLOCK`` texts an entity is one cell and no text is copied; a training text of a larger one is copied once a shard.
+    """
     n = texts.groupBy("entity").agg(F.count_if("evaluation").alias("_e"), F.count_if(~F.col("evaluation")).alias("_t"))
     n = n.where("_e > 0 and _t > 0").select("entity", F.ceil(F.col("_e") / SHARD).cast("int").alias("_s"), F.ceil(F.col("_t") / BLOCK).cast("int").alias("_b"))
-    t = texts.join(F.broadcast(n), "entity") if _small(n) else texts.join(n, "entity")
+    t = salted_lookup(texts, n, "entity", "rep", how="inner")
     spread = F.xxhash64("rep", F.lit(3))
-    e = t.where("evaluation").withColumn("shard", F.pmod(spread, F.col("_s"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    r = t.where(~F.col("evaluation")).withColumn("block", F.pmod(spread, F.col("_b"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-    fresh = [F.col(c).alias(c) for c in ("entity", "rep", "text")] + [F.col(c).cast("int").alias(c) for c in ("shard", "block")]  # new columns: both sides have one origin
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    e = t.where("evaluation").withColumn("shard", F.pmod(spread, F.col("_s")).cast("int")).withColumn("block", every("_b"))
+    r = t.where(~F.col("evaluation")).withColumn("block", F.pmod(spread, F.col("_b")).cast("int")).withColumn("shard", every("_s"))
+    fresh = [F.col(c).alias(c) for c in ("entity", "shard", "block", "rep", "ranks")]  # new columns: both sides have one origin
     return e.select(*fresh), r.select(*fresh)
 
 
-def _small(df: DataFrame, rows: int = 50_000) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
-def cross_split_overlaps(df: DataFrame, key: str, entity: str, text: str, split: str, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+def cross_split_overlaps(df: DataFrame, key: str, name: Column, entities: DataFrame, text: str, split: str, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the records whose text occurs in the other kind of split.
 
-    members: ``<key>, rep, evaluation``, classes of equal word sequences within an entity and kind of split. links: ``e, t``, the
-    classes that are similar, with ``coverage`` and ``similarity``. Splits are ``train`` against ``val`` and ``test``, in any case;
-    records of other or no split, without entity, or with null or blank text match nothing. Texts are folded before the scan, so
-    copies are scanned once however many there are.
+    ``entities`` has ``key`` (a value of ``name``) and ``entity``, one row a key; only records of one entity are compared. members:
+    ``<key>, rep, evaluation``, classes of equal words within an entity and kind of split. links: ``e, t``, the classes that are similar,
+    with ``coverage``. Splits are ``train`` against ``val`` and ``test``, in any case; records of other or no split, without entity, or with
+    null or blank text match nothing. A repeated key stands for all its rows. Copies are scanned once however many there are.
     """
     s = F.lower(F.trim(F.col(split)))
-    t = df.select(F.col(key), F.col(entity).alias("entity"), F.col(text).alias("text"), s.isin("val", "test").alias("evaluation"), s.alias("_s"))
-    t = prose(t.where("_s in ('train', 'val', 'test') and entity is not null").drop("_s"), ["text"]).where("text is not null")
-    t = written(t.withColumn("_class", F.md5(F.concat_ws("\u0000", F.col("entity").cast("string"), F.col("evaluation").cast("string"), "text"))), "sides")
-    reps = t.groupBy("_class").agg(F.min(key).alias("rep"))
-    members = written(t.select(key, "evaluation", "_class").join(reps, "_class").select(key, "rep", "evaluation").distinct(), "members")
-    texts = without_copies(t, members, key).select("rep", "entity", "text", "evaluation")
-    evals, trains = _cells(texts.dropDuplicates(["rep"]) if repeated(members, t) else texts)
-
-    def scan(e: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(e) or not len(r):
-            return pd.DataFrame({"e": pd.Series(dtype=e["rep"].dtype), "t": pd.Series(dtype=e["rep"].dtype), "coverage": pd.Series(dtype="float64"), "similarity": pd.Series(dtype="float64")})
-        found = overlaps(e["text"].tolist(), r["text"].tolist(), similar)
-        i, j = [f[0] for f in found], [f[1] for f in found]
-        return pd.DataFrame({"e": e["rep"].to_numpy()[i], "t": r["rep"].to_numpy()[j], "coverage": [f[2] for f in found], "similarity": [f[3] for f in found]})
-
-    kind = evals.schema["rep"].dataType
-    schema = T.StructType([T.StructField("e", kind), T.StructField("t", kind), T.StructField("coverage", T.DoubleType()), T.StructField("similarity", T.DoubleType())])
+    own = df.select(F.col(key), F.col(text), name.alias("_name"), s.isin("val", "test").alias("evaluation"), s.alias("_s")).where("_s in ('train', 'val', 'test') and _name is not null").drop("_s")
+    counts, _ = document_counts(own, [text])
+    t = sorted_texts(own, key, text, ["_name", "evaluation"], counts)
+    t = salted_lookup(t, entities.select(F.col("key").alias("_name"), "entity"), "_name", key, how="inner")
+    t = t.withColumn("class", F.concat_ws("|", F.hex("class"), F.col("entity").cast("string"), F.col("evaluation").cast("string")))
+    t = written(t.select(key, "entity", "evaluation", "class", "ranks"), "sides")
+    reps = t.groupBy("class").agg(F.min(key).alias("rep"), *(F.any_value(c).alias(c) for c in ("entity", "evaluation", "ranks")))
+    reps = written(reps, "classes")
+    members = written(salted_lookup(t.select(key, "class"), reps.select("class", "rep", "evaluation"), "class", key, how="inner").select(key, "rep", "evaluation").distinct(), "members")
+    dropped(t)
+    evals, trains = _cells(reps)
+    kind = reps.schema["rep"].dataType
+
+    def scan(e: pa.Table, r: pa.Table) -> pa.Table:
+        left, right, share = [], [], []
+        if e.num_rows and r.num_rows:
+            texts = lambda t: [np.frombuffer(x, np.uint16) for x in t.column("ranks").to_pylist()]
+            shard, ids = Shard(texts(e), similar), r.column("rep").to_pylist()
+            names = e.column("rep").to_pylist()
+            for rep, ranks in zip(ids, texts(r)):
+                for i, c in shard.scan(normalised(ranks)):
+                    left.append(names[i])
+                    right.append(rep)
+                    share.append(c)
+        of = e.schema.field("rep").type
+        return pa.table([pa.array(left, of), pa.array(right, of), pa.array(share, pa.float64())], names=["e", "t", "coverage"])
+
+    schema = T.StructType([T.StructField("e", kind), T.StructField("t", kind), T.StructField("coverage", T.DoubleType())])
     cell = ["entity", "shard", "block"]
-    links = evals.groupBy(*cell).cogroup(trains.groupBy(*cell)).applyInPandas(scan, schema)
-    return members, written(links, "overlaps")
+    maybe = written(evals.groupBy(*cell).cogroup(trains.groupBy(*cell)).applyInArrow(scan, schema), "hits")
+    dropped(reps)
+    return members, written(verified(maybe, df, key, [text], similar, ("e", "t")), "overlaps")
 
 
 def overlap_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:

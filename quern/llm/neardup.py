@@ -1,13 +1,22 @@
-"""Near-duplicate records: every pair that is similar in each field, without any blocking that could lose one.
-
-Each field of a record becomes its ``wordbits``, from which a true lower bound of the difference of two texts follows. Records are dealt
-into groups by a hash; each pair of groups is one cell, in which all pairs are compared by the bound. What may be similar is then
-checked exactly on its words. Comparisons grow with the square of the records (a few nanoseconds each), memory and rows of a
-cell do not grow.
+"""Near-duplicate records by anchor-point covering.
+
+A record's fingerprint is a vector of symbols (weighted minima over its words; rare words weigh more), so that similar records agree in
+most symbols whatever the order of their words. Symbols come in tables of k + 1. The anchors of a table are the words of the
+single-parity-check code over the integers modulo ``PRIME``: a covering code of radius 1, as any vector becomes a code word by
+changing one symbol. Each fingerprint is replicated to all k + 1 anchors within that radius. Two fingerprints of a distance up to the
+threshold 1 then share an anchor, the one both become by changing the symbol they differ in; had a fingerprint only gone to one home
+anchor, the other would have to go out to radius plus threshold. At an anchor all pairs are compared by the true lower bound
+of ``wordbits``, which loses none; what it leaves is checked exactly on its words.
+
+The length of the code follows the number of records (``code_length``), so that an anchor's neighbourhood does not grow with the
+data; the number of tables follows from the length (``tables``), so that a pair at the very limit of similarity meets with a
+probability of ``1 - MISS``. Above the limit pairs meet all but surely; ``tests/llm`` measures it against brute force.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,181 +27,221 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.text import blank, plain
 from quern.llm.components import connected_components
-from quern.llm.wordbits import LONGS, possible, word_bits
-from quern.session import written
-
-BITS = 23
-RADIUS = 3
-THRESHOLD = 1
-GROUPS = 8
-FEWEST = 5_000
-LARGEST = 250_000
-FEW = 200_000
+from quern.llm.wordbits import BUCKETS, LONGS, Numbers, document_counts, fold, may_be_similar, parities, possible
+from quern.session import dropped, salted_lookup, written
+
+PRIME = 65_537  # symbols are numbers below 2**16
+AGREE = 0.63  # share of symbols in which texts at the limit of similarity agree (measured)
+MISS = 0.002
+ROOMY = 2**18  # records up to which the shortest code is long enough; each further symbol serves eight times as many
+RARITY = 1.5
+SEED = 11
+BUCKET_ROWS = 100_000
+CELL_ROWS = 400_000
+LAGS = 64
 SIMILAR = 0.75
-GENERATOR = 0b101011100011  # fixed value: generator polynomial of the binary Golay code
-
-
-def _syndrome(word: int) -> int:
-    for i in range(BITS - 1, 10, -1):
-        if word >> i & 1:
-            word ^= GENERATOR << (i - 11)
-    return word
-
-
-class Golay:
-    """Home anchor and anchors within ``RADIUS + THRESHOLD`` of 23-bit words, for whole arrays at once. No query uses it."""
-
-    def __init__(self) -> None:
-        unit = np.array([_syndrome(1 << i) for i in range(BITS)])
-        errors, level = [0], [(0, -1)]
-        for _ in range(RADIUS + THRESHOLD):
-            level = [(e | 1 << i, i) for e, top in level for i in range(top + 1, BITS)]
-            errors += [e for e, _ in level]
-        e = np.array(errors, np.int64)
-        s = np.zeros_like(e)
-        for i in range(BITS):
-            s ^= np.where(e >> i & 1, unit[i], 0)
-        self.unit = unit
-        order = np.argsort(s, kind="stable")  # by syndrome, light errors first: the first of each is the one within the radius
-        self.errors, self.starts = e[order], np.searchsorted(s[order], np.arange(2**11 + 1))
-
-    def anchors(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(home of each word, all anchors near each word one after the other, their number by word); the home is the first of its anchors."""
-        s = np.zeros_like(w)
-        for i in range(BITS):
-            s ^= np.where(w >> i & 1, self.unit[i], 0)
-        n = self.starts[s + 1] - self.starts[s]
-        at = np.repeat(self.starts[s] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        near = np.repeat(w, n) ^ self.errors[at]
-        return w ^ self.errors[self.starts[s]], near, n
-
-
-def field_bits(texts: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``key`` and ``bits``: the ``word_bits`` of each field, with its number of words, as bytes. Texts are words parted by single blanks."""
+
+
+def code_length(records: int) -> int:
+    """Symbols k of a table in which two records must agree (of k + 1)."""
+    return 2 + max(0, math.ceil(math.log(max(1, records) / ROOMY, 8)))
+
+
+def tables(k: int) -> int:
+    """Tables after which a pair that agrees in each symbol with probability ``AGREE`` has met at no anchor with probability ``MISS``."""
+    meet = (k + 1) * AGREE**k * (1 - AGREE) + AGREE ** (k + 1)
+    return math.ceil(math.log(MISS) / math.log(1 - meet))
+
+
+class Fingerprints:
+    """Symbols of texts given as word numbers: for each symbol the number with the least exponential variate, sped up by its weight."""
+
+    def __init__(self, counts: np.ndarray, records: int, symbols: int, seed: int = SEED) -> None:
+        weight = np.log1p(records / np.maximum(counts, 1)) ** RARITY
+        self.score = (np.random.default_rng(seed).exponential(size=(BUCKETS, symbols)) / np.maximum(weight, 1e-3)[:, None]).astype(np.float32)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        own = np.unique(numbers)
+        return own[self.score[own].argmin(0)]
+
+
+def anchors(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Names of the code words within radius 1 of each row's tables (tables of k + 1 symbols each), tables x (k + 1) of them a row.
+
+    Changing symbol i so that all add up to 0 gives the code word; it is named by a hash of its symbols and its table.
+    """
+    t = symbols.reshape(len(symbols), -1, k + 1).astype(np.uint64)
+    change = (np.uint64(PRIME) - t.sum(2, dtype=np.uint64) % np.uint64(PRIME)) % np.uint64(PRIME)
+    mixer = np.random.default_rng(SEED).integers(1, 2**63, (t.shape[1], k + 1), dtype=np.uint64) | np.uint64(1)
+    whole = (t * mixer).sum(2, dtype=np.uint64)  # modulo 2**64, as are all names
+    moved = (t + change[:, :, None]) % np.uint64(PRIME)
+    names = whole[:, :, None] - t * mixer + moved * mixer + mixer[:, :1]
+    names = (names ^ (names >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (names ^ (names >> np.uint64(32))).reshape(len(symbols), -1).astype(np.int64)
+
+
+def fingerprinted(df: DataFrame, key: str, fields: list[str], counts: np.ndarray, records: int, symbols: int) -> DataFrame:
+    """``<key>, class, bits, symbols`` of each record with all ``fields``; others have no row.
+
+    ``class`` is a digest of the words of each field whatever their order; ``bits`` holds for each field its parities and number of words.
+    """
+    shipped = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints, numbers = Fingerprints(shipped.value, records, symbols), [Numbers(i) for i in range(len(fields))]
         for b in batches:
-            parts = []
-            for c in b.columns[1:]:
-                bits, n = word_bits(c.to_pylist())
-                parts += [bits.view(np.uint8), n.astype(np.int64)[:, None].view(np.uint8)]
-            rows = np.ascontiguousarray(np.concatenate(parts, axis=1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["_key", "bits"])
-
-    some = texts.select(texts[key].alias("_key"), *fields)
-    schema = T.StructType([T.StructField("_key", some.schema[0].dataType), T.StructField("bits", T.BinaryType())])
+            keys, digests, bits, symbols_ = [], [], [], []
+            for key_, *texts in zip(*(c.to_pylist() for c in b.columns)):
+                words = [fold(t) for t in texts]
+                if not all(words):
+                    continue
+                own = [n.of(w) for n, w in zip(numbers, words)]
+                keys.append(key_)
+                digests.append(hashlib.md5("\n".join(" ".join(sorted(w)) for w in words).encode("utf-8", "surrogatepass")).digest())
+                bits.append(b"".join(parities(o).tobytes() + np.uint64(len(o)).tobytes() for o in own))
+                symbols_.append(prints.of(np.concatenate(own)).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.types[0]), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(symbols_, pa.binary())], names=["_key", "class", "bits", "symbols"])
+
+    some = df.select(df[key].alias("_key"), *fields)
+    schema = T.StructType([T.StructField("_key", some.schema[0].dataType), *(T.StructField(c, T.BinaryType()) for c in ("class", "bits", "symbols"))])
     return some.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 
-def candidates(bits: DataFrame, key: str, fields: int, similar: float = SIMILAR) -> DataFrame:
-    """All pairs ``a`` < ``b`` of ``field_bits`` rows that may be similar in every field; each comes once.
+def replicated(prints: DataFrame, key: str, k: int) -> DataFrame:
+    """A row ``anchor, _key, bits`` for each anchor of each row."""
 
-    A record goes to one cell for each group, which are up to ``GROUPS`` or as many as hold ``LARGEST`` records each.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = anchors(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(b.num_rows, -1), k)
+            at = pa.array(np.repeat(np.arange(b.num_rows), own.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), b.column(0).take(at), b.column(1).take(at)], names=["anchor", "_key", "bits"])
+
+    some = prints.select(prints[key].alias("_key"), "bits", "symbols")
+    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("_key", some.schema[0].dataType), T.StructField("bits", T.BinaryType())])
+    return some.mapInArrow(run, schema)
+
+
+def met(names: np.ndarray, sides: np.ndarray, rows: np.ndarray, fields: int, similar: float, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers at one anchor that may be similar in all fields; with ``cross`` only pairs of both ``sides``.
+
+    Short runs of an anchor are compared at lag 1, 2, ... at once for all of them, long ones block by block.
     """
-    n = bits.count()
-    groups = max(1, min(GROUPS, -(-n // FEWEST)), -(-n // LARGEST))
-    g = bits.withColumn("group", F.pmod(F.xxhash64(key, F.lit(5)), F.lit(groups)).cast("int"))
-    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    g = g.select(F.least("group", "other").alias("first"), F.greatest("group", "other").alias("second"), "group", F.col(key).alias("_key"), "bits")
+    order = np.argsort(names, kind="stable")
+    starts = np.flatnonzero(np.r_[True, names[order][1:] != names[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+    length = np.diff(np.r_[starts, len(order)])
     width = LONGS + 1
+    field = lambda at, f: (rows[at, f * width : f * width + LONGS], rows[at, f * width + LONGS].astype(np.int64))
+    left = np.repeat(starts + length, length) - np.arange(len(order)) - 1  # rows of the run after this one
+    left[np.repeat(length > LAGS, length)] = 0
+    at = np.flatnonzero(left > 0)
+    lag = 1
+    while len(at):
+        p, q = order[at], order[at + lag]
+        if cross:
+            differ = sides[p] != sides[q]
+            p, q = p[differ], q[differ]
+        for f in range(fields):
+            keep = may_be_similar(*field(p, f), *field(q, f), similar)
+            p, q = p[keep], q[keep]
+        if len(p):
+            yield p, q
+        lag += 1
+        at = at[left[at] >= lag]
+    for s, n in zip(starts[length > LAGS].tolist(), length[length > LAGS].tolist()):
+        run = order[s : s + n]
+        x, y = (run[sides[run] == v] for v in (0, 1)) if cross else (run, run)
+        if len(x) and len(y):
+            part = lambda at: [(np.ascontiguousarray(b), n) for b, n in (field(at, f) for f in range(fields))]
+            for p, q in possible(part(x), part(y), similar, not cross):
+                yield x[p], y[q]
+
+
+def candidates(prints: DataFrame, key: str, fields: int, k: int, similar: float = SIMILAR) -> DataFrame:
+    """Distinct pairs ``a`` < ``b`` of rows of :func:`fingerprinted` that meet at an anchor and may be similar in every field.
+
+    Anchors are dealt into buckets of about ``BUCKET_ROWS`` rows. A bucket that a hot anchor swells beyond ``CELL_ROWS`` is cut into
+    sides by the records' keys, and each pair of sides is one cell, so that no task holds more than about two sides.
+    """
+    copies = written(replicated(prints, key, k), "anchors")
+    buckets = max(1, math.ceil(copies.count() / BUCKET_ROWS))
+    rows = copies.withColumn("bucket", F.pmod("anchor", F.lit(buckets)).cast("int"))
+    hot = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts")).where("parts > 1")
+    rows = rows.join(F.broadcast(hot), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # a hundred-thousandth of the rows at most
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("_key"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = ["bucket", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second")]
+    rows = rows.select(*cell, "part", "anchor", "_key", "bits")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         first, second = t.column("first")[0].as_py(), t.column("second")[0].as_py()
-        own = t.column("group").to_numpy()
         keys = t.column("_key").combine_chunks()
-        rows = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, fields * width)
-        x, y = (np.flatnonzero(own == s) for s in (first, second))
-        sides = [[(np.ascontiguousarray(rows[at, f * width : f * width + LONGS]), rows[at, f * width + LONGS].astype(np.int64)) for f in range(fields)] for at in (x, y)]
-        for p, q in possible(*sides, similar, first == second):
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(x[p])), keys.take(pa.array(y[q]))], names=["a", "b"])
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, fields * (LONGS + 1))
+        sides = (t.column("part").to_numpy() == second).astype(np.int8)
+        found = list(met(t.column("anchor").to_numpy(), sides, bits, fields, similar, first != second))
+        p, q = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(p)), keys.take(pa.array(q))], names=["a", "b"])
 
-    kind = bits.schema[key].dataType
+    kind = prints.schema[key].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    met = g.repartition(max(1, groups * (groups + 1) // 2), "first", "second").groupBy("first", "second").applyInArrow(compare, schema)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = rows.groupBy("bucket", "first", "second").applyInArrow(compare, schema)
+    out = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
+    dropped(copies)
+    return out
 
 
-def _similar(x: str, y: str, least: float) -> bool:
-    """Whether of the words of the longer text at least ``least`` occur in the other too, repeats counted; words are parted by blanks."""
-    p, q = x.split(" "), y.split(" ")
-    longer = max(len(p), len(q))
-    if min(len(p), len(q)) < least * longer:
-        return False
-    return x == y or sum((Counter(p) & Counter(q)).values()) >= least * longer
+def common_share(x: list[str], y: list[str]) -> float:
+    """Share of the longer text's words that occur in the other too, repeats counted."""
+    longer = max(len(x), len(y))
+    return sum((Counter(x) & Counter(y)).values()) / longer
 
 
 def similar_in_all(a: list[str], b: list[str], least: float) -> Column:
-    """Whether two texts are similar in each of the columns ``a`` against ``b``; the shorter columns are compared first."""
+    """Whether two texts are similar in each of the columns ``a`` against ``b``."""
+
+    def same(x: str | None, y: str | None) -> bool:
+        p, q = fold(x), fold(y)
+        return bool(p and q) and min(len(p), len(q)) >= least * max(len(p), len(q)) and common_share(p, q) >= least
 
     def run(*cols: pd.Series) -> pd.Series:
         half = len(cols) // 2
-        order = sorted(range(half), key=lambda i: cols[i].str.len().sum())
-        keep = [all(_similar(row[i], row[half + i], least) for i in order) for row in zip(*cols)]
-        return pd.Series(keep, dtype=bool)
+        return pd.Series([all(same(row[i], row[half + i]) for i in range(half)) for row in zip(*cols)], dtype=bool)
 
     return F.pandas_udf(run, "boolean")(*a, *b)
 
 
-def prose(df: DataFrame, fields: list[str]) -> DataFrame:
-    """``df`` with each field as its words parted by blanks; text without any letter or digit stands for itself, blank text is null."""
-    raw = [F.col(f).alias(f"_raw_{f}") for f in fields]
-    t = df.select(*(c for c in df.columns if c not in fields), *raw, *(plain(F.col(f)).alias(f) for f in fields))
-    for f in fields:
-        t = t.withColumn(f, F.when(F.col(f) != "", F.col(f)).when(~blank(F.col(f"_raw_{f}")), F.trim(f"_raw_{f}")))
-    return t.select(*df.columns)
-
-
-def classes(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(members, texts): ``<key>, rep`` of each record with all ``fields``, and ``rep, <fields>`` of each class of equal word sequences.
-
-    Records with a null or blank field are in neither. ``rep`` is the smallest key of the class; a class may hold any share of all
-    records, as only keys are grouped. Repeated keys are one record.
-    """
-    t = prose(df.select(key, *fields), fields).where(" and ".join(f"`{f}` is not null" for f in fields))
-    t = t.withColumn("_class", F.md5(F.concat_ws("\u0000", *fields)))
-    t = written(t, "texts")
-    reps = t.groupBy("_class").agg(F.min(key).alias("rep"))
-    members = written(t.select(key, "_class").join(reps, "_class").select(key, "rep").distinct(), "members")
-    texts = without_copies(t, members, key).select("rep", *fields)
-    return members, texts.dropDuplicates(["rep"]) if repeated(members, t) else texts
-
-
-def without_copies(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """The rows of each class's ``rep``, their key under that name. Up to ``FEW`` copies (a few MB) are broadcast, which spares a shuffle of all texts."""
-    copies = members.where(F.col(key) != F.col("rep")).select(F.col(key).alias("rep"))
-    if copies.limit(FEW + 1).count() <= FEW:
-        copies = F.broadcast(copies)
-    return rows.withColumnRenamed(key, "rep").join(copies, "rep", "left_anti")
-
-
-def repeated(members: DataFrame, rows: DataFrame) -> bool:
-    """Whether keys repeat: fewer distinct keys than rows."""
-    return members.count() < rows.count()
+def verified(pairs: DataFrame, df: DataFrame, key: str, fields: list[str], similar: float, ends: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """The rows of ``pairs`` whose two records are similar in every field, by their words; only texts of candidates are moved."""
+    x, y = ends
+    ids = pairs.select(F.col(x).alias("_id")).unionByName(pairs.select(F.col(y).alias("_id"))).distinct()
+    n = range(len(fields))
+    some = df.select(F.col(key).alias("_id"), *(F.col(f).alias(f"_{i}") for i, f in enumerate(fields))).join(ids, "_id", "left_semi")
+    left = some.select(F.col("_id").alias(x), *(F.col(f"_{i}").alias(f"_a{i}") for i in n))
+    right = some.select(F.col("_id").alias(y), *(F.col(f"_{i}").alias(f"_b{i}") for i in n))
+    both = pairs.join(left, x).join(right, y)
+    return both.where(similar_in_all([f"_a{i}" for i in n], [f"_b{i}" for i in n], similar)).select(*pairs.columns)
 
 
 def near_duplicates(df: DataFrame, key: str, fields: list[str], similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(members, links): each record's class of equal texts, and the pairs ``a`` < ``b`` of classes similar in every field.
+    """(members, links): ``<key>, rep``, each record's class of equal words, and the pairs ``a`` < ``b`` of classes similar in every field.
 
-    Similar means that of the longer text's words at least ``similar`` occur in the other. Null or blank fields match nothing.
+    Similar means that of the longer text's words at least ``similar`` occur in the other. Records with a null or blank field match
+    nothing and are in neither; text without letters or digits equals only itself. ``rep`` is the smallest key of a class, which may hold
+    any share of all records, as only keys are grouped. A repeated key stands for all its rows.
     """
-    members, texts = classes(df, key, fields)
-    bits = written(field_bits(texts, "rep", fields), "bits")
-    pairs = written(candidates(bits, "rep", len(fields), similar), "candidates")
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    some = texts.join(ids, "rep", "left_semi")
-    return members, written(_verified(pairs, some, fields, similar), "links")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, fields: list[str], similar: float) -> DataFrame:
-    """The pairs ``a, b`` that are similar in every field, by their words."""
-    x = texts.select(F.col("rep").alias("a"), *(F.col(f).alias(f"_a{i}") for i, f in enumerate(fields)))
-    y = texts.select(F.col("rep").alias("b"), *(F.col(f).alias(f"_b{i}") for i, f in enumerate(fields)))
-    both = pairs.join(x, "a").join(y, "b")
-    n = range(len(fields))
-    return both.where(similar_in_all([f"_a{i}" for i in n], [f"_b{i}" for i in n], similar)).select("a", "b")
+    counts, records = document_counts(df, fields)
+    k = code_length(records)
+    prints = written(fingerprinted(df, key, fields, counts, records, tables(k) * (k + 1)), "prints")
+    reps = prints.groupBy("class").agg(F.min(key).alias("rep"), F.any_value("bits").alias("bits"), F.any_value("symbols").alias("symbols"))
+    reps = written(reps, "classes")
+    members = written(salted_lookup(prints.select(key, "class"), reps.select("class", "rep"), "class", key, how="inner").select(key, "rep").distinct(), "members")
+    dropped(prints)
+    pairs = candidates(reps, "rep", len(fields), k, similar)
+    dropped(reps)
+    links = verified(pairs, df, key, fields, similar)
+    return members, written(links.distinct(), "links")
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:

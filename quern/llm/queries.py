@@ -37,9 +37,8 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = table(spark, d, "dialogues")
-    named = splits.named_entities(t.select("dialogue_id", "symptom"), "dialogue_id", "symptom", vocabulary(spark, d))
-    both = t.select("dialogue_id", "patient_query", "split").join(named, "dialogue_id")
-    return contamination.cross_split_overlaps(both, "dialogue_id", "entity", "patient_query", "split")
+    named = written(splits.name_links(t.select("symptom"), "symptom", vocabulary(spark, d)).where("entity is not null"), "names")
+    return contamination.cross_split_overlaps(t, "dialogue_id", splits.name_key(splits.name_words(F.col("symptom"))), named, "patient_query", "split")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,48 +1,109 @@
-"""A true lower bound of the word-count difference of two texts, cheap enough for all pairs of two blocks.
+"""Words of a text as numbers, and a true lower bound of the word-count difference of two texts.
 
-A text's bits tell for each of ``BITS`` hashed buckets whether it holds an odd number of words. Where two texts' bits differ, their
-word counts differ by at least one, so the number of differing bits never exceeds the sum of absolute differences of their word
-counts; of two texts of n and m words with c in common that sum is n + m - 2 c. A pair with more differing bits than similarity
-allows cannot be similar, whatever its words, lengths and order; all others are left to the exact check.
+Every word has one of ``BUCKETS`` hashed numbers. A text's bits tell for each of ``BITS`` groups of numbers whether it holds an odd
+number of words. Where two texts' bits differ, their word counts differ by at least one, so the number of differing bits never
+exceeds the sum of absolute differences of their word counts; of two texts of n and m words with c in common that sum is
+n + m - 2 c. A pair with more differing bits than similarity allows cannot be similar, whatever its words, lengths and order.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+BUCKETS = 2**16
 BITS = 256
 LONGS = BITS // 64
 CHUNK = (64, 2048)
 
+_WORD = re.compile(r"[^\W_]+")
+
+
+def fold(text: str | None) -> list[str] | None:
+    """The words (runs of letters or digits) in lower case; text without any stands for itself as one word, null and blank text is None."""
+    if not text:
+        return None
+    found = _WORD.findall(text.lower())
+    if found:
+        return found
+    if all(c.isspace() or unicodedata.category(c) in ("Cf", "Zs", "Zl", "Zp") for c in text):
+        return None
+    return [text.strip()]
+
+
+class Numbers(dict):
+    """The number of each word met; emptied beyond ``most`` words, which bounds a worker's memory and changes no result."""
+
+    def __init__(self, salt: int = 0, most: int = 500_000) -> None:
+        super().__init__()
+        self.salt, self.most = salt, most
 
-class _Buckets(dict):
     def __missing__(self, word: str) -> int:
-        n = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) * 0x9E3779B1 % 2**32 * BITS >> 32
+        if len(self) > self.most:
+            self.clear()
+        n = self[word] = (zlib.crc32(word.encode("utf-8", "surrogatepass")) ^ self.salt) * 0x9E3779B1 % 2**32 >> 16
         return n
 
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
 
-_buckets = _Buckets()
+def parities(numbers: np.ndarray) -> np.ndarray:
+    """``LONGS`` words of 64 bits: which of the ``BITS`` groups hold an odd number of words."""
+    return np.packbits((np.bincount(numbers >> 8, minlength=BITS) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def word_bits(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bits, ``LONGS`` of them a text; number of words) of texts of words parted by single blanks."""
-    global _buckets
-    if len(_buckets) > 500_000:  # bounds a worker's memory, changes no result
-        _buckets = _Buckets()
-    bits, n = np.zeros((len(texts), BITS // 8), np.uint8), np.zeros(len(texts), np.int32)
-    bucket = _buckets.__getitem__
+    numbers = Numbers()
+    bits, n = np.zeros((len(texts), LONGS), np.uint64), np.zeros(len(texts), np.int32)
     for i, t in enumerate(texts):
-        at = list(map(bucket, t.split(" ")))
-        n[i] = len(at)
-        bits[i] = np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8))
-    return bits.view(np.uint64), n
+        at = numbers.of(t.split(" "))
+        n[i], bits[i] = len(at), parities(at)
+    return bits, n
+
+
+def document_counts(df: DataFrame, fields: list[str]) -> tuple[np.ndarray, int]:
+    """(number of records that hold a word of each number, records with all ``fields``); a record's fields are one text.
+
+    Each task counts into one array; ``BUCKETS`` rows at most come to the driver, whatever the size of the data.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = [Numbers(i) for i in range(len(fields))]
+        seen, rows = np.zeros(BUCKETS, np.int64), 0
+        for b in batches:
+            for texts in zip(*(c.to_pylist() for c in b.columns)):
+                words = [fold(t) for t in texts]
+                if all(words):
+                    seen[np.unique(np.concatenate([n.of(w) for n, w in zip(numbers, words)]))] += 1
+                    rows += 1
+        at = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], rows))], names=["b", "n"])
+
+    sums = df.select(*fields).mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(BUCKETS, np.int64)
+    real = sums["b"].to_numpy(np.int64) >= 0
+    counts[sums["b"].to_numpy(np.int64)[real]] = sums["n"].to_numpy(np.int64)[real]
+    return counts, int(sums["n"].to_numpy(np.int64)[~real].sum())
+
+
+def may_be_similar(xb: np.ndarray, xn: np.ndarray, yb: np.ndarray, yn: np.ndarray, similar: float) -> np.ndarray:
+    """Row by row: whether two texts of ``xn`` and ``yn`` words (bits ``xb``, ``yb``) may be similar."""
+    u, v = xn.astype(np.int64), yn.astype(np.int64)
+    shorter, longer = np.minimum(u, v), np.maximum(u, v)
+    return (shorter >= similar * longer - 1e-6) & (np.bitwise_count(xb ^ yb).sum(1, dtype=np.int64) <= _most(shorter, longer, similar))
 
 
 def possible(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarray, np.ndarray]], similar: float, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs of ``x`` and ``y`` that may be similar in every field; each side has ``word_bits`` of its fields.
+    """Row numbers of all pairs of ``x`` and ``y`` that may be similar in every field; each side has (bits, number of words) of its fields.
 
     ``same``: both are one block, and each pair comes once. Rows are compared in the order of the first field's length, so that one limit
     serves a whole chunk.
@@ -69,10 +130,7 @@ def possible(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarray, n
             if same:
                 p, q = (v[i + at // len(m) < j + at % len(m)] for v in (p, q))
             for (fb, fn), (gb, gn) in zip(x, y):
-                u, v = fn[p].astype(np.int64), gn[q].astype(np.int64)
-                shorter, longer = np.minimum(u, v), np.maximum(u, v)
-                differ = np.bitwise_count(fb[p] ^ gb[q]).sum(1, dtype=np.int64)
-                keep = (shorter >= similar * longer - 1e-6) & (differ <= _most(shorter, longer, similar))
+                keep = may_be_similar(fb[p], fn[p], gb[q], gn[q], similar)
                 p, q = p[keep], q[keep]
             if len(p):
                 yield p, q
