@@ -14,7 +14,6 @@ number, are left out of the automaton and of the number of hits needed, which sp
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.neardup import SIMILAR, verified
-from quern.llm.wordbits import Numbers, document_counts, fold
+from quern.llm.wordbits import Hashes, Words, word_counts
 from quern.session import dropped, salted_lookup, written
 
 SHARD = 20_000  # evaluation texts whose passages make one automaton
@@ -104,16 +103,16 @@ def sorted_texts(df: DataFrame, key: str, text: str, keep: list[str], counts: np
     shipped = df.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, order = Numbers(), shipped.value
+        hashes, order = Hashes(), shipped.value
         for b in batches:
-            at, digests, ranks = [], [], []
-            for i, t in enumerate(b.column(0).to_pylist()):
-                if words := fold(t):
-                    at.append(i)
-                    digests.append(hashlib.md5(" ".join(sorted(words)).encode("utf-8", "surrogatepass")).digest())
-                    ranks.append(np.sort(order[numbers.of(words)]).tobytes())
-            rest = [c.take(pa.array(at, pa.int64())) for c in b.columns[1:]]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(digests, pa.binary()), pa.array(ranks, pa.binary())], names=[*b.schema.names[1:], "class", "ranks"])
+            w = Words(b.column(0).to_pylist(), hashes)
+            at = np.flatnonzero(w.count)
+            ranks = order[w.number]
+            ranks = ranks[np.lexsort((ranks, w.owner))]
+            ends = np.cumsum(w.count)
+            texts = [ranks[e - n : e].tobytes() for e, n in zip(ends[at].tolist(), w.count[at].tolist())]
+            digests = [r.tobytes() for r in w.sums()[at]]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns[1:]), pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], names=[*b.schema.names[1:], "class", "ranks"])
 
     some = df.select(df[text].alias("_text"), df[key].alias("_key"), *(df[c] for c in keep))
     schema = T.StructType([*some.schema.fields[1:], T.StructField("class", T.BinaryType()), T.StructField("ranks", T.BinaryType())])
@@ -146,7 +145,7 @@ def cross_split_overlaps(df: DataFrame, key: str, name: Column, entities: DataFr
     """
     s = F.lower(F.trim(F.col(split)))
     own = df.select(F.col(key), F.col(text), name.alias("_name"), s.isin("val", "test").alias("evaluation"), s.alias("_s")).where("_s in ('train', 'val', 'test') and _name is not null").drop("_s")
-    counts, _ = document_counts(own, [text])
+    counts, _ = word_counts(own, [text])
     t = sorted_texts(own, key, text, ["_name", "evaluation"], counts)
     t = salted_lookup(t, entities.select(F.col("key").alias("_name"), "entity"), "_name", key, how="inner")
     t = t.withColumn("class", F.concat_ws("|", F.hex("class"), F.col("entity").cast("string"), F.col("evaluation").cast("string")))

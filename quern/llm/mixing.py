@@ -2,8 +2,8 @@
 
 The tokens a mix asks for are cut into blocks of equal size. Sainte-Laguë apportionment gives the blocks to the sources, always
 to the highest quotient weight / (2 * blocks so far + 1) among the sources that still have tokens within their repeat cap; the
-blocks of a source go to its shards (hash ranges of documents) in the same way, in proportion to the shards' tokens. Inside a
-shard documents are taken in seeded order until its blocks are full: whole passes first, then part of one more pass.
+blocks of a source go to its shards (hash ranges of documents) in the same way, in proportion to the shards' tokens. The seeded order
+of a shard's documents is cut into blocks, of which its quota is taken: whole passes first, then the blocks of part of one more.
 """
 
 from __future__ import annotations
@@ -18,28 +18,31 @@ from pyspark.sql import types as T
 from quern.session import written
 
 BLOCKS = 10_000
-SLOTS = 64
+SLOTS = 4096
 SHARD_DOCS = 500
 SEED = 42
 SHARE = T.DecimalType(18, 9)
 
 
-def source_tokens(counted: DataFrame, source: Column) -> DataFrame:
-    """``source_key`` (null for documents without a source) and its ``tokens``."""
-    return counted.groupBy(source.alias("source_key")).agg(F.sum("n_tokens").alias("tokens"))
+def source_tokens(counted: DataFrame, source: Column, named: list[str]) -> DataFrame:
+    """``source_key`` and its ``tokens`` for the ``named`` sources; all other documents are one row with a null key."""
+    return counted.groupBy(F.when(source.isin(named), source).alias("source_key")).agg(F.sum("n_tokens").alias("tokens"))
 
 
 def mix_capacity(counted: DataFrame, source: Column, targets: DataFrame, target_source: Column) -> DataFrame:
-    """Each row of ``targets`` with ``tokens`` of its source, ``all_tokens``, ``asked``, ``capacity`` (with repeats) and ``falls_short``.
+    """Each row of ``targets`` with ``tokens`` of its source, ``all_tokens``, ``asked`` and ``capacity`` (with repeats).
 
     Shares are exact decimals. A source without documents has 0 tokens; documents without source count in ``all_tokens`` only.
+    ``targets`` is a small table of settings; only its sources have rows of their own.
     """
-    per = written(source_tokens(counted, source), "source-tokens")  # one row a source, read twice
+    want = targets.withColumn("source_key", target_source)
+    named = [r[0] for r in want.select("source_key").where("source_key is not null").distinct().collect()]
+    per = written(source_tokens(counted, source, named), "source-tokens")  # one row a target source, read twice
     total = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
-    t = targets.withColumn("source_key", target_source).join(F.broadcast(per), "source_key", "left").crossJoin(F.broadcast(total))
+    t = want.join(F.broadcast(per), "source_key", "left").crossJoin(F.broadcast(total))
     t = t.withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("capacity", F.col("tokens") * F.col("max_repeats"))
     asked = F.col("weight").cast(SHARE) * F.col("size_share").cast(SHARE) * F.col("all_tokens").cast(T.DecimalType(20, 0))
-    return t.withColumn("asked", asked).withColumn("falls_short", F.col("capacity").cast(T.DecimalType(24, 0)) < F.col("asked"))
+    return t.withColumn("asked", asked)
 
 
 def apportion(blocks: int, weights: dict, caps: dict) -> dict:
@@ -57,35 +60,45 @@ def apportion(blocks: int, weights: dict, caps: dict) -> dict:
     return got
 
 
+def block_quotas(rows: list, blocks: int = BLOCKS) -> list[dict]:
+    """Each target row with ``block`` (tokens), its ``quota`` by the weights alone, the ``blocks`` it gets and whether it ``falls_short``.
+
+    Apportionment by the weights alone gives the quota. A source that runs out before it has its quota falls short; what it leaves
+    goes to the others by the same quotients, so the mix keeps its size as long as any source has blocks left.
+    """
+    out = []
+    for mix in sorted({r["mix"] for r in rows}):
+        own = {r["source"]: r for r in rows if r["mix"] == mix}
+        weights = {k: float(r["weight"]) for k, r in own.items()}
+        block = max(1.0, float(sum(r["asked"] for r in own.values())) / blocks)
+        n = round(float(sum(r["asked"] for r in own.values())) / block)
+        quota = apportion(n, weights, dict.fromkeys(weights, n))
+        caps = {k: int(r["capacity"] // block) for k, r in own.items()}
+        got = apportion(n, weights, caps)
+        out += [dict(mix=mix, source=k, source_key=r["source_key"], block=block, quota=quota[k], blocks=got[k], falls_short=got[k] < quota[k], row=r) for k, r in own.items()]
+    return out
+
+
 def shard_counts(sizes: list) -> dict[str, int]:
     """Shards of each source: a power of two up to ``SLOTS`` that leaves ``SHARD_DOCS`` documents or more to a shard, so that cutting inside documents hardly matters."""
     docs: dict[str, int] = {}
     for r in sizes:
         docs[r["source_key"]] = docs.get(r["source_key"], 0) + r["docs"]
-    return {k: next((n for n in (64, 32, 16, 8, 4, 2) if n <= SLOTS and d >= n * SHARD_DOCS), 1) for k, d in docs.items()}
+    return {k: max(1, 1 << max(0, min(SLOTS, d // SHARD_DOCS).bit_length() - 1)) for k, d in docs.items()}
 
 
-def shard_quotas(rows: list, sizes: list, counts: dict[str, int], blocks: int = BLOCKS) -> list[tuple]:
-    """(mix, source_key, shard, quota tokens, max_repeats) from the driver's two small tables: targets, and tokens by source and slot."""
+def shard_quotas(quotas: list[dict], sizes: list, counts: dict[str, int]) -> list[tuple]:
+    """(mix, source_key, shard, blocks, tokens of a block, max_repeats): the blocks of a source apportioned to its shards by their tokens."""
     of: dict = {}
     for r in sizes:
         own = of.setdefault(r["source_key"], {})
         s = r["slot"] * counts[r["source_key"]] // SLOTS
         own[s] = own.get(s, 0) + r["tokens"]
     out = []
-    for mix in sorted({r["mix"] for r in rows}):
-        own = {r["source_key"]: r for r in rows if r["mix"] == mix}
-        size = float(sum(r["asked"] for r in own.values()))
-        block = max(1.0, size / blocks)
-        n = round(size / block)
-        caps = {k: int(r["capacity"] // block) for k, r in own.items()}
-        got = apportion(n, {k: float(r["weight"]) for k, r in own.items()}, {k: min(caps[k], round(float(r["asked"]) / block)) for k, r in own.items()})
-        for k, r in own.items():
-            own_shards = of.get(k, {})
-            room = {s: int(-(-t * r["max_repeats"] // block)) for s, t in own_shards.items()}
-            for s, q in apportion(got[k], own_shards, room).items():
-                if q:
-                    out.append((mix, k, s, min(q * block, float(own_shards[s] * r["max_repeats"])), int(r["max_repeats"])))
+    for q in quotas:
+        shards, repeats = of.get(q["source_key"], {}), int(q["row"]["max_repeats"])
+        room = {s: int(-(-t * repeats // q["block"])) for s, t in shards.items()}
+        out += [(q["mix"], q["source_key"], s, n, q["block"], repeats) for s, n in apportion(q["blocks"], shards, room).items() if n]
     return out
 
 
@@ -98,30 +111,36 @@ def mixed(counted: DataFrame, key: str, source: Column, targets: DataFrame, targ
     """
     spark = counted.sparkSession
     docs = counted.select(F.col(key), source.alias("source_key"), "n_tokens")
-    capacity = mix_capacity(counted, source, targets, target_source)
-    docs = docs.where("source_key is not null and n_tokens > 0").withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    rows = mix_capacity(counted, source, targets, target_source).collect()  # the target rows
+    quotas = block_quotas(rows)
+    docs = docs.where(F.col("source_key").isin([r["source_key"] for r in rows]) & (F.col("n_tokens") > 0)).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
     docs = docs.withColumn("slot", F.pmod("_h", F.lit(SLOTS)).cast("int"))
-    named = F.broadcast(capacity.select("source_key").distinct())
-    sizes = docs.join(named, "source_key", "left_semi").groupBy("source_key", "slot").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    sizes, rows = sizes.collect(), capacity.collect()  # sources named by a target x SLOTS rows, and the target rows
+    sizes = docs.groupBy("source_key", "slot").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()  # target sources x SLOTS rows
     counts = shard_counts(sizes)
-    schema = "mix string, source_key string, shard int, quota double, max_repeats int"
-    quotas = F.broadcast(spark.createDataFrame(shard_quotas(rows, sizes, counts), schema))
+    shards = spark.createDataFrame(shard_quotas(quotas, sizes, counts), "mix string, source_key string, shard int, blocks long, block double, max_repeats int")
     layout = F.broadcast(spark.createDataFrame(list(counts.items()), "source_key string, _shards int"))
     docs = docs.join(layout, "source_key").withColumn("shard", F.floor(F.col("slot") * F.col("_shards") / SLOTS).cast("int"))
     order = W.partitionBy("source_key", "shard").orderBy("_h", key)
     ran = docs.withColumn("_end", F.sum("n_tokens").over(order)).withColumn("_all", F.sum("n_tokens").over(W.partitionBy("source_key", "shard")))
-    hit = ran.join(quotas, ["source_key", "shard"])
-    passes = F.floor(F.col("quota") / F.col("_all"))
-    rest = F.col("quota") - passes * F.col("_all")
-    more = (F.col("_end") - F.col("n_tokens") / 2 <= rest).cast("long")
+    hit = ran.join(F.broadcast(shards), ["source_key", "shard"])
+    # the seeded order is cut into blocks; a document is of the block that holds its middle, and whole passes over the shard come first
+    quota = F.least(F.col("blocks") * F.col("block"), F.col("_all") * F.col("max_repeats"))
+    passes = F.floor(quota / F.col("_all"))
+    block = F.floor((F.col("_end") - F.col("n_tokens") / 2) / F.col("block"))
+    more = (block < F.round((quota - passes * F.col("_all")) / F.col("block"))).cast("long")
     chosen = hit.withColumn("repeats", F.least(F.col("max_repeats").cast("long"), passes + more)).where("repeats > 0")
     chosen = chosen.select("mix", "source_key", key, "repeats", F.col("n_tokens").alias("tokens"))
     taken = chosen.groupBy("mix", "source_key").agg(F.sum(F.col("repeats") * F.col("tokens")).alias("taken"))
     small = spark.createDataFrame(
-        [(r["mix"], r["source"], r["source_key"], float(r["weight"]), float(r["asked"]), int(r["capacity"]), bool(r["falls_short"])) for r in rows],
-        "mix string, source string, source_key string, target_share double, asked double, capacity long, falls_short boolean",
+        [(q["mix"], q["source"], q["source_key"], float(q["row"]["weight"]), float(q["row"]["asked"]), int(q["quota"]), int(q["blocks"]), int(q["row"]["capacity"]), q["falls_short"]) for q in quotas],
+        "mix string, source string, source_key string, target_share double, asked double, quota long, blocks long, capacity long, falls_short boolean",
     )
     report = small.join(F.broadcast(taken), ["mix", "source_key"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     report = report.withColumn("actual_share", F.try_divide("taken", F.sum("taken").over(W.partitionBy("mix"))))
-    return chosen, report.select("mix", "source", "target_share", "actual_share", "asked", "taken", "capacity", "falls_short")
+    return chosen, report.select("mix", "source", "target_share", "actual_share", "asked", "taken", "quota", "blocks", "capacity", "falls_short")
+
+
+def short_sources(counted: DataFrame, source: Column, targets: DataFrame, target_source: Column) -> DataFrame:
+    """``mix, source`` of the targets whose source runs out of blocks before it has its quota (:func:`block_quotas`)."""
+    quotas = block_quotas(mix_capacity(counted, source, targets, target_source).collect())
+    return counted.sparkSession.createDataFrame([(q["mix"], q["source"]) for q in quotas if q["falls_short"]], "mix string, source string")

@@ -15,7 +15,6 @@ probability of ``1 - MISS``. Above the limit pairs meet all but surely; ``tests/
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.components import connected_components
-from quern.llm.wordbits import BUCKETS, LONGS, Numbers, document_counts, fold, may_be_similar, parities, possible
+from quern.llm.wordbits import BUCKETS, LONGS, Hashes, Words, fold, may_be_similar, possible, word_counts
 from quern.session import dropped, salted_lookup, written
 
 PRIME = 65_537  # symbols are numbers below 2**16
@@ -55,15 +54,21 @@ def tables(k: int) -> int:
 
 
 class Fingerprints:
-    """Symbols of texts given as word numbers: for each symbol the number with the least exponential variate, sped up by its weight."""
+    """Symbols of texts: for each symbol the word number with the least exponential variate, sped up by its weight (rare words weigh more)."""
 
     def __init__(self, counts: np.ndarray, records: int, symbols: int, seed: int = SEED) -> None:
-        weight = np.log1p(records / np.maximum(counts, 1)) ** RARITY
-        self.score = (np.random.default_rng(seed).exponential(size=(BUCKETS, symbols)) / np.maximum(weight, 1e-3)[:, None]).astype(np.float32)
+        weight = np.maximum(np.log1p(records / np.maximum(counts, 1)) ** RARITY, 1e-3)
+        score = (np.random.default_rng(seed).exponential(size=(BUCKETS, symbols)) / weight[:, None]).astype(np.float32)
+        self.score = score.view(np.uint32).astype(np.uint64) << np.uint64(16) | np.arange(BUCKETS, dtype=np.uint64)[:, None]  # positive floats order as their bits do
 
-    def of(self, numbers: np.ndarray) -> np.ndarray:
-        own = np.unique(numbers)
-        return own[self.score[own].argmin(0)]
+    def of(self, numbers: np.ndarray, count: np.ndarray, step: int = 500) -> np.ndarray:
+        """A row of symbols for each text (of one word or more); ``numbers`` holds the words of all, one text after the other."""
+        edges = np.r_[0, np.cumsum(count)]
+        out = np.empty((len(count), self.score.shape[1]), np.uint16)
+        for i in range(0, len(count), step):
+            at = edges[i : min(i + step, len(count)) + 1]
+            out[i : i + step] = np.minimum.reduceat(self.score[numbers[at[0] : at[-1]]], at[:-1] - at[0], axis=0).astype(np.uint16)
+        return out
 
 
 def anchors(symbols: np.ndarray, k: int) -> np.ndarray:
@@ -84,24 +89,25 @@ def anchors(symbols: np.ndarray, k: int) -> np.ndarray:
 def fingerprinted(df: DataFrame, key: str, fields: list[str], counts: np.ndarray, records: int, symbols: int) -> DataFrame:
     """``<key>, class, bits, symbols`` of each record with all ``fields``; others have no row.
 
-    ``class`` is a digest of the words of each field whatever their order; ``bits`` holds for each field its parities and number of words.
+    ``class`` is a 128-bit digest of each field's words whatever their order; ``bits`` holds for each field its parities and number of words.
     """
     shipped = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, numbers = Fingerprints(shipped.value, records, symbols), [Numbers(i) for i in range(len(fields))]
+        prints, hashes = Fingerprints(shipped.value, records, symbols), [Hashes(i) for i in range(len(fields))]
         for b in batches:
-            keys, digests, bits, symbols_ = [], [], [], []
-            for key_, *texts in zip(*(c.to_pylist() for c in b.columns)):
-                words = [fold(t) for t in texts]
-                if not all(words):
-                    continue
-                own = [n.of(w) for n, w in zip(numbers, words)]
-                keys.append(key_)
-                digests.append(hashlib.md5("\n".join(" ".join(sorted(w)) for w in words).encode("utf-8", "surrogatepass")).digest())
-                bits.append(b"".join(parities(o).tobytes() + np.uint64(len(o)).tobytes() for o in own))
-                symbols_.append(prints.of(np.concatenate(own)).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.types[0]), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(symbols_, pa.binary())], names=["_key", "class", "bits", "symbols"])
+            words = [Words(c.to_pylist(), h) for c, h in zip(b.columns[1:], hashes)]
+            whole = np.logical_and.reduce([w.count > 0 for w in words])
+            at = np.flatnonzero(whole)
+            if not len(at):
+                continue
+            digest = np.concatenate([w.sums() for w in words], axis=1)[at]
+            bits = np.concatenate([np.concatenate([w.parities(), w.count[:, None].astype(np.uint64)], axis=1) for w in words], axis=1)[at]
+            owner = np.concatenate([w.owner for w in words])
+            order = np.argsort(owner, kind="stable")
+            order = order[whole[owner[order]]]
+            own = prints.of(np.concatenate([w.number for w in words])[order], sum(w.count for w in words)[at])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary()) for x in (digest, bits, own))], names=["_key", "class", "bits", "symbols"])
 
     some = df.select(df[key].alias("_key"), *fields)
     schema = T.StructType([T.StructField("_key", some.schema[0].dataType), *(T.StructField(c, T.BinaryType()) for c in ("class", "bits", "symbols"))])
@@ -231,7 +237,7 @@ def near_duplicates(df: DataFrame, key: str, fields: list[str], similar: float =
     nothing and are in neither; text without letters or digits equals only itself. ``rep`` is the smallest key of a class, which may hold
     any share of all records, as only keys are grouped. A repeated key stands for all its rows.
     """
-    counts, records = document_counts(df, fields)
+    counts, records = word_counts(df, fields)
     k = code_length(records)
     prints = written(fingerprinted(df, key, fields, counts, records, tables(k) * (k + 1)), "prints")
     reps = prints.groupBy("class").agg(F.min(key).alias("rep"), F.any_value("bits").alias("bits"), F.any_value("symbols").alias("symbols"))

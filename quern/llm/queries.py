@@ -74,10 +74,10 @@ def _decisions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dialogues").select("dialogue_id", "final_triage_decision")
 
 
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     cat = sampling.triage_category(F.col("final_triage_decision"))
-    return sampling.availability(_decisions(spark, d), cat, table(spark, d, "sample_targets")).where("falls_short").select("plan", "category")
+    rows = sampling.availability(_decisions(spark, d), cat, table(spark, d, "sample_targets")).collect()  # the target rows
+    return spark.createDataFrame(sampling.shortfalls(rows), "plan string, category string")
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -104,8 +104,7 @@ def _counted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = mixing.mix_capacity(_counted(spark, d), source_key(F.col("source")), table(spark, d, "mix_targets"), source_key(F.col("source")))
-    return rows.where("falls_short").select("mix", "source")
+    return mixing.short_sources(_counted(spark, d), source_key(F.col("source")), table(spark, d, "mix_targets"), source_key(F.col("source")))
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

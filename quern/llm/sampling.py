@@ -114,6 +114,21 @@ def planned_counts(rows: list) -> list[tuple]:
     return out
 
 
+def shortfalls(rows: list) -> list[tuple]:
+    """(plan, category) whose need no sample can meet, from the rows of :func:`availability`.
+
+    Swap repair settles each plan with every category's need as its target; where no exchange is left and a category is still
+    below its need, records of it have run out.
+    """
+    out = []
+    for plan in sorted({r["plan"] for r in rows}):
+        own = {r["category"]: r for r in rows if r["plan"] == plan}
+        need = {c: int(r["needed"].to_integral_value(ROUND_CEILING)) for c, r in own.items()}
+        taken = swap_repair(sum(need.values()), need, dict.fromkeys(need, 0), {c: int(r["available"]) for c, r in own.items()})
+        out += [(plan, c) for c in sorted(need) if taken[c] < need[c]]
+    return out
+
+
 PLANNED = "plan string, category string, sample_size long, available long, wanted double, floor long, taken long"
 
 

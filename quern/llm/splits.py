@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,8 +68,8 @@ def word_corrections(words: DataFrame, vocabulary: DataFrame, shortest: int = 4)
 def name_links(df: DataFrame, name: str, vocabulary: DataFrame) -> DataFrame:
     """``key`` of each distinct name in ``df`` and ``entity``, the vocabulary entry it names, null if none or several.
 
-    ``vocabulary`` has ``entity`` and ``name`` (one row a name, thousands at most). A key that is no vocabulary key is tried with
-    the corrections of its unknown words; all combinations are looked up and those of one entity count.
+    ``vocabulary`` has ``entity`` and ``name`` (one row a name, thousands at most). A key that is no vocabulary key is held against the
+    names of as many words: it is one whose words can be paired with the key's words or their corrections. Names of one entity count.
     """
     spelled = lambda c: (name_words(F.col(c)).alias("words"), name_words(F.col(c), fold=False).alias("raws"))
     names = vocabulary.select("entity", *spelled("name")).withColumn("key", name_key(F.col("words")))
@@ -81,37 +82,74 @@ def name_links(df: DataFrame, name: str, vocabulary: DataFrame) -> DataFrame:
     parts = open_.select("key", F.posexplode(F.arrays_zip("words", "raws")).alias("pos", "w")).select("key", "pos", F.col("w.words").alias("word"), F.col("w.raws").alias("raw"))
     unknown = parts.select("word", "raw").distinct().join(F.broadcast(vocab_words.select("word").distinct()), "word", "left_anti")
     fixes = written(word_corrections(unknown, vocab_words), "corrections")
-    tried = parts.join(fixes, "word", "left").withColumn("right", F.coalesce("right", F.array("word")))
-    tried = tried.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "right"))).alias("slots"), F.max((F.size("right") > 1) | (F.col("right")[0] != F.col("word"))).alias("fixed"))
-    combos = F.aggregate(
-        "slots", F.array(F.array().cast("array<string>")), lambda acc, s: F.flatten(F.transform(acc, lambda head: F.transform(s["right"], lambda w: F.concat(head, F.array(w)))))
-    )
-    fixed = tried.where("fixed").select("key", F.explode(combos).alias("words")).withColumn("as", name_key(F.col("words")))
-    mended = fixed.join(F.broadcast(known.withColumnRenamed("key", "as")), "as").groupBy("key").agg(F.min("entity").alias("entity"), F.count_distinct("entity").alias("n"))
+    slots = names.where("key is not null").select("key", F.col("words").alias("_w")).distinct().join(known, "key")
+    slots = slots.select(F.col("key").alias("vkey"), "entity", F.size("_w").alias("n"), F.posexplode("_w").alias("vpos", "right"))
+    sizes = open_.select("key", F.size("words").alias("n"))
+    tried = parts.join(fixes, "word", "left").join(sizes, "key").select("key", "n", "pos", F.explode(F.coalesce("right", F.array("word"))).alias("right"))
+    met = tried.join(F.broadcast(slots), ["right", "n"]).groupBy("key", "vkey", "entity", "n").agg(F.collect_set(F.struct("pos", "vpos")).alias("links"), F.count_distinct("pos").alias("own"), F.count_distinct("vpos").alias("its"))
+    mended = met.where((F.col("own") == F.col("n")) & (F.col("its") == F.col("n")) & _matched(F.col("links"), F.col("n"))).groupBy("key").agg(F.min("entity").alias("entity"), F.count_distinct("entity").alias("n"))
     mended = mended.where("n = 1").drop("n")
     return keys.select("key").join(known.unionByName(mended), "key", "left")
 
 
+def _matched(links: Column, n: Column) -> Column:
+    """Whether ``n`` words and ``n`` words of another name can be paired along ``links`` (structs of two positions)."""
+
+    def whole(pairs, size: int) -> bool:
+        to: dict[int, list[int]] = {}
+        for p in pairs:
+            to.setdefault(p["pos"], []).append(p["vpos"])
+        taken: dict[int, int] = {}
+
+        def place(x: int, seen: set) -> bool:
+            for y in to.get(x, []):
+                if y not in seen:
+                    seen.add(y)
+                    if y not in taken or place(taken[y], seen):
+                        taken[y] = x
+                        return True
+            return False
+
+        return all(place(x, set()) for x in range(size))
+
+    def run(pairs: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([whole(p, int(k)) for p, k in zip(pairs, size)], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(links, n)
+
+
 def named_entities(df: DataFrame, key: str, name: str, vocabulary: DataFrame) -> DataFrame:
     """``<key>`` and ``entity``, the vocabulary entry that the record's name is of; records that name none are left out."""
     links = written(name_links(df, name, vocabulary).where("entity is not null"), "links")
     return salted_lookup(df.select(key, name_key(name_words(F.col(name))).alias("key")), links, "key", key, how="inner").select(key, "entity")
 
 
-def entity_groups(df: DataFrame, key: str, name: str, vocabulary: DataFrame) -> DataFrame:
-    """``<key>``, ``entity`` (null if the record names none) and ``component`` of every record.
+def entity_groups(df: DataFrame, key: str, name: str, vocabulary: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """``<key>``, ``component`` and ``entity`` (the only one of the component, else null) of every record.
 
-    The graph's nodes are names and entities; its edges link a name in use to its entity and an entity to its own names. A record
-    without a name, or whose name nothing links, is a component of its own, ``alone:<key>``.
+    The graph's nodes are names, entities and the values of the columns ``others`` (authors, sources, ...). Its edges link a name in use to
+    its entity, an entity to its own names, and the first value of a record to each further one, so records that share any value
+    are one component, however long the chain. A record without any value that something shares is a component of its own,
+    ``alone:<key>``; null and empty values link nothing.
     """
     links = written(name_links(df, name, vocabulary), "links")
     names = vocabulary.select("entity", name_key(name_words(F.col("name"))).alias("key")).where("key is not null")
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     edges = links.where("entity is not null").select("key", "entity").unionByName(names.select("key", "entity"))
-    edges = edges.select(F.concat(F.lit("name:"), "key").alias("a"), F.concat(F.lit("entity:"), F.col("entity").cast("string")).alias("b"))
+    edges = edges.select(node("name", "key").alias("a"), node("entity", "entity").alias("b"))
+    of_name = links.where("entity is not null").select("key", node("name", "key").alias("_name"))
+    rows = salted_lookup(df.select(key, name_key(name_words(F.col(name))).alias("key"), *(F.when(F.col(c).cast("string") != "", node(c, c)).alias(f"_o_{c}") for c in others)), of_name, "key", key)
+    rows = rows.withColumn("_nodes", F.array_compact(F.array("_name", *(f"_o_{c}" for c in others))))
+    rows = rows.select(key, F.try_element_at("_nodes", F.lit(1)).alias("node"), *(["_nodes"] if others else []))
+    if others:
+        rows = written(rows, "nodes-of-records")
+        chain = rows.where(F.size("_nodes") > 0).select("node", F.explode("_nodes").alias("b")).distinct()
+        edges = edges.unionByName(chain.select(F.col("node").alias("a"), "b"))
     parts = written(connected_components(edges, "a", "b"), "components")
-    found = links.where("entity is not null").withColumn("node", F.concat(F.lit("name:"), "key")).join(parts, "node")
-    rows = df.select(key, name_key(name_words(F.col(name))).alias("key"))
-    out = salted_lookup(rows, found.select("key", "entity", "component"), "key", key)
+    held = parts.where(F.col("node").startswith("entity:")).groupBy("component").agg(F.min("node").alias("entity"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    entity = F.substring_index("entity", ":", -1).cast(vocabulary.schema["entity"].dataType).alias("entity")
+    groups = written(parts.join(held.select("component", entity), "component", "left"), "groups-of-nodes")
+    out = salted_lookup(rows.select(key, "node"), groups.select("node", "component", "entity"), "node", key)
     return out.select(key, "entity", F.coalesce("component", F.concat(F.lit("alone:"), F.col(key).cast("string"))).alias("component"))
 
 

@@ -8,10 +8,11 @@ n + m - 2 c. A pair with more differing bits than similarity allows cannot be si
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,15 @@ LONGS = BITS // 64
 CHUNK = (64, 2048)
 
 _WORD = re.compile(r"[^\W_]+")
+_ASCII = {i: chr(i) if chr(i).isalnum() else " " for i in range(128)}  # the same words as the pattern's where a text is plain ASCII
 
 
 def fold(text: str | None) -> list[str] | None:
     """The words (runs of letters or digits) in lower case; text without any stands for itself as one word, null and blank text is None."""
     if not text:
         return None
-    found = _WORD.findall(text.lower())
+    low = text.lower()
+    found = low.translate(_ASCII).split() if low.isascii() else _WORD.findall(low)
     if found:
         return found
     if all(c.isspace() or unicodedata.category(c) in ("Cf", "Zs", "Zl", "Zp") for c in text):
@@ -38,61 +41,68 @@ def fold(text: str | None) -> list[str] | None:
     return [text.strip()]
 
 
-class Numbers(dict):
-    """The number of each word met; emptied beyond ``most`` words, which bounds a worker's memory and changes no result."""
+class Hashes(dict):
+    """A 64-bit hash of each word met; emptied beyond ``most`` words, which bounds a worker's memory and changes no result."""
 
     def __init__(self, salt: int = 0, most: int = 500_000) -> None:
         super().__init__()
-        self.salt, self.most = salt, most
+        self.salt, self.most = salt.to_bytes(8, "little"), most
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.most:
             self.clear()
-        n = self[word] = (zlib.crc32(word.encode("utf-8", "surrogatepass")) ^ self.salt) * 0x9E3779B1 % 2**32 >> 16
-        return n
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8, salt=self.salt).digest(), "little")
+        return h
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+class Words:
+    """The words of a batch of texts: ``hash`` and ``number`` of each, one text after the other, and each text's ``count`` (0 if it has none)."""
 
-def parities(numbers: np.ndarray) -> np.ndarray:
-    """``LONGS`` words of 64 bits: which of the ``BITS`` groups hold an odd number of words."""
-    return np.packbits((np.bincount(numbers >> 8, minlength=BITS) & 1).astype(np.uint8)).view(np.uint64)
+    def __init__(self, texts: list[str | None], hashes: Hashes) -> None:
+        folded = [fold(t) or () for t in texts]
+        self.count = np.fromiter(map(len, folded), np.int64, len(folded))
+        self.hash = np.fromiter(map(hashes.__getitem__, chain.from_iterable(folded)), np.uint64, int(self.count.sum()))
+        self.number = (self.hash >> np.uint64(48)).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(folded)), self.count)
 
+    def sums(self) -> np.ndarray:
+        """Two 64-bit sums of the words' mixed hashes for each text: equal for the same words in any order."""
+        out = np.zeros((len(self.count), 2), np.uint64)
+        some = np.flatnonzero(self.count)
+        if len(some):
+            starts = np.r_[0, np.cumsum(self.count)[:-1]][some]
+            for i, odd in enumerate((0xBF58476D1CE4E5B9, 0x94D049BB133111EB)):
+                mixed = (self.hash ^ (self.hash >> np.uint64(29 + i))) * np.uint64(odd)
+                out[some, i] = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)
+        return out
 
-def word_bits(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, ``LONGS`` of them a text; number of words) of texts of words parted by single blanks."""
-    numbers = Numbers()
-    bits, n = np.zeros((len(texts), LONGS), np.uint64), np.zeros(len(texts), np.int32)
-    for i, t in enumerate(texts):
-        at = numbers.of(t.split(" "))
-        n[i], bits[i] = len(at), parities(at)
-    return bits, n
+    def parities(self) -> np.ndarray:
+        """``LONGS`` words of 64 bits for each text: which of the ``BITS`` groups hold an odd number of its words."""
+        odd = np.bincount(self.owner * BITS + (self.number >> 8), minlength=len(self.count) * BITS) & 1
+        return np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1).view(np.uint64)
 
 
-def document_counts(df: DataFrame, fields: list[str]) -> tuple[np.ndarray, int]:
-    """(number of records that hold a word of each number, records with all ``fields``); a record's fields are one text.
+def word_counts(df: DataFrame, fields: list[str]) -> tuple[np.ndarray, int]:
+    """(occurrences of the words of each number over all texts, number of records); the fields number their words each in its own way.
 
     Each task counts into one array; ``BUCKETS`` rows at most come to the driver, whatever the size of the data.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = [Numbers(i) for i in range(len(fields))]
+        hashes = [Hashes(i) for i in range(len(fields))]
         seen, rows = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            for texts in zip(*(c.to_pylist() for c in b.columns)):
-                words = [fold(t) for t in texts]
-                if all(words):
-                    seen[np.unique(np.concatenate([n.of(w) for n, w in zip(numbers, words)]))] += 1
-                    rows += 1
+            for c, h in zip(b.columns, hashes):
+                seen += np.bincount(Words(c.to_pylist(), h).number, minlength=BUCKETS)
+            rows += b.num_rows
         at = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], rows))], names=["b", "n"])
 
     sums = df.select(*fields).mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    at, n = sums["b"].to_numpy(np.int64), sums["n"].to_numpy(np.int64)
     counts = np.zeros(BUCKETS, np.int64)
-    real = sums["b"].to_numpy(np.int64) >= 0
-    counts[sums["b"].to_numpy(np.int64)[real]] = sums["n"].to_numpy(np.int64)[real]
-    return counts, int(sums["n"].to_numpy(np.int64)[~real].sum())
+    counts[at[at >= 0]] = n[at >= 0]
+    return counts, int(n[at < 0].sum())
 
 
 def may_be_similar(xb: np.ndarray, xn: np.ndarray, yb: np.ndarray, yn: np.ndarray, similar: float) -> np.ndarray:
@@ -114,7 +124,7 @@ def possible(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarray, n
     xs, ys = xn[xo].astype(np.int64), yn[yo].astype(np.int64)
     for i in range(0, len(xs), CHUNK[0]):
         n = xs[i : i + CHUNK[0]]
-        for j in range(i // CHUNK[1] * CHUNK[1] if same else 0, len(ys), CHUNK[1]):
+        for j in range(i if same else 0, len(ys), CHUNK[1]):
             m = ys[j : j + CHUNK[1]]
             shorter, longer = min(n[-1], m[-1]), max(n[0], m[0])
             if shorter < similar * longer:

@@ -103,8 +103,8 @@ def scanned(e, t):
     """Pairs of numbers that the automaton over ``e`` leaves of ``t``."""
     import numpy as np
 
-    numbers = wordbits.Numbers()
-    ranks = lambda x: np.sort(numbers.of(wordbits.fold(x)))
+    hashes = wordbits.Hashes()
+    ranks = lambda x: np.sort(wordbits.Words([x], hashes).number)
     shard = contamination.Shard([ranks(x) for x in e])
     return {(i, j): c for j, y in enumerate(t) for i, c in shard.scan(contamination.normalised(ranks(y)))}
 

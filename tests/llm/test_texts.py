@@ -89,13 +89,31 @@ def test_sainte_lague():
     assert mixing.apportion(5, {"a": 1}, {"a": 0}) == {"a": 0}
 
 
+def test_found_rows_come_from_the_operators(monkeypatch, spark, small):
+    from quern.llm import queries
+
+    assert queries.p5_found(spark, small).count() and queries.p7_found(spark, small).count()
+    monkeypatch.setattr(sampling, "swap_repair", lambda size, wanted, *_: dict(wanted))
+    monkeypatch.setattr(mixing, "apportion", lambda blocks, weights, caps: dict.fromkeys(weights, 1))
+    assert not queries.p5_found(spark, small).count() and not queries.p7_found(spark, small).count()
+
+
+def test_quotas_and_what_is_left_over():
+    rows = [{"mix": "m", "source": s, "source_key": s, "weight": w, "asked": 1000 * w, "capacity": c, "max_repeats": 2} for s, w, c in (("a", 0.5, 9000), ("b", 0.3, 150), ("c", 0.2, 9000))]
+    q = {x["source"]: x for x in mixing.block_quotas(rows, 100)}
+    assert [q[s]["quota"] for s in "abc"] == [50, 30, 20] and [q[s]["falls_short"] for s in "abc"] == [False, True, False]
+    assert q["b"]["blocks"] == 15 and sum(x["blocks"] for x in q.values()) == 100 and abs(q["a"]["blocks"] - 61) <= 1
+    assert mixing.shard_counts([{"source_key": "a", "docs": 10_000_000}, {"source_key": "b", "docs": 3}]) == {"a": 4096, "b": 1}
+
+
 def test_mix(spark):
     rows = [(i, ["A one", "a-one", "A_ONE"][i % 3], 10) for i in range(2000)] + [(3000 + i, "b", 10) for i in range(20)] + [(4000, None, 50), (4001, "b", 0)]
     df = spark.createDataFrame(rows, "k int, source string, n_tokens long")
     targets = spark.createDataFrame([("m", "a one", 0.5, 1, 0.1), ("m", "b", 0.5, 3, 0.1), ("m", "none", 0.0, 1, 0.1)], "mix string, source string, weight double, max_repeats int, size_share double")
     chosen, report = mixing.mixed(df, "k", source_key(F.col("source")), targets, source_key(F.col("source")))
     r = {x["source"]: x for x in report.collect()}
-    assert r["b"]["falls_short"] and r["b"]["taken"] == 600 and not r["a one"]["falls_short"] and abs(r["a one"]["taken"] - r["a one"]["asked"]) <= 20
+    assert r["b"]["falls_short"] and r["b"]["taken"] == 600 and not r["a one"]["falls_short"]
+    assert abs(r["a one"]["taken"] + 600 - 2 * r["a one"]["asked"]) <= 20  # what "b" leaves goes to the other source
     assert chosen.where("source_key = 'b' and repeats <> 3").count() == 0 and chosen.where("k in (4000, 4001)").count() == 0
     again = mixing.mixed(df, "k", source_key(F.col("source")), targets, source_key(F.col("source")))[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, chosen.collect()))
