@@ -15,6 +15,7 @@ number, are left out of the automaton and of the number of hits needed, which sp
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,7 +30,8 @@ from quern.llm.wordbits import Hashes, Words, word_counts
 from quern.session import dropped, salted_lookup, written
 
 SHARD = 20_000  # evaluation texts whose passages make one automaton
-BLOCK = 100_000  # training texts in one task
+BLOCK = 100_000  # training texts in one task at most; an entity with fewer is dealt into up to SPREAD blocks of LEAST texts or more
+SPREAD, LEAST = 16, 4_096
 START, END, FIRST = 1, 2, 0x10000  # characters: the marks, and the rarest word
 
 
@@ -68,20 +70,45 @@ class Shard:
             self.automaton.add_word(chr(known[i] >> 32) + chr(known[i] & 0xFFFFFFFF), i)
         self.automaton.make_automaton()
 
-    def scan(self, text: str) -> list[tuple[int, float]]:
-        """(number, coverage) of the evaluation texts that may be similar to a normalised training text."""
+        self.bits = np.array([parities(t) for t in texts], np.uint64).reshape(len(texts), -1)
+        self.ranks, self.needed = texts, {}
+
+    def _need(self, m: int) -> np.ndarray:
+        """Hits that each evaluation text needs of a text of ``m`` words; more than it has where their lengths alone rule it out."""
+        if m not in self.needed:
+            longer = np.maximum(self.n, m)
+            need = np.maximum(1, 3 * np.ceil(self.similar * longer - 1e-9) - self.n - m + 1 - self.spared)
+            self.needed[m] = np.where(np.minimum(self.n, m) >= self.similar * longer - 1e-9, need, self.n + 2)
+        return self.needed[m]
+
+    def scan(self, ranks: np.ndarray) -> list[tuple[int, float]]:
+        """(number, coverage) of the evaluation texts that may be similar to a training text (sorted word ranks).
+
+        Of those with enough hits a parity bound and the words in common, both on ranks, leave hardly any that is not similar; words of
+        one rank only add to what is in common.
+        """
+        text, m = normalised(ranks), len(ranks)
         hits = {i for _, i in self.automaton.iter(text)}
         if not hits:
             return []
-        found = np.bincount(np.concatenate([self.owners[self.starts[i] : self.starts[i + 1]] for i in hits]), minlength=len(self.n))
-        m = len(text) - 2
-        longer = np.maximum(self.n, m)
-        need = 3 * np.ceil(self.similar * longer - 1e-9) - self.n - m + 1 - self.spared
-        maybe = np.flatnonzero((found >= np.maximum(need, 1)) & (np.minimum(self.n, m) >= self.similar * longer - 1e-9))
+        starts, owners = self.starts, self.owners
+        found = np.bincount(np.concatenate([owners[starts[i] : starts[i + 1]] for i in hits]), minlength=len(self.n))
+        maybe = np.flatnonzero(found >= self._need(m))
+        if len(maybe):
+            apart = np.bitwise_count(self.bits[maybe] ^ parities(ranks)).sum(1, dtype=np.int64)
+            n = self.n[maybe]
+            maybe = maybe[apart <= n + m - 2 * self.similar * np.maximum(n, m) + 1e-6]
         if not len(maybe):
             return []
-        held = set(zip(text, text[1:]))
-        return [(i, coverage(self.texts[i], held)) for i in maybe.tolist()]
+        held, own = set(zip(text, text[1:])), Counter(ranks.tolist())
+        kept = [i for i in maybe.tolist() if sum((Counter(self.ranks[i].tolist()) & own).values()) >= self.similar * max(len(self.ranks[i]), m) - 1e-9]
+        return [(i, coverage(self.texts[i], held)) for i in kept]
+
+
+def parities(ranks: np.ndarray) -> np.ndarray:
+    """Which of 256 groups of ranks hold an odd number of words, as four words of 64 bits."""
+    groups = (ranks.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    return np.packbits((np.bincount(groups, minlength=256) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def coverage(text: str, held: set) -> float:
@@ -122,10 +149,11 @@ def sorted_texts(df: DataFrame, key: str, text: str, keep: list[str], counts: np
 def _cells(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Evaluation and training texts by cell: an entity's shard against one of its blocks of training texts.
 
-    Up to ``SHARD`` and ``BLOCK`` texts an entity is one cell and no text is copied; a training text of a larger one is copied once a shard.
+    Up to ``SHARD`` evaluation texts no training text is copied, beyond that once a shard; an evaluation text is copied once a block.
+    Copies are of sorted ranks, two bytes a word.
     """
     n = texts.groupBy("entity").agg(F.count_if("evaluation").alias("_e"), F.count_if(~F.col("evaluation")).alias("_t"))
-    n = n.where("_e > 0 and _t > 0").select("entity", F.ceil(F.col("_e") / SHARD).cast("int").alias("_s"), F.ceil(F.col("_t") / BLOCK).cast("int").alias("_b"))
+    n = n.where("_e > 0 and _t > 0").select("entity", F.ceil(F.col("_e") / SHARD).cast("int").alias("_s"), F.greatest(F.ceil(F.col("_t") / BLOCK), F.least(F.lit(SPREAD), F.floor(F.col("_t") / LEAST)), F.lit(1)).cast("int").alias("_b"))
     t = salted_lookup(texts, n, "entity", "rep", how="inner")
     spread = F.xxhash64("rep", F.lit(3))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -164,7 +192,7 @@ def cross_split_overlaps(df: DataFrame, key: str, name: Column, entities: DataFr
             shard, ids = Shard(texts(e), similar), r.column("rep").to_pylist()
             names = e.column("rep").to_pylist()
             for rep, ranks in zip(ids, texts(r)):
-                for i, c in shard.scan(normalised(ranks)):
+                for i, c in shard.scan(ranks):
                     left.append(names[i])
                     right.append(rep)
                     share.append(c)

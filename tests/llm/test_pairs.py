@@ -106,7 +106,7 @@ def scanned(e, t):
     hashes = wordbits.Hashes()
     ranks = lambda x: np.sort(wordbits.Words([x], hashes).number)
     shard = contamination.Shard([ranks(x) for x in e])
-    return {(i, j): c for j, y in enumerate(t) for i, c in shard.scan(contamination.normalised(ranks(y)))}
+    return {(i, j): c for j, y in enumerate(t) for i, c in shard.scan(ranks(y))}
 
 
 def test_no_similar_pair_escapes_the_automaton():
@@ -171,6 +171,7 @@ def test_blocks_of_hot_entities(spark, pairs, monkeypatch):
     whole = contamination.overlap_pairs(*overlaps(df), "k").count()
     monkeypatch.setattr(contamination, "SHARD", 7)
     monkeypatch.setattr(contamination, "BLOCK", 5)
+    monkeypatch.setattr(contamination, "LEAST", 3)
     assert contamination.overlap_pairs(*overlaps(df), "k").count() == whole
 
 
