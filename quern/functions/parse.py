@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 NAME_ENDINGS = ["_diagnosis_treatment", "_treatment", "_diagnosis", "_(overview)", "_overview"]
 NAME_OPENINGS = ["Overview-", "Symptoms-"]
 NATIVE_TERMS = [r"\s+mate\s+\w+(\s+\w+)*$", r"\s+aroreretini(\s+ki\s+ngā\s+pakeke)?$", r"\s+pokenga\s+\w+(\s+\w+)*$", r"\s+anipā\s+o\s+te\s+huringa\s+āhuarangi$"]
+#: Kinds of chunking in the order in which names are searched, and their usual sizes.
 METHODS = ["contextual", "sentence", "fixed", "paragraph", "structured_agent", "agent"]
 METHOD_SIZES = {"contextual": 1024, "sentence": 512, "fixed": 512, "paragraph": 768}
 SPECIAL_TOKENS = r"<\|[^|<>]{1,40}\|>|</?s>|\[/?INST\]"
@@ -79,21 +80,45 @@ def score_of(c: Column, label: str, default: float = 50.0) -> Column:
     return F.coalesce(_filled(F.regexp_extract(c, rf"{re.escape(label)}:\s*(\d+(?:\.\d+)?)/100", 1)).try_cast("double"), F.lit(default))
 
 
-def advice(c: Column, labels: list[str], marks: list[str], every: bool = False) -> Column:
-    """Text after the first of ``labels`` up to a blank line or new header; else the first line (or all, if ``every``) with one of ``marks``; else the first 200 characters."""
-    named = [_filled(F.trim(F.regexp_extract(c, rf"(?is){p}:\s*(.+?)(?:\n\n|\n(?-i:[A-Z])|$)", 1))) for p in labels]
+#: Labels and marks of next steps and of reasoning, and where a labelled text ends. Letters of any case end a next step.
+STEP_LABELS, STEP_MARKS, STEP_END = ["Next steps?", "Recommendation", "Action"], ["recommend", "should", "need", "book", "see", "go"], r"(?:\n\n|\n[A-Z]|$)"
+REASON_LABELS, REASON_MARKS, REASON_END = ["Reasoning", "Rationale", "Explanation"], ["because", "since", "due to", "given", "considering"], r"(?:\n\n|\nNext|$)"
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def advice(c: Column, labels: list[str], marks: list[str], end: str, every: bool = False) -> Column:
+    """Text after the first of ``labels`` up to ``end``; else the first line (or all, if ``every``) with one of ``marks``; else the first 200 characters.
+
+    Case does not count anywhere. A line that is blank once stripped counts as no line.
+    """
+    named = [_filled(_stripped(F.regexp_extract(c, rf"(?is){p}:\s*(.+?){end}", 1))) for p in labels]
     lines = F.filter(F.split(c, "\n"), lambda s: F.lower(s).rlike("|".join(marks)))
-    trimmed = F.transform(lines, lambda s: F.trim(s))
+    trimmed = F.transform(lines, _stripped)
     fallback = F.array_join(trimmed, " ") if every else F.get(trimmed, F.lit(0))
     return F.coalesce(*named, _filled(fallback), F.left(c, F.lit(200)))
 
 
 def next_step(c: Column) -> Column:
-    return advice(c, ["Next steps?", "Recommendation", "Action"], ["recommend", "should", "need", "book", "see", "go"])
+    return advice(c, STEP_LABELS, STEP_MARKS, STEP_END)
 
 
 def reasoning(c: Column) -> Column:
-    return advice(c, ["Reasoning", "Rationale", "Explanation"], ["because", "since", "due to", "given", "considering"], every=True)
+    return advice(c, REASON_LABELS, REASON_MARKS, REASON_END, every=True)
+
+
+def rationale(c: Column, label: str, default: str = "Could not parse evaluation response") -> Column:
+    """Text after ``<first word> Rationale:`` (or with the second word of ``label`` between) up to a blank line or ``**``."""
+    first, second = (*label.split(), "")[:2]
+    found = F.regexp_extract(c, rf"(?s){re.escape(first)} (?:{re.escape(second)} )?Rationale:\s*(.+?)(?:\n\n|\*\*|$)", 1)
+    return F.coalesce(_filled(_stripped(found)), F.lit(default))
+
+
+def overall_score(steps: Column, reasons: Column) -> Column:
+    """Six tenths of the score of the next steps and four of that of the reasoning."""
+    return 0.6 * steps + 0.4 * reasons
 
 
 def numbers(c: Column) -> Column:
@@ -108,6 +133,29 @@ def logged(c: Column, measure: str) -> Column:
     return F.get(all_, F.size(all_) - 1).try_cast("double")
 
 
+def training_metrics(c: Column) -> Column:
+    """Last ``train``, ``val`` and ``test`` loss and test ``accuracy`` (or ``acc``) of a training log; null where missing."""
+    accuracy = F.coalesce(logged(c, "Test accuracy"), logged(c, "Test acc"))
+    return F.struct(logged(c, "Train loss").alias("train"), logged(c, "Val loss").alias("val"), logged(c, "Test loss").alias("test"), accuracy.alias("accuracy"))
+
+
+def method_parts(c: Column) -> Column:
+    """The other dialect of method names: ``kind`` (fixed, sentence, paragraph, contextual, unknown), ``size`` by the kind's own letter, ``overlap``; sizes and overlaps that are missing are 0, of contextual names 1024."""
+    has = lambda x: c.contains(x)
+    number = lambda p: F.coalesce(_filled(F.regexp_extract(c, p, 1)).try_cast("int"), F.lit(0))
+    kind = F.when(has("fixed"), "fixed").when(has("sentence"), "sentence").when(has("paragraph"), "paragraph").when(has("contextual"), "contextual").otherwise("unknown")
+    contextual = F.coalesce(_filled(F.regexp_extract(c, r"c(\d+)", 1)).try_cast("int"), F.lit(1024))
+    size = F.when(has("fixed_c"), number(r"c(\d+)")).when(has("sentence_t"), number(r"t(\d+)")).when(has("paragraph_m"), number(r"m(\d+)")).when(has("contextual"), contextual).otherwise(0)
+    return F.struct(kind.alias("kind"), size.alias("size"), F.when(has("_o"), number(r"o(\d+)")).otherwise(0).alias("overlap"))
+
+
+def short_name(c: Column, shorter: dict[str, str]) -> Column:
+    """A display name: each key of ``shorter`` replaced by its value, in order."""
+    for long, short in shorter.items():
+        c = F.replace(c, F.lit(long), F.lit(short))
+    return c
+
+
 def method_type(c: Column) -> Column:
     """Kind of chunking a method name stands for; the first of the fixed order that occurs."""
     out = None

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
+#: White space as Unicode has it; no-break spaces and the separators 1C to 1F count.
+SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def blank(c: Column) -> Column:
@@ -24,8 +26,8 @@ def words(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower case split on white space without empty strings (the BM25 tokeniser)."""
-    return F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+    """Lower case split on Unicode white space without empty strings (the BM25 tokeniser)."""
+    return F.filter(F.split(F.lower(c), SPACE), lambda x: x != "")
 
 
 def source_key(c: Column) -> Column:

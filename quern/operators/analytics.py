@@ -8,25 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.ordering import row_numbers
+
 
 def marginal_gains(df: DataFrame, by: list[str], points: list[tuple[int, str]]) -> DataFrame:
     """``by, from_k, to_k, gain, gain_per_step, cumulative_gain``: differences of the means at adjacent points; long form of a wide row."""
     means = df.groupBy(*by).agg(*(F.avg(c).alias(c) for _, c in points))
     long = means.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("to_k"), F.col(c).alias("value")) for k, c in points))).alias("p")).select(*by, "p.*")
     w = W.partitionBy(*by).orderBy("to_k")
-    out = long.select(*by, F.lag("to_k").over(w).alias("from_k"), "to_k", (F.col("value") - F.lag("value").over(w)).alias("gain"), (F.col("value") - F.first("value").over(w)).alias("cumulative_gain"))
-    out = out.where("from_k is not null")
+    out = long.select(*by, F.lag("to_k").over(w).alias("from_k"), "to_k", (F.col("value") - F.lag("value").over(w)).alias("gain"))
+    run = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = out.where("from_k is not null").withColumn("cumulative_gain", F.sum("gain").over(run))
     return out.select(*by, "from_k", "to_k", "gain", (F.col("gain") / (F.col("to_k") - F.col("from_k"))).alias("gain_per_step"), "cumulative_gain")
 
 
-def min_max(c: str, over: W) -> Column:
-    """(x - min) / (max - min + 1e-10) over a window."""
-    return (F.col(c) - F.min(c).over(over)) / (F.max(c).over(over) - F.min(c).over(over) + 1e-10)
+def side_by_side_ranks(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+    """``df`` with ``<metric>_rank`` of each metric, best first, ties by key; each rank is a distributed sort."""
+    out = df
+    for m in metrics:
+        out = row_numbers(out, [f"-{m}", key], f"{m}_rank")
+    return out
 
 
-def side_by_side_ranks(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    """``key`` and ``<metric>_rank`` of each metric, best first, ties by key. For small result tables: each rank is one window."""
-    return df.select(key, *(F.row_number().over(W.orderBy(F.col(m).desc(), F.col(key))).alias(f"{m}_rank") for m in metrics))
+def scaled(df: DataFrame, c: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the min-max scaled ``c``: (x - min) / (max - min + 1e-10); the extremes are one broadcast row."""
+    ends = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
+    return df.crossJoin(F.broadcast(ends)).withColumn(name, (F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-10)).drop("_lo", "_hi")
 
 
 def paired_difference(df: DataFrame, keys: list[str], kind: str, a: str, b: str, value: str) -> DataFrame:
@@ -56,3 +63,17 @@ def right_closed(c: str, edges: list[float]) -> Column:
         inside = (F.col(c) > edges[i - 1]) & (F.col(c) <= edges[i])
         e = F.when(inside, i) if e is None else e.when(inside, i)
     return e
+
+
+def map_shares(m: Column) -> Column:
+    """Percentage of each value of a map of counts in their sum; an empty sum gives nulls."""
+    total = F.aggregate(F.map_values(m), F.lit(0).cast("double"), lambda s, x: s + x)
+    return F.transform_values(m, lambda _, v: F.try_divide(100.0 * v, total))
+
+
+def overlap_gain(df: DataFrame, method: str, value: str) -> DataFrame:
+    """``base, without, with_, gain``: mean ``value`` of a base method (its name without ``_o<n>``) with overlap and without (``_o0`` or none)."""
+    base = F.regexp_replace(method, r"_o\d+", "")
+    plain = ~F.col(method).rlike(r"_o[1-9]")
+    g = df.groupBy(base.alias("base")).agg(F.avg(F.when(plain, F.col(value))).alias("without"), F.avg(F.when(~plain, F.col(value))).alias("with_"))
+    return g.where("without is not null and with_ is not null").withColumn("gain", F.col("with_") - F.col("without"))

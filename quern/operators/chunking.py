@@ -29,22 +29,29 @@ def sentences(c: Column) -> Column:
 def sentence_packs(df: DataFrame, key: str, text: str, budget: int, overlap: int = 0) -> DataFrame:
     """``key, chunk_no, chunk, n_sentences``: sentences packed in order up to ``budget`` words, each chunk starting with the last ``overlap`` sentences of the one before.
 
-    A sentence beyond the budget is a chunk of its own (after the overlap). The packing is a fold over the sentences of one document.
+    A sentence beyond the budget is a chunk of its own (after the overlap). Packing is a fold over the numbers of words of a
+    document's sentences that keeps only where each chunk starts and ends; the sentences are sliced out once, at the end.
     """
-    size = lambda s: F.size(F.split(s, r"\s+"))
-    kind = "array<struct<sents:array<string>,n:int,own:int>>"
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = lambda sents: F.struct(F.concat(sents, F.array(s)).alias("sents"), (F.aggregate(sents, F.lit(0), lambda t, x: t + size(x)) + size(s)).cast("int").alias("n"), F.lit(1).alias("own"))
-        none = F.array().cast("array<string>")
-        tail = F.slice(last["sents"], F.greatest(F.lit(1), F.size(last["sents"]) - overlap + 1), F.lit(overlap)) if overlap else none
-        grown = F.struct(F.concat(last["sents"], F.array(s)).alias("sents"), (last["n"] + size(s)).cast("int").alias("n"), (last["own"] + 1).cast("int").alias("own"))
-        init = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(F.size(acc) == 0, F.array(fresh(none))).when(last["n"] + size(s) <= budget, F.concat(init, F.array(grown))).otherwise(F.concat(acc, F.array(fresh(tail)))).cast(kind)
-
-    packs = F.aggregate(sentences(F.col(text)), F.array().cast(kind), step)
-    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(packs).alias("chunk_no", "p")).select(key, "chunk_no", F.array_join("p.sents", " ").alias("chunk"), F.size("p.sents").alias("n_sentences"))
+    kind = "struct<first:int,last:int,words:int>"
+    t = df.where(F.col(text).isNotNull()).select(key, sentences(F.col(text)).alias("_s"))
+    t = t.withColumn("_w", F.transform("_s", lambda s: F.size(F.split(s, r"\s+"))))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("now"), F.lit(0).alias("i"))
+    words_of = lambda first, i: F.aggregate(F.slice(F.col("_w"), first + 1, i - first + 1), F.lit(0), lambda a, x: a + x)
+
+    def step(acc: Column, w: Column) -> Column:
+        now, i = acc["now"], acc["i"]
+        grown = F.struct(now["first"].alias("first"), i.alias("last"), (now["words"] + w).alias("words"))
+        first = F.greatest(now["first"], i - overlap)
+        fresh = F.struct(first.alias("first"), i.alias("last"), words_of(first, i).alias("words"))
+        one = F.struct(i.alias("first"), i.alias("last"), w.alias("words"))
+        closes = now.isNotNull() & (now["words"] + w > budget)
+        done = F.when(closes, F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(now.isNull(), one).when(closes, fresh).otherwise(grown).cast(kind).alias("now"), (i + 1).alias("i")).cast(f"struct<done:array<{kind}>,now:{kind},i:int>")
+
+    packs = F.aggregate("_w", start.cast(f"struct<done:array<{kind}>,now:{kind},i:int>"), step, lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    cut = t.select(key, "_s", F.posexplode(packs).alias("chunk_no", "p"))
+    own = F.slice("_s", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + 1)
+    return cut.select(key, "chunk_no", F.array_join(own, " ").alias("chunk"), F.size(own).alias("n_sentences"))
 
 
 def embedding_text(original: Column, text: Column, context: Column) -> Column:
@@ -56,3 +63,15 @@ def embedding_text(original: Column, text: Column, context: Column) -> Column:
 def lexical_text(original: Column, text: Column, context: Column, contextual: Column) -> Column:
     """What to index for BM25: text and context of a contextual chunk, else the text."""
     return F.when(F.coalesce(contextual, F.lit(False)), F.concat_ws(" ", text, context)).otherwise(F.coalesce(text, original))
+
+
+def numbered_context(number: str, source: str, text: str) -> Column:
+    """Aggregate: ``[1] (source) text`` lines of a case's hits in order; a case has a bounded number of hits."""
+    lines = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(source).alias("s"), F.col(text).alias("t"))))
+    return F.array_join(F.transform(lines, lambda x: F.concat(F.lit("["), x["n"].cast("string"), F.lit("] ("), x["s"], F.lit(") "), x["t"])), "\n")
+
+
+def prompt(query: Column, context: Column) -> Column:
+    """The question, the context if there is any, and what is asked for."""
+    middle = F.when(F.length(context) > 0, F.concat(F.lit("Context:\n"), context, F.lit("\n\n"))).otherwise("")
+    return F.concat(F.lit("Patient query: "), F.coalesce(query, F.lit("")), F.lit("\n\n"), middle, F.lit("Provide triage decision, next steps, and reasoning:"))

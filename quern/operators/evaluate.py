@@ -52,6 +52,15 @@ def pass_at_k(hits: DataFrame, cases: DataFrame, by: list[str], case: str, rank:
     return all_.groupBy(*by).agg(F.count(F.lit(1)).alias("cases"), *(F.avg(F.coalesce((F.col("_first") <= k).cast("int"), F.lit(0))).alias(f"pass_at_{k}") for k in ks))
 
 
+def any_vote(label: Column, order: tuple[str, ...] = ("ED", "GP", "HOME")) -> Column:
+    """Aggregate: the first label of ``order`` that any row has, else UNKNOWN."""
+    out = None
+    for x in order:
+        has = F.coalesce(F.bool_or(label == x), F.lit(False))
+        out = F.when(has, x) if out is None else out.when(has, x)
+    return out.otherwise("UNKNOWN")
+
+
 def known_label(c: Column, other: str) -> Column:
     return F.when(c.isin(LABELS[:3]), c).otherwise(other)
 
@@ -119,3 +128,19 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest))).alias("_r"))
     return best.select(*keys, "_r.*").select(df.columns)
+
+
+def production_gate(quality: Column, ms: Column, least: float = 0.85, most: float = 50.0) -> Column:
+    """Whether a configuration is above ``least`` (a share) and below ``most`` milliseconds; missing figures fail."""
+    return F.coalesce((quality > least) & (ms < most), F.lit(False))
+
+
+def case_record(df: DataFrame) -> DataFrame:
+    """Results as records: a failed case has the label ERROR, zeros and a message, a successful one no message; nothing is thrown away."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    right = F.coalesce(ok & (F.col("predicted_triage") == F.col("expected_triage")), F.lit(False))
+    zero = lambda c: F.when(ok, F.col(c)).otherwise(F.lit(0).cast(df.schema[c].dataType)).alias(c)
+    return df.select(
+        "case_id", "config", F.when(ok, F.coalesce("predicted_triage", F.lit("UNKNOWN"))).otherwise("ERROR").alias("predicted"), right.alias("is_correct"), zero("inference_time"), zero("rag_time"), zero("context_length"),
+        F.when(~ok, F.coalesce("error", F.lit("unknown error"))).alias("error"),
+    )

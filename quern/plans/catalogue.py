@@ -1,7 +1,6 @@
 """Registered queries of the core operators and their SQL.
 
-Each query reads whole tables of the data folder. ``@query(sql)`` registers a function under its name, with the SQL that must give
-the same rows; queries without SQL are covered by tests.
+Each query reads whole tables of the data folder. Searches are in ``search``, tables over evaluation results in ``reports``.
 """
 
 from __future__ import annotations
@@ -13,195 +12,20 @@ from pyspark.sql import functions as F
 
 from quern.functions import labels, parse
 from quern.functions.text import keywords, safe_filename, source_key, squeeze, strip_case, strip_quotes
-from quern.operators import analytics, chunking, curate, evaluate, retrieval, sampling
+from quern.operators import analytics, chunking, curate, evaluate, ordering, sampling
+from quern.plans import reports, search  # noqa: F401 - they register their queries
+from quern.plans.registry import QUERIES, SQL, query, r6
+from quern.plans.search import HITS as _HITS
+from quern.plans.search import hit_lists as _hit_lists
 from quern.session import table
 from quern.streaming.frontier import windowed_counts
 
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def r6(c):
-    """Rounded for comparison; all of a query's sums may be added in another order by another engine."""
-    return F.round(c, 6)
-
-
-# ---------------------------------------------------------------------------------------------------------------- retrieval
-_BM25 = r"""
-ch AS (SELECT regexp_replace(lower(source), '[\s _\-]+', '', 'g') AS src, chunk_id,
-    CASE WHEN coalesce(is_contextual, false) THEN concat_ws(' ', text, contextual_info) ELSE coalesce(text, original_text) END AS body FROM chunks),
-tok AS (SELECT src, chunk_id, list_filter(string_split_regex(lower(body), '\s+'), lambda x: x <> '') AS t FROM ch),
-post AS (SELECT src, chunk_id, len(t) AS dl, u.term, count(*) AS tf FROM tok, unnest(t) AS u(term) GROUP BY ALL),
-st AS (SELECT src, count(*) AS n, avg(coalesce(len(t), 0)) AS avgdl FROM tok GROUP BY src),
-raw AS (SELECT post.src, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS v FROM post JOIN st USING (src) GROUP BY post.src, term),
-mu AS (SELECT src, avg(v) AS m FROM raw GROUP BY src),
-idf AS (SELECT raw.src, term, CASE WHEN v < 0 THEN 0.25 * m ELSE v END AS idf FROM raw JOIN mu USING (src)),
-qt AS (SELECT dialogue_id, u.term, count(*) AS qtf FROM (SELECT dialogue_id, list_filter(string_split_regex(lower(patient_query), '\s+'), lambda x: x <> '') AS t
-    FROM dialogues WHERE dialogue_id % 50 = 0), unnest(t) AS u(term) GROUP BY ALL),
-bm AS (SELECT qt.dialogue_id, post.src, post.chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
-    FROM qt JOIN post USING (term) JOIN idf ON idf.src = post.src AND idf.term = post.term JOIN st ON st.src = post.src GROUP BY ALL),
-bmr AS (SELECT *, row_number() OVER (PARTITION BY dialogue_id, src ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm)
-"""
-
-
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks")
-    body = chunking.lexical_text(F.col("original_text"), F.col("text"), F.col("contextual_info"), F.col("is_contextual"))
-    return c.select(source_key(F.col("source")).alias("src"), "chunk_id", body.alias("body"))
-
-
-def _cases(spark: SparkSession, d: str) -> DataFrame:
-    """The query set: every dialogue whose id is divisible by 50."""
-    return table(spark, d, "dialogues").where("dialogue_id % 50 = 0").select("dialogue_id", "patient_query")
-
-
-def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    scores = retrieval.bm25_scores(_cases(spark, d), "dialogue_id", "patient_query", _chunks(spark, d), "src", "chunk_id", "body")
-    return retrieval.ranked(scores, ["dialogue_id", "src"], "chunk_id", k)
-
-
-@query(f"WITH {_BM25} SELECT dialogue_id, src, chunk_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
-def retrieval_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Ten best chunks of each source by BM25."""
-    return _bm25(spark, d, 10).withColumn("score", r6("score"))
-
-
-_KNN = """
-e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL),
-u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, q.label AS query_label, round(list_dot_product(q.v, c.v) / (q.n * c.n), 9) AS score
-    FROM u q JOIN u c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-"""
-
-
-def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, d, "embeddings")
-    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.withColumn("src", F.col("label").cast("string"))
-
-
-@query(f"WITH {_KNN} r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
-def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Exact nearest neighbours by cosine."""
-    q, e = _vectors(spark, d)
-    return retrieval.knn(q, "query_id", e, "vec_id", "embedding", 10).select("query_id", "vec_id", r6("score").alias("score"), "rank")
-
-
-_QUOTA = "p AS (SELECT label::VARCHAR AS src, (label % 4)::INT AS quota, label AS ord FROM (SELECT DISTINCT label FROM embeddings))"
-
-
-def _quota(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("label").cast("string").alias("src"), (F.col("label") % 4).cast("int").alias("quota"), F.col("label").alias("ord")).distinct()
-
-
-@query(
-    f"""WITH {_KNN} {_QUOTA}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM s),
-    h AS (SELECT query_id, src, vec_id, score, rank, ord FROM r JOIN p ON p.src = r.label::VARCHAR WHERE rank <= quota)
-    SELECT query_id, src, vec_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pos, row_number() OVER (PARTITION BY query_id ORDER BY ord, rank) AS legacy_pos FROM h"""
-)
-def quota_dense(spark: SparkSession, d: str) -> DataFrame:
-    """Per-source quotas on exact neighbours; ``pos`` by score, ``legacy_pos`` by source order."""
-    q, e = _vectors(spark, d)
-    ranks = retrieval.knn(q, "query_id", e, "vec_id", "embedding", 3, part="src")
-    h = retrieval.with_quota(ranks, _quota(spark, d), "src", 3)
-    from pyspark.sql import Window as W
-
-    pos = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    legacy = F.row_number().over(W.partitionBy("query_id").orderBy("ord", "rank"))
-    return h.select("query_id", "src", "vec_id", "rank", pos.alias("pos"), legacy.alias("legacy_pos"))
-
-
-def _hit_lists(spark: SparkSession, d: str) -> DataFrame:
-    """One row a hit (exact repeats are one), with its best rank."""
-    h = table(spark, d, "hits")
-    return h.groupBy("config", "case_id", source_key(F.col("source")).alias("src"), "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
-
-
-_HITS = r"""hl AS (SELECT config, case_id, regexp_replace(lower(source), '[\s _\-]+', '', 'g') AS src, chunk_id, min(rank) AS rank, max(score) AS score FROM hits GROUP BY ALL)"""
-
-
-@query(
-    f"""WITH {_HITS}, two AS (SELECT config AS c, * FROM hl WHERE config IN (SELECT min(config) FROM hits UNION SELECT max(config) FROM hits)),
-    d AS (SELECT case_id, src, chunk_id, rank AS r FROM two WHERE config = (SELECT min(config) FROM hits)), l AS (SELECT case_id, src, chunk_id, rank AS r FROM two WHERE config = (SELECT max(config) FROM hits)),
-    f AS (SELECT coalesce(d.case_id, l.case_id) AS case_id, coalesce(d.src, l.src) AS src, coalesce(d.chunk_id, l.chunk_id) AS chunk_id,
-        coalesce(0.7 / (60 + d.r), 0) + coalesce(0.3 / (60 + l.r), 0) AS fused, 0.7 / (60 + coalesce(d.r, 1000000)) + 0.3 / (60 + coalesce(l.r, 1000000)) AS mobile
-        FROM d FULL JOIN l ON d.case_id = l.case_id AND d.src IS NOT DISTINCT FROM l.src AND d.chunk_id = l.chunk_id)
-    SELECT case_id, src, chunk_id, round(fused, 8) AS fused, round(mobile, 8) AS mobile FROM f"""
-)
-def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Reciprocal-rank fusion of the hits of two configurations, with and without a term for missing ranks."""
-    h = _hit_lists(spark, d)
-    ends = F.broadcast(table(spark, d, "hits").agg(F.min("config").alias("_lo"), F.max("config").alias("_hi")))
-    h = h.join(ends, (F.col("config") == F.col("_lo")) | (F.col("config") == F.col("_hi")))
-    dense, lexical = h.where("config = _lo"), h.where("config = _hi")
-    by = ["case_id", "src"]
-    fused = retrieval.rrf([(dense, 0.7), (lexical, 0.3)], by, "chunk_id").withColumnRenamed("score", "fused")
-    mobile = retrieval.rrf([(dense, 0.7), (lexical, 0.3)], by, "chunk_id", missing_rank=1_000_000).withColumnRenamed("score", "mobile")
-    same = (fused.case_id == mobile.case_id) & fused.src.eqNullSafe(mobile.src) & (fused.chunk_id == mobile.chunk_id)
-    return fused.join(mobile, same).select(fused.case_id, fused.src, fused.chunk_id, F.round("fused", 8).alias("fused"), F.round("mobile", 8).alias("mobile"))
-
-
-@query(
-    f"""WITH {_HITS} , p AS (SELECT profile, suite, regexp_replace(lower(source), '[\\s _\\-]+', '', 'g') AS src, source_ord, quota FROM quota_profiles WHERE quota > 0),
-    x AS (SELECT suite, profile, config, case_id, hl.src, chunk_id, source_ord, row_number() OVER (PARTITION BY suite, profile, config, case_id, hl.src ORDER BY rank, chunk_id) AS rn, quota FROM hl JOIN p USING (src))
-    SELECT suite, profile, config, src, count(*) AS hits FROM x WHERE rn <= quota GROUP BY ALL"""
-)
-def quota_profile_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of each configuration under every quota profile, by source."""
-    from pyspark.sql import Window as W
-
-    p = table(spark, d, "quota_profiles").where("quota > 0").select("suite", "profile", source_key(F.col("source")).alias("src"), "quota")
-    x = _hit_lists(spark, d).withColumn("rn", F.row_number().over(W.partitionBy("config", "case_id", "src").orderBy("rank", "chunk_id")))
-    return x.join(F.broadcast(p), "src").where("rn <= quota").groupBy("suite", "profile", "config", "src").agg(F.count(F.lit(1)).alias("hits"))
-
-
-@query(
-    f"""WITH {_BM25}, top AS (SELECT dialogue_id, src, bmr.chunk_id, rank, body, patient_query FROM bmr JOIN ch USING (src, chunk_id) JOIN dialogues USING (dialogue_id) WHERE rank <= 10),
-    t AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(coalesce(patient_query, '')), '\\s+'), lambda x: x <> '')) AS q,
-        list_distinct(list_filter(string_split_regex(lower(coalesce(body, '')), '\\s+'), lambda x: x <> '')) AS dd FROM top),
-    o AS (SELECT *, len(list_intersect(q, dd)) AS n FROM t),
-    f AS (SELECT dialogue_id, src, chunk_id, 2.0 * n + 1.5 * coalesce(n / nullif(len(q) + len(dd) - n, 0), 0) + coalesce(n / nullif(len(q), 0), 0) AS feature_score FROM o)
-    SELECT dialogue_id, src, chunk_id, round(feature_score, 6) AS feature_score, row_number() OVER (PARTITION BY dialogue_id ORDER BY round(feature_score, 9) DESC, chunk_id) AS rank FROM f"""
-)
-def feature_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 candidates reranked by token overlap."""
-    top = _bm25(spark, d, 10).drop("score", "rank").join(_chunks(spark, d), ["src", "chunk_id"]).join(_cases(spark, d), "dialogue_id")
-    s = top.select("dialogue_id", "src", "chunk_id", retrieval.feature_scores(top, "patient_query", "body").alias("feature_score"))
-    return retrieval.ranked(s, ["dialogue_id"], "chunk_id", 10**9, score="feature_score").withColumn("feature_score", r6("feature_score"))
-
-
-@query(
-    f"""WITH {_BM25}, top AS (SELECT dialogue_id, bmr.chunk_id, body, patient_query FROM bmr JOIN ch USING (src, chunk_id) JOIN dialogues USING (dialogue_id) WHERE rank <= 3),
-    both_ AS (SELECT dialogue_id, chunk_id, body AS t FROM top UNION ALL SELECT DISTINCT dialogue_id, NULL, patient_query FROM top),
-    n AS (SELECT dialogue_id, count(*) AS n FROM both_ GROUP BY dialogue_id),
-    tf AS (SELECT dialogue_id, chunk_id, u.term, count(*) AS tf FROM (SELECT dialogue_id, chunk_id, list_filter(string_split_regex(lower(t), '\\s+'), lambda x: x <> '') AS l FROM both_), unnest(l) AS u(term) GROUP BY ALL),
-    df AS (SELECT dialogue_id, term, count(*) AS df FROM tf GROUP BY ALL),
-    w AS (SELECT tf.dialogue_id, chunk_id, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (dialogue_id, term) JOIN n USING (dialogue_id)),
-    norm AS (SELECT dialogue_id, chunk_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-    u AS (SELECT w.dialogue_id, w.chunk_id, term, w / norm AS u FROM w JOIN norm ON w.dialogue_id = norm.dialogue_id AND w.chunk_id IS NOT DISTINCT FROM norm.chunk_id)
-    SELECT d.dialogue_id, d.chunk_id, round(sum(d.u * q.u), 6) AS score FROM u d JOIN u q ON q.dialogue_id = d.dialogue_id AND q.term = d.term AND q.chunk_id IS NULL WHERE d.chunk_id IS NOT NULL GROUP BY ALL"""
-)
-def tfidf_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of tf-idf vectors fitted on each query and its candidates."""
-    top = _bm25(spark, d, 3).drop("score", "rank").join(_chunks(spark, d), ["src", "chunk_id"]).join(_cases(spark, d), "dialogue_id")
-    return retrieval.tfidf_scores(top, "dialogue_id", "chunk_id", "patient_query", "body").withColumn("score", r6("score"))
+    return dict(SQL)
 
 
 # --------------------------------------------------------------------------------------------------------------- evaluation
@@ -233,27 +57,9 @@ def pass_at_k(spark: SparkSession, d: str) -> DataFrame:
     return out.select("config", "cases", *(r6(c).alias(c) for c in out.columns if c.startswith("pass")))
 
 
-@query(
-    """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-    u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e),
-    s AS (SELECT q.vec_id AS q, q.label AS ql, c.label AS cl, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, c.v) / (q.n * c.n), 9) DESC, c.vec_id) AS rank
-        FROM u q JOIN u c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-    f AS (SELECT q, min(rank) FILTER (ql = cl) AS first FROM s WHERE rank <= 10 GROUP BY q)
-    SELECT count(*) AS cases, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS pass_at_1, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS pass_at_5, round(avg(coalesce((first <= 10)::INT, 0)), 6) AS pass_at_10 FROM f"""
-)
-def pass_at_k_dense(spark: SparkSession, d: str) -> DataFrame:
-    """Pass@k of exact search where a vector of the same label is relevant."""
-    q, e = _vectors(spark, d)
-    own = e.select("vec_id", "label")
-    h = retrieval.knn(q, "query_id", e, "vec_id", "embedding", 10).join(own, "vec_id")
-    h = h.join(own.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
-    out = evaluate.pass_at_k(h, q, [], "query_id", "rank", F.col("label") == F.col("query_label"), [1, 5, 10])
-    return out.select("cases", *(r6(c).alias(c) for c in out.columns if c.startswith("pass")))
-
-
 @query(f"WITH {_HITS} SELECT config, src, count(*) AS hits, round(count(*) / sum(count(*)) OVER (PARTITION BY config), 6) AS share FROM hl GROUP BY config, src")
 def source_distribution(spark: SparkSession, d: str) -> DataFrame:
-    """Hits by source, with shares."""
+    """Hits by source, with shares."""
     from pyspark.sql import Window as W
 
     n = _hit_lists(spark, d).groupBy("config", "src").agg(F.count(F.lit(1)).alias("hits"))
@@ -298,7 +104,7 @@ def class_report(spark: SparkSession, d: str) -> DataFrame:
     round(sum(CASE label WHEN 'ED' THEN 5 * fbeta WHEN 'GP' THEN 2 * fbeta WHEN 'HOME' THEN fbeta ELSE 0 END) / 8, 6) AS clinical_f2 FROM rep GROUP BY config"""
 )
 def weighted_fbeta(spark: SparkSession, d: str) -> DataFrame:
-    """Support-weighted and clinically weighted scores."""
+    """Support-weighted and clinically weighted scores."""
     w = evaluate.weighted_scores(evaluate.class_report(_cells(spark, d), ["config"]), ["config"])
     return w.select("config", *(r6(c).alias(c) for c in w.columns if c != "config"))
 
@@ -336,7 +142,7 @@ def timing_stats(spark: SparkSession, d: str) -> DataFrame:
     SELECT case_id, max(l) FILTER (rn = 1) AS majority, round(max(p), 6) AS confidence, round(abs(sum(p * ln(p + 1e-10))), 6) AS entropy, -sum(p * ln(p + 1e-10)) > 0.3 AS uncertain FROM p GROUP BY case_id"""
 )
 def mc_entropy(spark: SparkSession, d: str) -> DataFrame:
-    """Majority, confidence and entropy of the predictions of a case over configurations."""
+    """Majority, confidence and entropy of the predictions of a case over configurations."""
     v = evaluate.vote_uncertainty(table(spark, d, "case_results"), ["case_id"], "predicted_triage")
     return v.select("case_id", "majority", r6("confidence").alias("confidence"), r6("entropy").alias("entropy"), "uncertain")
 
@@ -346,12 +152,11 @@ def mc_entropy(spark: SparkSession, d: str) -> DataFrame:
     SELECT label, round((CASE label WHEN 'ED' THEN 5.0 WHEN 'GP' THEN 2.0 ELSE 1.0 END) / (n / sum(n) OVER ()) / 3, 6) AS weight FROM n"""
 )
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Inverse-frequency class weights."""
-    from pyspark.sql import Window as W
-
-    n = table(spark, d, "case_results").where(F.col("expected_triage").isin(evaluate.LABELS[:3])).groupBy(F.col("expected_triage").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    base = F.create_map(*(F.lit(x) for kv in evaluate.WEIGHTS.items() for x in kv))[F.col("label")]
-    return n.select("label", r6(base / (F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1)))) / 3).alias("weight"))
+    """Inverse-frequency class weights, with the base weights joined from their table."""
+    base = F.broadcast(spark.createDataFrame(list(evaluate.WEIGHTS.items()), "label string, base double"))
+    n = table(spark, d, "case_results").groupBy(F.col("expected_triage").alias("label")).agg(F.count(F.lit(1)).alias("n")).join(base, "label")
+    total = F.broadcast(n.agg(F.sum("n").alias("total")))
+    return n.crossJoin(total).select("label", r6(F.col("base") / (F.col("n") / F.col("total")) / 3).alias("weight"))
 
 
 _LEGACY = r"""CASE WHEN regexp_extract(x, '(?i)Triage\s+decision:\s*(ED|GP|HOME)', 1) <> '' THEN upper(regexp_extract(x, '(?i)Triage\s+decision:\s*(ED|GP|HOME)', 1))
@@ -368,19 +173,6 @@ def triage_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "case_results").select("config", "case_id", "loaded_at", labels.triage_legacy(F.col("response")).alias("legacy"), labels.triage_strict(F.col("response")).alias("strict"))
 
 
-@query(
-    """SELECT config, count(*) AS hits, count(c.chunk_id) AS with_chunk, round(avg(coalesce(h.score, 0)), 6) AS mean_score, round(stddev_pop(coalesce(h.score, 0)), 6) AS pop_std, min(h.score) AS least, max(h.score) AS most
-    FROM hits h LEFT JOIN chunks c ON c.chunk_id = h.chunk_id AND coalesce(c.is_contextual, false) GROUP BY config"""
-)
-def judge_join_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Left join with default fill, population deviation."""
-    c = table(spark, d, "chunks").where("coalesce(is_contextual, false)").select("chunk_id", F.lit(1).alias("has"))
-    s = F.coalesce("score", F.lit(0.0))
-    return table(spark, d, "hits").join(c, "chunk_id", "left").groupBy("config").agg(
-        F.count(F.lit(1)).alias("hits"), F.count("has").alias("with_chunk"), r6(F.avg(s)).alias("mean_score"), r6(F.stddev_pop(s)).alias("pop_std"), F.min("score").alias("least"), F.max("score").alias("most")
-    )
-
-
 # ------------------------------------------------------------------------------------------------------- chunks and curation
 @query(
     """WITH s AS (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 412)) AS char_start FROM documents WHERE length(text) > 0)
@@ -401,10 +193,18 @@ def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
     return chunking.paragraphs(table(spark, d, "documents"), "doc_id", "text", 50).select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(1))),
+    w AS (SELECT doc_id, t, list_transform(t, lambda x: len(string_split_regex(x, '[ \t\n\x0B\f\r]+'))) AS w FROM s WHERE len(t) > 0),
+    p AS (SELECT doc_id, 1 AS i, 0 AS no, 1 AS first, w[1] AS n FROM w UNION ALL
+        SELECT p.doc_id, i + 1, CASE WHEN n + w[i + 1] <= 128 THEN no ELSE no + 1 END, CASE WHEN n + w[i + 1] <= 128 THEN first ELSE i END, CASE WHEN n + w[i + 1] <= 128 THEN n + w[i + 1] ELSE w[i] + w[i + 1] END FROM p JOIN w USING (doc_id) WHERE i < len(w)),
+    c AS (SELECT doc_id, no, min(first) AS first, max(i) AS last FROM p GROUP BY ALL)
+    SELECT doc_id, no::INT AS chunk_no, md5(array_to_string(t[first:last], ' ')) AS chunk_md5, (last - first + 1)::INT AS n_sentences FROM c JOIN w USING (doc_id)"""
+)
 def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences packed up to 128 words, one sentence of overlap."""
-    return chunking.sentence_packs(table(spark, d, "documents"), "doc_id", "text", 128, 1)
+    """Sentences packed up to 128 words, one sentence of overlap; texts with the control character 1 are left to the tests."""
+    docs = table(spark, d, "documents").where(~F.contains("text", F.lit("\x01")))
+    return chunking.sentence_packs(docs, "doc_id", "text", 128, 1).select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"), "n_sentences")
 
 
 @query(
@@ -421,27 +221,19 @@ def contextual_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH v AS (SELECT condition_id, trim(regexp_extract(value, '^\s*\d+\.\s+(.+)', 1)) AS name FROM conditions), r AS (SELECT condition_id, name,
-    CASE WHEN regexp_matches(lower(name), 'after surgery|in pregnancy') THEN 'procedure' WHEN regexp_matches(lower(name), '^.*(itis|osis)$') THEN 'suffix' WHEN length(regexp_replace(name, '\s', '', 'g')) < 3 THEN 'short'
-    WHEN length(regexp_replace(name, '[A-Za-z\s]', '', 'g')) > 0.3 * length(name) THEN 'symbols' END AS reason FROM v)
-    SELECT condition_id, name, coalesce(reason, 'kept') AS reason FROM r"""
+    r"""WITH v AS (SELECT trim(regexp_extract(value, '^\s*\d+\.\s+(.+)', 1)) AS name, condition_id FROM conditions)
+    SELECT name, count(doc_id) AS documents FROM v LEFT JOIN documents d ON d.condition_id = v.condition_id WHERE name <> '' GROUP BY name"""
 )
-def vocab_filter_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Numbered lines through an ordered rule chain; the first rule that fires names the reason."""
-    v = table(spark, d, "conditions").select("condition_id", F.trim(F.regexp_extract("value", r"^\s*\d+\.\s+(.+)", 1)).alias("name"))
-    low = F.lower("name")
-    rules = [
-        ("procedure", low.rlike("after surgery|in pregnancy")),
-        ("suffix", low.rlike("^.*(itis|osis)$")),
-        ("short", F.length(F.regexp_replace("name", r"\s", "")) < 3),
-        ("symbols", F.length(F.regexp_replace("name", r"[A-Za-z\s]", "")) > 0.3 * F.length("name")),
-    ]
-    return v.select("condition_id", "name", F.coalesce(curate.filter_reason(F.col("name"), rules), F.lit("kept")).alias("reason"))
+def vocabulary_use(spark: SparkSession, d: str) -> DataFrame:
+    """Names of numbered lines and how many documents are about each."""
+    v = table(spark, d, "conditions").select("condition_id", F.trim(F.regexp_extract("value", r"^\s*\d+\.\s+(.+)", 1)).alias("name")).where("name <> ''")
+    n = table(spark, d, "documents").groupBy("condition_id").agg(F.count(F.lit(1)).alias("n"))
+    return v.join(n, "condition_id", "left").groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"))
 
 
 @query(r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN success THEN 'ok' WHEN error IS NULL THEN 'no message' ELSE regexp_extract(error, '^[^:]*') END AS reason FROM case_results) GROUP BY reason""")
 def reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Failures by reason."""
+    """Counts of failures by reason."""
     reason = F.when(F.col("success"), "ok").when(F.col("error").isNull(), "no message").otherwise(F.regexp_extract("error", "^[^:]*", 0))
     return table(spark, d, "case_results").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -460,7 +252,7 @@ def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     SELECT title, condition_id, round(j, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY j DESC, condition_id) AS rn FROM s WHERE j >= 0.5) WHERE rn = 1"""
 )
 def fuzzy_best_match(spark: SparkSession, d: str) -> DataFrame:
-    """Condition of each distinct title by token sets."""
+    """Condition of each distinct title by token sets."""
     titles = table(spark, d, "documents").where("title is not null").select(F.col("title"), F.col("title").alias("t")).distinct()
     return curate.fuzzy_best(titles, "title", "t", table(spark, d, "conditions"), "condition_id", "condition").withColumn("jaccard", r6("jaccard"))
 
@@ -471,28 +263,30 @@ def fuzzy_best_match(spark: SparkSession, d: str) -> DataFrame:
     SELECT case_id, label, votes, source_count FROM r WHERE rn = 1"""
 )
 def structured_majority(spark: SparkSession, d: str) -> DataFrame:
-    """Majority label with priority tie-break."""
+    """Majority label with priority tie-break."""
     return curate.majority_label(table(spark, d, "case_results"), ["case_id"], "predicted_triage", {"ED": 3, "GP": 2, "HOME": 1})
 
 
 @query("SELECT case_id, CASE WHEN bool_or(predicted_triage = 'ED') THEN 'ED' WHEN bool_or(predicted_triage = 'GP') THEN 'GP' WHEN bool_or(predicted_triage = 'HOME') THEN 'HOME' ELSE 'UNKNOWN' END AS label FROM case_results GROUP BY case_id")
 def any_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Any vote for the more urgent label wins."""
-    has = lambda x: F.coalesce(F.bool_or(F.col("predicted_triage") == x), F.lit(False))
-    return table(spark, d, "case_results").groupBy("case_id").agg(F.when(has("ED"), "ED").when(has("GP"), "GP").when(has("HOME"), "HOME").otherwise("UNKNOWN").alias("label"))
+    """Any vote for the more urgent label wins."""
+    return table(spark, d, "case_results").groupBy("case_id").agg(evaluate.any_vote(F.col("predicted_triage")).alias("label"))
 
 
-@query("SELECT triage_level, array_to_string(list_sort(list_distinct(flatten(list(next_steps)))), '|') AS next_steps, count(*) AS n FROM conditions GROUP BY triage_level")
+@query(
+    """WITH p AS (SELECT DISTINCT doc_type, condition_id FROM documents WHERE doc_type IS NOT NULL AND condition_id IS NOT NULL)
+    SELECT doc_type, array_to_string(list_sort(list_distinct(flatten(list(next_steps)))), '|') AS next_steps FROM p JOIN conditions USING (condition_id) GROUP BY doc_type"""
+)
 def list_union_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Union of the lists of a group (sorted for comparison)."""
-    c = table(spark, d, "conditions")
-    u = curate.ordered_union(c, ["triage_level"], "next_steps", "condition_id").select("triage_level", F.array_join(F.array_sort("next_steps"), "|").alias("next_steps"))
-    return u.join(c.groupBy("triage_level").agg(F.count(F.lit(1)).alias("n")), "triage_level")
+    """Union of the next steps of all conditions that documents of a type are about (sorted for comparison)."""
+    docs = table(spark, d, "documents").where("doc_type is not null and condition_id is not null").select("doc_type", "condition_id").distinct()
+    c = docs.join(F.broadcast(table(spark, d, "conditions").select("condition_id", "next_steps")), "condition_id")
+    return curate.ordered_union(c, ["doc_type"], "next_steps", "condition_id").select("doc_type", F.array_join(F.array_sort("next_steps"), "|").alias("next_steps"))
 
 
 @query(
     r"""SELECT dialogue_id, regexp_replace(symptom, '\s*\(Case\s+\d+\)$', '') AS stem, array_to_string(list_filter(string_split_regex(lower(replace(regexp_replace(symptom, '\s*\(Case\s+\d+\)$', ''), '_', ' ')), '\s+'),
-    lambda x: len(x) > 2 AND x NOT IN ('the', 'and', 'for', 'with')), ' ') AS keywords, translate(regexp_replace(symptom, '[<>:"/\\|?*]', '', 'g'), ' ', '_') AS file_name,
+    lambda x: len(x) > 2 AND x NOT IN ('the', 'and', 'for', 'with')), ' ') AS keywords, translate(regexp_replace(symptom, '[<>:"/\\|?*]', '', 'g'), ' ', '_') AS file_name, regexp_replace(symptom, '\s*\(Case\s+\d+\)$', '') || '.txt' AS doc_name,
     CASE WHEN starts_with(patient_query, '"') THEN md5(regexp_replace(patient_query, '^"+|"+$', '', 'g')) ELSE md5(patient_query) END AS query_md5 FROM dialogues"""
 )
 def name_functions(spark: SparkSession, d: str) -> DataFrame:
@@ -502,6 +296,7 @@ def name_functions(spark: SparkSession, d: str) -> DataFrame:
         strip_case(F.col("symptom")).alias("stem"),
         F.array_join(keywords(strip_case(F.col("symptom"))), " ").alias("keywords"),
         safe_filename(F.col("symptom")).alias("file_name"),
+        F.concat(strip_case(F.col("symptom")), F.lit(".txt")).alias("doc_name"),
         F.md5(strip_quotes(F.col("patient_query")).cast("binary")).alias("query_md5"),
     )
 
@@ -511,7 +306,7 @@ def name_functions(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY src ORDER BY doc_id) AS rank FROM t WHERE n >= 60) WHERE rank <= 200"""
 )
 def mobile_pack(spark: SparkSession, d: str) -> DataFrame:
-    """The first 200 documents of 60 cleaned characters or more of each source that types its documents."""
+    """The first 200 documents of 60 cleaned characters or more of each source that types its documents."""
     t = table(spark, d, "documents").where("doc_type is not null and source is not null").select("doc_id", source_key(F.col("source")).alias("src"), F.length(squeeze(F.col("text"))).alias("n"))
     return curate.first_n(t.where("n >= 60"), ["src"], [F.col("doc_id")], 200).select("doc_id", "rank")
 
@@ -534,44 +329,44 @@ def complete_methods(spark: SparkSession, d: str) -> DataFrame:
     FROM dialogues WHERE patient_query IS NOT NULL AND final_triage_decision IS NOT NULL"""
 )
 def prompt_completion(spark: SparkSession, d: str) -> DataFrame:
-    """Prompt and completion of each complete dialogue."""
+    """P5: prompt and completion of each complete dialogue."""
     t = table(spark, d, "dialogues").where("patient_query is not null and final_triage_decision is not null")
     p = F.concat(F.lit("Query: "), "patient_query", F.lit("\nQuestion: "), F.coalesce("clarifying_question", F.lit("")))
     c = F.concat(F.coalesce("reasoning_decision", F.lit("")), F.lit("\nTriage decision: "), "final_triage_decision")
     return t.select("dialogue_id", F.md5(p.cast("binary")).alias("prompt_md5"), F.md5(c.cast("binary")).alias("completion_md5"))
 
 
-@query("SELECT stratum, doc_id, rn FROM (SELECT doc_type AS stratum, doc_id, row_number() OVER (PARTITION BY doc_type ORDER BY doc_id) AS rn FROM documents) WHERE (stratum = 'faq' AND rn <= 152) OR (stratum = 'guide' AND rn <= 36) OR (stratum = 'article' AND rn <= 12)")
+@query("SELECT stratum, doc_id, rn FROM (SELECT doc_type AS stratum, doc_id, row_number() OVER (PARTITION BY doc_type ORDER BY md5(doc_id || ':42'), doc_id) AS rn FROM documents) WHERE (stratum = 'faq' AND rn <= 152) OR (stratum = 'guide' AND rn <= 36) OR (stratum = 'article' AND rn <= 12)")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    """M1, M3, T5: fixed counts of each stratum, in key order."""
-    s = sampling.stratified(table(spark, d, "documents"), F.col("doc_type"), {"faq": 152, "guide": 36, "article": 12}, [F.col("doc_id")])
+    """Fixed counts of each stratum, in a seeded order; short strata are taken whole."""
+    s = sampling.stratified(table(spark, d, "documents"), F.col("doc_type"), {"faq": 152, "guide": 36, "article": 12}, [ordering.seeded("doc_id"), F.col("doc_id")])
     return s.select("stratum", "doc_id", "rn")
 
 
 @query(
     r"""WITH g AS (SELECT dialogue_id, regexp_replace(symptom, '\s*\(Case\s+\d+\)$', '') AS grp FROM dialogues WHERE symptom IS NOT NULL),
-    n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY dialogue_id) AS i FROM g), c AS (SELECT *, greatest(1, floor(0.7 * n + 1e-9)) AS tr, greatest(1, floor(0.15 * n + 1e-9)) AS va FROM n),
+    n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY md5(dialogue_id || ':42'), dialogue_id) AS i FROM g), c AS (SELECT *, greatest(1, floor(0.7 * n + 1e-9)) AS tr, greatest(1, floor(0.15 * n + 1e-9)) AS va FROM n),
     m AS (SELECT *, CASE WHEN n - tr - va <= 0 AND n > 2 THEN tr - 1 ELSE tr END AS t2 FROM c)
     SELECT dialogue_id, CASE WHEN i <= t2 THEN 'train' WHEN i <= t2 + va THEN 'val' ELSE 'test' END AS part FROM m"""
 )
 def group_split(spark: SparkSession, d: str) -> DataFrame:
-    """70/15/15 within each symptom stem."""
-    t = table(spark, d, "dialogues").where("symptom is not null").select("dialogue_id", strip_case(F.col("symptom")).alias("grp"))
-    return sampling.split_within_groups(t, "grp", [F.col("dialogue_id")]).select("dialogue_id", "part")
+    """70/15/15 within each symptom stem, in a seeded order."""
+    t = table(spark, d, "dialogues").where("symptom is not null").select("dialogue_id", strip_case(F.col("symptom")).alias("grp"), ordering.seeded("dialogue_id").alias("_h"))
+    return sampling.split_within_groups(t, "grp", ["_h", "dialogue_id"]).select("dialogue_id", "part")
 
 
 @query("SELECT event_type, count(*) AS n, count(json_extract(props, '$')) AS with_props, round(avg(len(json_keys(props))), 4) AS mean_keys FROM events GROUP BY event_type")
 def json_flatten(spark: SparkSession, d: str) -> DataFrame:
-    """JSON text columns."""
+    """JSON text columns."""
     e = table(spark, d, "events").withColumn("m", F.from_json("props", "map<string,string>"))
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("m").alias("with_props"), F.round(F.avg(F.size(F.map_keys("m"))), 4).alias("mean_keys"))
 
 
 # ---------------------------------------------------------------------------------------------------------------- analytics
-@query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 4) AS mean_qty, round(avg(l_extendedprice), 4) AS mean_price, round(avg(l_discount), 6) AS mean_disc, round(avg(l_tax), 6) AS mean_tax, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, l_linestatus, round_even(avg(l_quantity), 4) AS mean_qty, round_even(avg(l_extendedprice), 4) AS mean_price, round_even(avg(l_discount), 6) AS mean_disc, round_even(avg(l_tax), 6) AS mean_tax, count(*) AS n FROM lineitem GROUP BY ALL")
 def group_means(spark: SparkSession, d: str) -> DataFrame:
-    """Means and counts by two keys."""
-    m = lambda c, n, k: F.round(F.avg(c), k).alias(n)
+    """Means, rounded half to even, and counts by two keys."""
+    m = lambda c, n, k: F.bround(F.avg(c), k).alias(n)
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         m("l_quantity", "mean_qty", 4), m("l_extendedprice", "mean_price", 4), m("l_discount", "mean_disc", 6), m("l_tax", "mean_tax", 6), F.count(F.lit(1)).alias("n")
     )
@@ -579,7 +374,7 @@ def group_means(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS least, max(o_totalprice) AS most, round(stddev_samp(o_totalprice) / avg(o_totalprice) * 100, 6) AS cv_pct FROM orders GROUP BY ALL")
 def multi_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Mean, sample deviation, extremes and coefficient of variation."""
+    """Mean, sample deviation, extremes and coefficient of variation."""
     c = "o_totalprice"
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(
         F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_samp(c), 4).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"), r6(F.stddev_samp(c) / F.avg(c) * 100).alias("cv_pct")
@@ -595,7 +390,7 @@ def pivot_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH m AS (SELECT l_suppkey, avg(l_extendedprice) FILTER (l_returnflag = 'A') AS a, avg(l_extendedprice) FILTER (l_returnflag = 'R') AS b FROM lineitem GROUP BY ALL) SELECT l_suppkey, round(a, 4) AS value_a, round(b, 4) AS value_b, round(a - b, 4) AS diff FROM m WHERE a IS NOT NULL AND b IS NOT NULL")
 def paired_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Paired difference of two kinds on the same key, without a self join."""
+    """Paired difference of two kinds on the same key, without a self join."""
     p = analytics.paired_difference(table(spark, d, "lineitem"), ["l_suppkey"], "l_returnflag", "A", "R", "l_extendedprice")
     return p.select("l_suppkey", *(F.round(c, 4).alias(c) for c in ("value_a", "value_b", "diff")))
 
@@ -610,7 +405,7 @@ _GAIN = [(1, "p1"), (2, "p2"), (5, "p5"), (10, "p10")]
     SELECT config, from_k, to_k, round(gain, 6) AS gain, round(gain / (to_k - from_k), 6) AS gain_per_step, round(v - p1, 6) AS cumulative_gain FROM g WHERE from_k IS NOT NULL"""
 )
 def marginal_gain(spark: SparkSession, d: str) -> DataFrame:
-    """Gains of Pass@k between adjacent k, by configuration."""
+    """Gains and their running sum of Pass@k between adjacent k, by configuration."""
     p = evaluate.pass_at_k(_judged_hits(spark, d), table(spark, d, "hits"), ["config"], "case_id", "rank", evaluate.relevant_by_name(F.col("symptom"), F.col("source_document")), [k for k, _ in _GAIN])
     g = analytics.marginal_gains(p, ["config"], [(k, f"pass_at_{k}") for k, _ in _GAIN])
     return g.select("config", "from_k", "to_k", *(r6(c).alias(c) for c in ("gain", "gain_per_step", "cumulative_gain")))
@@ -622,12 +417,10 @@ def marginal_gain(spark: SparkSession, d: str) -> DataFrame:
     round((q - min(q) OVER ()) / (max(q) OVER () - min(q) OVER () + 1e-10), 6) AS q_scaled FROM m"""
 )
 def efficiency_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks on three metrics side by side, and min-max scaling, over one row a supplier."""
-    from pyspark.sql import Window as W
-
+    """Ranks on three metrics side by side, and min-max scaling, over one row a supplier; each rank is a sort by ranges."""
     m = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q0"), F.round(F.avg("l_quantity"), 9).alias("q"), F.round(F.avg("l_discount"), 9).alias("dd"), F.round(F.sum("l_extendedprice"), 2).alias("s"))
-    ranks = analytics.side_by_side_ranks(m, "l_suppkey", ["q", "dd", "s"])
-    return ranks.join(m.select("l_suppkey", r6(analytics.min_max("q0", W.partitionBy(F.lit(1)))).alias("q_scaled")), "l_suppkey")
+    ranks = analytics.side_by_side_ranks(analytics.scaled(m, "q0", "q_scaled"), "l_suppkey", ["q", "dd", "s"])
+    return ranks.select("l_suppkey", "q_rank", "dd_rank", "s_rank", r6("q_scaled").alias("q_scaled"))
 
 
 @query("SELECT b AS bin, count(*) AS n, round(avg(l_extendedprice), 4) AS mean_price FROM (SELECT l_extendedprice, CASE WHEN l_quantity > 0 AND l_quantity <= 10 THEN 1 WHEN l_quantity > 10 AND l_quantity <= 25 THEN 2 WHEN l_quantity > 25 AND l_quantity <= 50 THEN 3 END AS b FROM lineitem) WHERE b IS NOT NULL GROUP BY b")
@@ -651,9 +444,10 @@ def linear_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(median(o_totalprice), 4) AS med, round(quantile_cont(o_totalprice, 0.75), 4) AS q3 FROM orders GROUP BY ALL")
 def quantiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact quartiles."""
-    p = lambda q, n: F.round(F.percentile("o_totalprice", q), 4).alias(n)
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(p(0.25, "q1"), p(0.5, "med"), p(0.75, "q3"))
+    """Exact quartiles from ranks; no group is held in one buffer."""
+    q = ordering.exact_quantiles(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", [0.25, 0.5, 0.75])
+    pick = lambda s, n: F.round(F.max(F.when(F.col("share") == s, F.col("value"))), 4).alias(n)
+    return q.groupBy("o_orderpriority").agg(pick(0.25, "q1"), pick(0.5, "med"), pick(0.75, "q3"))
 
 
 @query("WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) SELECT least(20, floor((l_extendedprice - lo) / ((hi - lo) / 20)) + 1)::INT AS bin, count(*) AS n FROM lineitem, e GROUP BY 1")
@@ -673,7 +467,7 @@ def argmax_group(spark: SparkSession, d: str) -> DataFrame:
     SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM u)"""
 )
 def top_n_union_semi(spark: SparkSession, d: str) -> DataFrame:
-    """Customers in the top 50 by order value or by balance."""
+    """Customers in the top 50 by order value or by balance."""
     c = table(spark, d, "customer")
     a = table(spark, d, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(50).select(F.col("o_custkey").alias("c_custkey"))
     b = c.orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(50).select("c_custkey")
@@ -711,23 +505,54 @@ def reply_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "case_results").select("config", "case_id", "loaded_at", parse.triage_exact(F.col("response")).alias("exact"), parse.triage_spaced(F.col("response")).alias("spaced"))
 
 
-@query()
+def _named_sql(labels_: list[str], end: str) -> str:
+    found = [f"nullif(regexp_replace(regexp_extract(response, '(?is){x}:\\s*(.+?){end}', 1), '^\\s+|\\s+$', '', 'g'), '')" for x in labels_]
+    return ", ".join(found)
+
+
+def _lines_sql(marks: list[str]) -> str:
+    return f"list_transform(list_filter(string_split(response, chr(10)), lambda x: regexp_matches(lower(x), '{'|'.join(marks)}')), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
+
+
+@query(
+    f"""SELECT config, case_id, loaded_at, coalesce({_named_sql(parse.STEP_LABELS, parse.STEP_END)}, nullif({_lines_sql(parse.STEP_MARKS)}[1], ''), left(response, 200)) AS next_step,
+    coalesce({_named_sql(parse.REASON_LABELS, parse.REASON_END)}, nullif(array_to_string({_lines_sql(parse.REASON_MARKS)}, ' '), ''), left(response, 200)) AS reasoning,
+    coalesce(try_cast(nullif(regexp_extract(response, 'Quality Score:\\s*(\\d+(?:\\.\\d+)?)/100', 1), '') AS DOUBLE), 50.0) AS score,
+    coalesce(nullif(regexp_replace(regexp_extract(response, '(?s)Quality (?:Score )?Rationale:\\s*(.+?)(?:\\n\\n|\\*\\*|$)', 1), '^\\s+|\\s+$', '', 'g'), ''), 'Could not parse evaluation response') AS rationale FROM case_results"""
+)
 def reply_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Next step, reasoning and score read from each reply (tested on fixtures)."""
+    """Next step, reasoning, score and rationale read from each reply."""
     r = F.col("response")
-    return table(spark, d, "case_results").select("config", "case_id", "loaded_at", parse.next_step(r).alias("next_step"), parse.reasoning(r).alias("reasoning"), parse.score_of(r, "Quality Score").alias("score"))
+    return table(spark, d, "case_results").select("config", "case_id", "loaded_at", parse.next_step(r).alias("next_step"), parse.reasoning(r).alias("reasoning"), parse.score_of(r, "Quality Score").alias("score"), parse.rationale(r, "Quality Score").alias("rationale"))
+
+
+@query(
+    r"""WITH s AS (SELECT config, case_id, loaded_at, list_transform(string_split_regex(response, '\n\s*'), lambda x: x) AS l FROM case_results)
+    SELECT config, case_id, loaded_at, nullif(trim(regexp_extract(list_filter(l, lambda x: regexp_matches(x, '(?i)^\s*Next Step\s*:'))[1], '(?i)^\s*Next Step\s*:\s*(.*)$', 1)), '') AS next_step FROM s"""
+)
+def reply_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The section under a header of each reply, up to the next header."""
+    return table(spark, d, "case_results").select("config", "case_id", "loaded_at", parse.section(F.col("response"), "Next Step").alias("next_step"))
+
+
+_NAME_SQL = r"""regexp_replace(regexp_replace(source_document, '\.txt$', ''), '(_diagnosis_treatment|_treatment|_diagnosis|_\(overview\)|_overview)$', '')"""
 
 
-@query()
+@query(
+    rf"""WITH a AS (SELECT {_NAME_SQL} AS n FROM chunks), b AS (SELECT CASE WHEN starts_with(n, 'What_is_') AND len(string_split(n, '-')) = 2 THEN string_split(n, '-')[2] ELSE n END AS n FROM a),
+    c AS (SELECT regexp_replace(replace(regexp_replace(n, '^(Overview-)?(Symptoms-)?', ''), '_', ' '), '\s*\([^)]*\)\s*$', '') AS n FROM b), d AS (SELECT lower(trim(regexp_replace(n, '\s+', ' ', 'g'))) AS n FROM c),
+    e AS (SELECT array_to_string(list_transform(regexp_extract_all(n, '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1]) || substr(w, 2)), '') AS condition FROM d)
+    SELECT condition, count(*) AS chunks FROM e WHERE length(condition) > 1 GROUP BY condition"""
+)
 def document_conditions(spark: SparkSession, d: str) -> DataFrame:
-    """Condition names from the documents' file names (tested on fixtures)."""
+    """Condition names from the documents' file names; names of one character are dropped."""
     name = parse.without_native_terms(parse.condition_of_file(F.regexp_replace("source_document", r"\.txt$", "")))
     return table(spark, d, "chunks").select(name.alias("condition")).where(F.length("condition") > 1).groupBy("condition").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query("SELECT chunk_id FROM chunks WHERE contains(lower(text), 'water') ORDER BY chunk_id LIMIT 20")
 def like_search(spark: SparkSession, d: str) -> DataFrame:
-    """Substring fallback search; the limit is its feature."""
+    """Substring fallback search; the limit is its feature."""
     return table(spark, d, "chunks").where(F.contains(F.lower("text"), F.lit("water"))).orderBy("chunk_id").limit(20).select("chunk_id")
 
 
@@ -736,7 +561,7 @@ def like_search(spark: SparkSession, d: str) -> DataFrame:
     v AS (SELECT *, max((acc > 0)::INT) OVER () AS any_valid FROM p) SELECT config, round(acc, 6) AS accuracy, round(sec, 6) AS seconds, coalesce(acc > 0.6 AND sec < 1, false) AS production FROM v WHERE acc > 0 OR any_valid = 0"""
 )
 def production_gate(spark: SparkSession, d: str) -> DataFrame:
-    """valid configurations (all, if none is) with the gate on quality and time."""
+    """valid configurations (all, if none is) with the gate on quality and time."""
     from pyspark.sql import Window as W
 
     ok = F.col("success")
