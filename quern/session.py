@@ -37,15 +37,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where set, else a fresh local one (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` where set; without it a fresh local one, on a local master only (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quern-", dir=os.environ.get("TMPDIR"))
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+_stages: list[str] = []
+
+
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut the lineage of ``df`` by writing it to the shared folder and reading it again.
 
@@ -54,15 +59,27 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`written` that nothing will read again."""
-    spark = df.sparkSession
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(root)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all stages that :func:`written` made so far, once no result that reads them is needed any more; returns how many."""
+    n = len(_stages)
+    while _stages:
+        _delete(spark, _stages.pop())
+    return n
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16, how: str = "left") -> DataFrame:

@@ -88,6 +88,21 @@ def links(df: DataFrame, url: str, html: str, same_host: bool = True) -> DataFra
     return df.select(F.explode(F.pandas_udf(run, "array<string>")(F.col(url), F.col(html))).alias("link")).distinct()
 
 
+#: Phrases of navigation and promotion; an element with one of them is left out where asked for.
+SKIP_PHRASES = [
+    "mayo clinic", "request appointment", "find a doctor", "patient portal", "giving to mayo", "contact us", "locations", "careers", "sign up", "newsletter", "book", "advertisement",
+    "privacy policy", "terms", "follow mayo clinic", "get the app", "site map", "manage cookies",
+]
+
+
+def content(els: Column, phrases: list[str] = SKIP_PHRASES, least: int = 10) -> Column:
+    """The elements without navigation: no skip phrase, ``least`` characters or more, and of paragraphs and items none with more links than half their words."""
+    said = lambda e: F.lower(e["text"])
+    clean = lambda e: ~F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(said(e), p)) if phrases else F.lit(True)
+    linked = lambda e: e["tag"].isin("p", "li") & (e["links"] > F.floor(F.size(F.split(e["text"], " ")) / 2))
+    return F.filter(els, lambda e: clean(e) & (F.length(e["text"]) >= least) & ~linked(e))
+
+
 def sectioned(els: Column, least: int = 10) -> Column:
     """Text of a page: each heading that has content as ``--- Heading ---`` before its paragraphs and ``• `` items, parts a blank line apart.
 

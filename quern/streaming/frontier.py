@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 def new_pages(spark: SparkSession, path: str, schema: str, watermark: str = "7 days") -> DataFrame:
     """Stream of the pages whose address is seen for the first time within the watermark; needs ``url`` and ``crawled_at``.
 
-    The state holds addresses only, and those older than the watermark leave it.
+    The state holds addresses only, and those older than the watermark leave it: a page seen again later comes again. Written through
+    :func:`append_missing` with the key ``url`` no page comes twice however late, as the written table is the memory.
     """
     raw = spark.readStream.schema(schema).parquet(path).where("url is not null")
     return raw.withWatermark("crawled_at", watermark).dropDuplicatesWithinWatermark(["url"])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import labels, text
-from quern.operators import analytics, chunking, curate, evaluate, retrieval, sampling
+from quern.operators import analytics, chunking, curate, evaluate, ordering, retrieval, sampling
 
 GOLDEN = [[43, 308, 0, 2], [141, 1348, 2, 13], [18, 100, 0, 0], [0, 0, 0, 0]]
 
@@ -42,10 +42,15 @@ def test_golden_confusion_metrics(spark):
     assert not evaluate.safety_gate(report, []).first()["safe"]
 
 
-def test_bm25_against_a_plain_loop(spark):
-    docs = [("a", "d1", "the red fox the"), ("a", "d2", "the blue whale"), ("a", "d3", "the"), ("a", "d4", None), ("b", "d5", "red red fox"), ("b", "d6", "cat")]
+@pytest.mark.parametrize("grid", [False, True])
+def test_bm25_against_a_plain_loop(spark, monkeypatch, grid):
+    if grid:  # all queries are too many to broadcast: blocks meet in cells
+        monkeypatch.setattr(retrieval, "SMALL_TERMS", 0)
+        monkeypatch.setattr(retrieval, "Q_BLOCK", 1)
+        monkeypatch.setattr(retrieval, "C_BLOCK", 2)
+    docs = [("a", "d1", "the red fox the"), ("a", "d2", "the blue whale"), ("a", "d3", "the"), ("a", "d4", None), ("b", "d5", "red\u00a0red fox"), ("b", "d6", "cat"), (None, "d7", "red")]
     q = [(1, "red fox red"), (2, "the"), (3, ""), (4, None)]
-    got = retrieval.bm25_scores(spark.createDataFrame(q, "q int, t string"), "q", "t", spark.createDataFrame(docs, "p string, d string, t string"), "p", "d", "t")
+    got = retrieval.bm25_topk(spark.createDataFrame(q, "q int, t string"), "q", "t", spark.createDataFrame(docs, "p string, d string, t string"), "p", "d", "t", 10)
     got = {(r["q"], r["d"]): r["score"] for r in got.collect()}
     want = {}
     for part in "ab":
@@ -57,12 +62,15 @@ def test_bm25_against_a_plain_loop(spark):
         for i, t in q:
             for d, ws in own.items():
                 hits = [w for w in (t or "").split() if w in ws]
-                if hits:
-                    want[i, d] = sum(idf[w] * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for w in hits)
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+                score = sum(idf[w] * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for w in hits)
+                if hits and score > 0:
+                    want[i, d] = score
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-8) for k in want)
+    best = retrieval.bm25_topk(spark.createDataFrame(q, "q int, t string"), "q", "t", spark.createDataFrame(docs, "p string, d string, t string"), "p", "d", "t", 1)
+    assert best.groupBy("q", "p").count().where("count > 1").count() == 0
 
 
-def test_knn_blocks_agree_and_break_ties_by_id(spark):
+def test_knn_blocks_agree_and_break_ties_by_id(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(0)
@@ -71,9 +79,86 @@ def test_knn_blocks_agree_and_break_ties_by_id(spark):
     v[9] = [0.0] * 4
     df = spark.createDataFrame([(i, f"s{i % 3}", x) for i, x in enumerate(v)] + [(99, "s0", None)], "id long, s string, v array<double>")
     q = df.where("id % 10 = 0").select(F.col("id").alias("q"), "v")
-    a = retrieval.knn(q, "q", df, "id", "v", 3, "s").toPandas().sort_values(["q", "s", "rank"]).values.tolist()
-    b = retrieval.knn(q, "q", df, "id", "v", 3, "s", q_block=2, c_block=7).toPandas().sort_values(["q", "s", "rank"]).values.tolist()
-    assert a == b and len(a) == 6 * 9 and all(r[0] != r[2] for r in a)
+    rows = lambda: retrieval.knn(q, "q", df, "id", "v", 3, "s").toPandas().sort_values(["q", "s", "rank"]).values.tolist()
+    a = rows()
+    monkeypatch.setattr(retrieval, "Q_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "C_BLOCK", 7)
+    assert a == rows() and len(a) == 6 * 9 and all(r[0] != r[2] for r in a)
+    index = retrieval.vector_index(df, "id", "v", "s")
+    assert index.count() == 60 and abs(index.where("key = 1").select(F.aggregate("vec", F.lit(0.0), lambda x, y: x + y * y)).first()[0] - 1) < 1e-12
+
+
+def test_corpus_is_scanned_once(spark, small):
+    from quern.operators.retrieval import lexical_index
+
+    c = spark.read.parquet(f"{small}/chunks.parquet")
+    index = lexical_index(c.where("source is not null"), "source", "chunk_id", "text")
+    assert not any("chunks.parquet" in f for f in index.inputFiles()) and index.count() > 0
+
+
+def test_fused_searches(spark):
+    x = spark.createDataFrame([(1, "s", "a", 1), (1, "s", "b", 2), (1, "s", "c", 3), (1, "t", "d", 1)], "q int, p string, d string, rank int")
+    y = spark.createDataFrame([(1, "s", "c", 1), (1, "s", "e", 2), (2, "s", "a", 1)], "q int, p string, d string, rank int")
+    pr = spark.createDataFrame([("one", "s", 1), ("one", "t", 0), ("two", "s", 2)], "profile string, p string, quota int")
+    got = sorted((r["q"], r["profile"], r["d"], r["rank"], r["pos"]) for r in retrieval.hybrid_quota(x, y, pr, ["q"], "p", "d", ["profile"]).collect())
+    want = [(1, "one", "a", 1, 1), (1, "two", "c", 1, 1), (1, "two", "a", 2, 2), (2, "one", "a", 1, 1), (2, "two", "a", 1, 1)]  # profile one takes two of each list
+    assert got == sorted(want)
+    fused = spark.createDataFrame([(1, "a", 1, 0.1), (1, "b", 2, 0.9), (1, "c", 3, 0.5), (2, "a", 1, 0.1), (2, "b", 2, 0.9)], "q int, d string, rank int, f double")
+    got = sorted((r["q"], r["rank"], r["d"], r["reranked"]) for r in retrieval.two_stage(fused, ["q"], F.col("f"), "d", 2).collect())
+    assert got == [(1, 1, "b", True), (1, 2, "c", True), (2, 1, "a", False), (2, 2, "b", False)]
+    routes = spark.createDataFrame([(1, "x"), (2, "none")], "q int, kind string")
+    assert [r["d"] for r in retrieval.dispatched({"x": x.select("q", "d"), "y": y.select("q", "d")}, routes, "q", "kind").orderBy("d").collect()] == ["a", "b", "c", "d"]
+
+
+def test_ranks_by_ranges(spark):
+    import random
+
+    rows = [(i, "hot" if i % 3 else None, random.Random(i).randrange(50)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, g string, v int")
+    got = [r["k"] for r in ordering.row_numbers(df, ["-v", "k"]).orderBy("rn").collect()]
+    assert got == [k for k, _, v in sorted(rows, key=lambda r: (-r[2], r[0]))]
+    assert sorted(r["rn"] for r in ordering.row_numbers(df, ["-v", "k"]).collect()) == list(range(1, 501))
+    g = ordering.group_ranks(df, ["g"], ["v", "k"]).collect()
+    for name in ("hot", None):
+        own = sorted((r for r in g if r["g"] == name), key=lambda r: (r["v"], r["k"]))
+        assert [r["_i"] for r in own] == list(range(1, len(own) + 1)) and {r["_n"] for r in own} == {len(own)}
+    import numpy as np
+
+    q = {(r["g"], r["share"]): r["value"] for r in ordering.exact_quantiles(df, "g", "v", [0.25, 0.5]).collect()}
+    assert all(math.isclose(q[name, s], np.quantile([v for _, x, v in rows if x == name], s)) for name in ("hot", None) for s in (0.25, 0.5))
+    assert ordering.row_numbers(df.limit(0), ["k"]).count() == 0
+    b = ordering.batches(df, ["k"], 100).groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in b) == [100] * 5
+    assert analytics.side_by_side_ranks(df, "k", ["v", "k"]).where("k_rank = 1").first()["k"] == 499
+
+
+def test_lookup_and_rules(spark):
+    a = spark.createDataFrame([("Heart_attack",), ("attack heart now",), ("nothing",)], "t string").withColumn("k", F.col("t"))
+    v = spark.createDataFrame([(1, "heart attack"), (2, "Heart-Attack"), (3, "kidney stone")], "r int, n string")
+    assert sorted((r["k"], r["r"], r["how"]) for r in curate.lookup(a, "k", "t", v, "r", "n").collect()) == [("Heart_attack", 1, "exact"), ("attack heart now", 1, "fuzzy")]
+    names = spark.createDataFrame([("Aspirin",), ("CT scan",), ("Pain",), ("Atenolol",), ("ab",), ("12%-34",), ("Gout",), ("children's common health problems topics",), (None,)], "name string")
+    known = spark.createDataFrame([("aspirin",), (None,)], "medication string")
+    got = {r["name"]: r["reason"] for r in curate.vocabulary_reason(names, "name", known).collect()}
+    want = {"Aspirin": "medication", "CT scan": "procedure", "Pain": "generic", "Atenolol": "medication_pattern (.*olol$)", "ab": "too_short", "12%-34": "too_many_special_chars", "Gout": None, None: None}
+    assert {k: got[k] for k in want} == want and got["children's common health problems topics"] == "generic"
+    r = spark.createDataFrame([("c", "x", "ED", "ED", True, 1.0, 0.5, 9, None), ("d", "x", "GP", None, False, 2.0, 0.1, 3, None)], "case_id string, config string, expected_triage string, predicted_triage string, success boolean, inference_time double, rag_time double, context_length int, error string")
+    got = {x["case_id"]: (x["predicted"], x["is_correct"], x["inference_time"], x["error"]) for x in evaluate.case_record(r).collect()}
+    assert got == {"c": ("ED", True, 1.0, None), "d": ("ERROR", False, 0.0, "unknown error")}
+    m = spark.createDataFrame([("a_o0", 1.0), ("a_o50", 3.0), ("b", 1.0)], "m string, v double")
+    assert [tuple(x) for x in analytics.overlap_gain(m, "m", "v").collect()] == [("a", 1.0, 3.0, 2.0)]
+    assert one(spark, {"a": 1, "b": 3}, analytics.map_shares, "map<string,int>") == {"a": 25.0, "b": 75.0}
+
+
+def test_contexts(spark):
+    h = spark.createDataFrame([(1, 2, "s", "b"), (1, 1, "t", "a")], "q int, n int, s string, t string")
+    assert h.groupBy("q").agg(chunking.numbered_context("n", "s", "t").alias("c")).first()["c"] == "[1] (t) a\n[2] (s) b"
+    assert "Context" not in one(spark, "q", lambda c: chunking.prompt(c, F.lit(None).cast("string"))) and one(spark, "q", lambda c: chunking.prompt(c, F.lit("x"))).startswith("Patient query: q\n\nContext:\nx\n\n")
+
+
+def test_long_documents_are_packed_in_time(spark):
+    t = " ".join(f"Sentence number {i} has six words." for i in range(4000))
+    got = chunking.sentence_packs(spark.createDataFrame([(1, t)], "k int, t string"), "k", "t", 60, 2).orderBy("chunk_no").collect()
+    assert got[0]["n_sentences"] == 10 and got[1]["chunk"].startswith("Sentence number 8 ") and got[-1]["chunk"].endswith("number 3999 has six words.")
 
 
 def test_rrf_and_quota(spark):
@@ -112,7 +197,7 @@ def test_chunks_rebuild_the_text(spark):
 
 @pytest.mark.parametrize("n, want", [(1, (1, 0, 0)), (2, (1, 1, 0)), (3, (1, 1, 1)), (4, (2, 1, 1)), (7, (4, 1, 2)), (10, (7, 1, 2))])
 def test_group_split(spark, n, want):
-    df = sampling.split_within_groups(spark.range(n).withColumn("g", F.lit("x")), "g", [F.col("id")])
+    df = sampling.split_within_groups(spark.range(n).withColumn("g", F.lit("x")), "g", ["id"])
     got = {r["part"]: r["count"] for r in df.groupBy("part").count().collect()}
     assert tuple(got.get(p, 0) for p in ("train", "val", "test")) == want
 
@@ -147,7 +232,7 @@ def test_analytics_edges(spark):
 def test_operators_on_empty_tables(spark):
     e = spark.createDataFrame([], "k int, t string, p string")
     assert chunking.fixed_windows(e, "k", "t", 5).count() == 0 and chunking.sentence_packs(e, "k", "t", 5).count() == 0
-    assert retrieval.bm25_scores(e, "k", "t", e.withColumnRenamed("k", "d"), "p", "d", "t").count() == 0
+    assert retrieval.bm25_topk(e, "k", "t", e.withColumnRenamed("k", "d"), "p", "d", "t", 3).count() == 0
     assert evaluate.confusion(e, ["p"], "t", "t").count() == 0
 
 

@@ -43,6 +43,24 @@ def test_labels_and_scores(spark):
     assert one(spark, "a\nbecause of b\nsince c", parse.reasoning) == "because of b since c"
 
 
+STEPS = "Next steps: rest\nand drink\nReasoning: it is mild\nand will pass\nNext steps follow"
+
+
+def test_where_labelled_texts_end(spark):
+    assert one(spark, STEPS, parse.next_step) == "rest"  # a letter of any case on a new line ends a step
+    assert one(spark, STEPS, parse.reasoning) == "it is mild\nand will pass"  # reasoning only ends at the next steps
+    assert one(spark, "next steps: call\n2 times", parse.next_step) == "call\n2 times" and one(spark, None, parse.next_step) is None
+    assert one(spark, "Quality Score: 80/100\nQuality Score Rationale: sound\nand safe\n\nmore", lambda c: parse.rationale(c, "Quality Score")) == "sound\nand safe"
+    assert one(spark, "none", lambda c: parse.rationale(c, "Quality Score")) == "Could not parse evaluation response"
+
+
+def test_other_dialects(spark):
+    parts = lambda m: tuple(one(spark, m, parse.method_parts))
+    assert [parts(m) for m in ("fixed_c512_o100", "sentence_t384_o2", "paragraph_m25", "contextual_sentence", "agent")] == [("fixed", 512, 100), ("sentence", 384, 2), ("paragraph", 25, 0), ("sentence", 1024, 0), ("unknown", 0, 0)]
+    assert tuple(one(spark, "Train loss: 2\nTrain loss: 1\nVal loss: .5\nTest acc: 0.75", parse.training_metrics)) == (1.0, None, None, 0.75)
+    assert one(spark, "high_capacity_safe", lambda c: parse.short_name(c, {"high_capacity": "HC", "_": " "})) == "HC safe"
+
+
 def test_lists_and_logs(spark):
     assert one(spark, "3, 1 and 3", parse.numbers) == [1, 3] and one(spark, " none ", parse.numbers) == [] and one(spark, "", parse.numbers) == []
     assert one(spark, "Train loss: 2.5\nTrain loss: 1.25e-1", lambda c: parse.logged(c, "Train loss")) == 0.125 and one(spark, "x", lambda c: parse.logged(c, "Val loss")) is None
