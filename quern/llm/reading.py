@@ -1,7 +1,7 @@
 """Reading level of documents by harmonic propagation over the document-word graph.
 
 Nodes are documents and hashed words (``BUCKETS`` of them, so a round's word values are a broadcast of bounded size), plus words
-that stand for sentence length. Graded examples, a bounded hash sample of English prose graded by words per sentence and syllables
+that stand for sentence length. Graded examples, a hash sample of English prose graded by words per sentence and syllables
 per word, keep their grade. In each round a word takes the weighted mean of its documents and every other document that of its
 words, rarer words weighing more. A line fitted on the examples, each valued from its words alone, turns values into school grades.
 """
@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from quern.session import written
 
 BUCKETS = 2**16
-EXAMPLES = 20_000
-ROUNDS = 4
+EXAMPLES = 0.2  # share of the English prose whose grades are clamped, by a hash of the key
+TOLERANCE = 0.05  # grades by which a word value changes in the last round, on average over all links
+ROUNDS = 30
 LEAST_WORDS = 40
 EASY, HARD = 5.0, 13.0
-SLACK = 4.0  # a document within so many grades of a band by its propagated level is checked on its own text
+SLACK = 1.5  # grades by which a document's own sentences and syllables may miss the band its propagated level is in
 
 #: Frequent words that tell the languages of the corpus apart.
 ENGLISH = set("the and of to is it in for with your you that are was on as be this can if or not by at from have has will may they when which were an more than but their there do my his her".split())
@@ -171,21 +172,24 @@ def _round(docs: DataFrame, value: np.ndarray | None, weight: np.ndarray) -> tup
     return new, df
 
 
-def reading_levels(df: DataFrame, key: str = "doc_id", text: str = "text", examples: int = EXAMPLES, rounds: int = ROUNDS) -> DataFrame:
+def reading_levels(df: DataFrame, key: str = "doc_id", text: str = "text", examples: float = EXAMPLES, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """``<key>, level, grade, n_words, prose`` of every document; ``level`` is the propagated school grade.
 
-    ``grade`` is that of the text's own sentences and syllables. Documents without words have null level and grade; with no graded
-    example every level is null. Repeated documents are graded alike.
+    ``grade`` is that of the text's own sentences and syllables. A share ``examples`` of the prose is clamped, whatever the size of the
+    corpus; rounds end when word values move by less than ``tolerance`` (at most ``rounds``). Documents without words have null level
+    and grade; with no graded example every level is null. Repeated documents are graded alike.
     """
     docs = readings(df, key, text)
     docs = written(docs.withColumn("_pick", F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000))), "readings")
-    n = docs.where(f"prose and n_words >= {LEAST_WORDS}").count()
-    share = int(1_000_000 * min(0.5, examples / max(1, n)))
-    docs = docs.withColumn("example", F.col("prose") & (F.col("n_words") >= LEAST_WORDS) & (F.col("_pick") < share))
+    docs = docs.withColumn("example", F.col("prose") & (F.col("n_words") >= LEAST_WORDS) & (F.col("_pick") < int(1_000_000 * examples)))
     value, weight = None, np.ones(BUCKETS)
     for _ in range(rounds):
+        old = value
         value, seen = _round(docs, value, weight)
         weight = 1.0 / np.sqrt(np.maximum(seen, 1.0))
+        known = ~np.isnan(value)
+        if not known.any() or old is not None and np.average(np.abs(np.nan_to_num(old, nan=np.inf) - value)[known], weights=seen[known]) < tolerance:
+            break
     shipped = df.sparkSession.sparkContext.broadcast((value, weight))
 
     def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +209,10 @@ def reading_levels(df: DataFrame, key: str = "doc_id", text: str = "text", examp
 
 
 def bands(levels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``<key>, band``: English prose of ``LEAST_WORDS`` words or more that is ``easy`` or ``hard``.
+    """``<key>, band``: English prose of ``LEAST_WORDS`` words or more that is ``easy`` or ``hard`` by its propagated level.
 
-    A document is put forward by its propagated level and confirmed by its own grade.
+    A document whose own grade is more than ``SLACK`` outside the band has no band.
     """
     p = levels.where((F.col("n_words") >= LEAST_WORDS) & F.col("prose"))
-    band = F.when((F.col("level") <= EASY + SLACK) & (F.col("grade") <= EASY), "easy").when((F.col("level") >= HARD - SLACK) & (F.col("grade") >= HARD), "hard")
+    band = F.when((F.col("level") <= EASY) & (F.col("grade") <= EASY + SLACK), "easy").when((F.col("level") >= HARD) & (F.col("grade") >= HARD - SLACK), "hard")
     return p.select(key, band.alias("band")).where("band is not null")
