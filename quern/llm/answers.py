@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import plain
-from quern.session import written
+from quern.session import salted_lookup, written
 
 FIT_DOCS = 2_000
 BUCKETS = 2**15
@@ -102,11 +102,10 @@ def language_model(docs: DataFrame, text: str, lang: str) -> tuple[list[str], np
             at = np.nonzero(s)[0]
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(s[at])], names=["lang", "bucket", "n"])
 
-    counts = d.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    counts = d.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS rows at most, as Arrow
     names = sorted(n)
     m = np.full((len(names), BUCKETS), 0.5)
-    for r in counts:
-        m[names.index(r["lang"]), r["bucket"]] += r["n"]
+    m[np.searchsorted(names, counts["lang"].to_numpy(str)), counts["bucket"].to_numpy(np.int64)] += counts["n"].to_numpy(np.int64)
     return names, np.log(m / m.sum(1, keepdims=True)).astype(np.float32)
 
 
@@ -210,7 +209,7 @@ def cut_off(open_: DataFrame, counts: DataFrame) -> DataFrame:
     for c in ("_one", "_two", "_all"):
         own = t.select(F.col(c).alias("gram")).where("gram is not null").distinct()
         got = counts.join(own, "gram", "left_semi").select(F.col("gram").alias(c), F.col("ends").alias(f"{c}_e"), F.col("goes_on").alias(f"{c}_g"))
-        t = t.join(got, c, "left").fillna(0, [f"{c}_e", f"{c}_g"])
+        t = salted_lookup(t, got, c, "_id").fillna(0, [f"{c}_e", f"{c}_g"])  # one last word may close a third of the texts
     rare = t.where(F.col("_one_e") + F.col("_one_g") < SEEN).select("_one").distinct()
     known = counts.where((F.col("ends") + F.col("goes_on") >= SEEN) & ~F.col("gram").contains(" ") & (F.length("gram") > 1))
     starts = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda i: F.substring("gram", F.lit(1), i))).alias("_one")).distinct()
