@@ -26,17 +26,21 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def sentence_packs(df: DataFrame, key: str, text: str, budget: int, overlap: int = 0) -> DataFrame:
-    """``key, chunk_no, chunk, n_sentences``: sentences packed in order up to ``budget`` words, each chunk starting with the last ``overlap`` sentences of the one before.
+def sentence_lengths(c: Column) -> Column:
+    """Number of words of each sentence."""
+    return F.transform(sentences(c), lambda s: F.size(F.split(s, r"\s+")))
+
+
+def packed(lengths: Column, budget: Column, overlap: Column) -> Column:
+    """Packs of sentences in order as an array of ``first, last`` (from 0) and ``words``: up to ``budget`` words, each starting with the last ``overlap`` sentences of the one before.
 
-    A sentence beyond the budget is a chunk of its own (after the overlap). Packing is a fold over the numbers of words of a
-    document's sentences that keeps only where each chunk starts and ends; the sentences are sliced out once, at the end.
+    A sentence beyond the budget is a pack of its own (after the overlap). A fold over the numbers of words keeps only where packs start
+    and end.
     """
     kind = "struct<first:int,last:int,words:int>"
-    t = df.where(F.col(text).isNotNull()).select(key, sentences(F.col(text)).alias("_s"))
-    t = t.withColumn("_w", F.transform("_s", lambda s: F.size(F.split(s, r"\s+"))))
+    state = f"struct<done:array<{kind}>,now:{kind},i:int>"
     start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("now"), F.lit(0).alias("i"))
-    words_of = lambda first, i: F.aggregate(F.slice(F.col("_w"), first + 1, i - first + 1), F.lit(0), lambda a, x: a + x)
+    words_of = lambda first, i: F.aggregate(F.slice(lengths, first + 1, i - first + 1), F.lit(0), lambda a, x: a + x)
 
     def step(acc: Column, w: Column) -> Column:
         now, i = acc["now"], acc["i"]
@@ -46,10 +50,15 @@ def sentence_packs(df: DataFrame, key: str, text: str, budget: int, overlap: int
         one = F.struct(i.alias("first"), i.alias("last"), w.alias("words"))
         closes = now.isNotNull() & (now["words"] + w > budget)
         done = F.when(closes, F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(now.isNull(), one).when(closes, fresh).otherwise(grown).cast(kind).alias("now"), (i + 1).alias("i")).cast(f"struct<done:array<{kind}>,now:{kind},i:int>")
+        return F.struct(done.alias("done"), F.when(now.isNull(), one).when(closes, fresh).otherwise(grown).cast(kind).alias("now"), (i + 1).alias("i")).cast(state)
 
-    packs = F.aggregate("_w", start.cast(f"struct<done:array<{kind}>,now:{kind},i:int>"), step, lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
-    cut = t.select(key, "_s", F.posexplode(packs).alias("chunk_no", "p"))
+    return F.aggregate(lengths, start.cast(state), step, lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+
+
+def sentence_packs(df: DataFrame, key: str, text: str, budget: int, overlap: int = 0) -> DataFrame:
+    """``key, chunk_no, chunk, n_sentences``: the sentences of each document in packs (:func:`packed`), sliced out once at the end; null text gives none."""
+    t = df.where(F.col(text).isNotNull()).select(key, sentences(F.col(text)).alias("_s"), sentence_lengths(F.col(text)).alias("_w"))
+    cut = t.select(key, "_s", F.posexplode(packed(F.col("_w"), F.lit(budget), F.lit(overlap))).alias("chunk_no", "p"))
     own = F.slice("_s", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + 1)
     return cut.select(key, "chunk_no", F.array_join(own, " ").alias("chunk"), F.size(own).alias("n_sentences"))
 

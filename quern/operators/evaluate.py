@@ -21,6 +21,13 @@ def relevant_by_name(symptom: Column, document: Column) -> Column:
     return F.coalesce(F.contains(doc, name) | ((F.size(kw) > 0) & (hits >= F.least(F.lit(2), F.size(kw)))), F.lit(False))
 
 
+def relevant_by_keywords(symptom: Column, document: Column) -> Column:
+    """Whether the raw document name holds two of the key words of the expected one (all, if it has fewer)."""
+    kw = keywords(strip_case(symptom))
+    hits = F.size(F.filter(kw, lambda k: F.contains(F.lower(document), k)))
+    return F.coalesce((F.size(kw) > 0) & (hits >= F.least(F.lit(2), F.size(kw))), F.lit(False))
+
+
 #: Conditions whose documents go by other names.
 SYNONYMS = {
     "abdominal_aortic_aneurysm": ["aortic", "aneurysm"],

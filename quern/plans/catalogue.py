@@ -302,12 +302,12 @@ def name_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, regexp_replace(lower(source), '[\s _\-]+', '', 'g') AS src, length(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS n FROM documents WHERE doc_type IS NOT NULL AND source IS NOT NULL)
+    r"""WITH t AS (SELECT doc_id, regexp_replace(lower(source), '[\s _\-]+', '', 'g') AS src, length(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS n FROM documents WHERE source IS NOT NULL)
     SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY src ORDER BY doc_id) AS rank FROM t WHERE n >= 60) WHERE rank <= 200"""
 )
 def mobile_pack(spark: SparkSession, d: str) -> DataFrame:
-    """The first 200 documents of 60 cleaned characters or more of each source that types its documents."""
-    t = table(spark, d, "documents").where("doc_type is not null and source is not null").select("doc_id", source_key(F.col("source")).alias("src"), F.length(squeeze(F.col("text"))).alias("n"))
+    """The first 200 documents of 60 cleaned characters or more of each source."""
+    t = table(spark, d, "documents").where("source is not null").select("doc_id", source_key(F.col("source")).alias("src"), F.length(squeeze(F.col("text"))).alias("n"))
     return curate.first_n(t.where("n >= 60"), ["src"], [F.col("doc_id")], 200).select("doc_id", "rank")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import labels, parse
 from quern.functions.text import source_key, strip_case
-from quern.operators import analytics, curate, evaluate, ordering
+from quern.operators import analytics, chunking, curate, evaluate, ordering
 from quern.plans.registry import query, r6
 from quern.plans.search import SRC
 from quern.session import table
@@ -185,6 +185,39 @@ def load_delays(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(F.date_format(made, "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("dialogues"), F.round(F.min(hours), 3).alias("least_hours"), F.round(F.max(hours), 3).alias("most_hours"))
 
 
+@query(
+    """SELECT config, count(*) AS hits, count(c.chunk_id) AS with_chunk, round(avg(coalesce(h.score, 0)), 6) AS mean_score, round(stddev_pop(coalesce(h.score, 0)), 6) AS pop_std, min(h.score) AS least, max(h.score) AS most
+    FROM hits h LEFT JOIN chunks c ON c.chunk_id = h.chunk_id GROUP BY config"""
+)
+def judge_join_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Q18, Q22: hits left-joined to their chunks with default fill, population deviation."""
+    c = table(spark, d, "chunks").select("chunk_id", F.lit(1).alias("has"))
+    s = F.coalesce("score", F.lit(0.0))
+    return table(spark, d, "hits").join(c, "chunk_id", "left").groupBy("config").agg(
+        F.count(F.lit(1)).alias("hits"), F.count("has").alias("with_chunk"), r6(F.avg(s)).alias("mean_score"), r6(F.stddev_pop(s)).alias("pop_std"), F.min("score").alias("least"), F.max("score").alias("most")
+    )
+
+
+_STEM = r"regexp_replace(symptom, '\s*\(Case\s+\d+\)$', '')"
+_WORDS = f"list_filter(string_split_regex(lower(replace({_STEM}, '_', ' ')), '\\s+'), lambda x: len(x) > 2 AND x NOT IN ('the', 'and', 'for', 'with'))"
+_OTHER = " ".join(f"WHEN contains(s, '{c}') THEN {' OR '.join(f"contains(d, '{n}')" for n in names)}" for c, names in evaluate.SYNONYMS.items())
+
+
+@query(
+    rf"""WITH x AS (SELECT config, lower({_STEM}) AS s, lower(source_document) AS d, {_WORDS} AS kw FROM hits LEFT JOIN (SELECT 'case-' || dialogue_id AS case_id, symptom FROM dialogues) USING (case_id) LEFT JOIN (SELECT chunk_id, source_document FROM chunks) USING (chunk_id))
+    SELECT config, count(*) AS hits, count(*) FILTER (contains(lower(replace(d, '_', ' ')), lower(replace(s, '_', ' '))) OR (len(kw) > 0 AND len(list_filter(kw, lambda k: contains(lower(replace(d, '_', ' ')), k))) >= least(2, len(kw)))) AS by_name,
+    count(*) FILTER (len(kw) > 0 AND len(list_filter(kw, lambda k: contains(d, k))) >= least(2, len(kw))) AS by_keywords, count(*) FILTER (CASE WHEN contains(d, s) THEN true {_OTHER} ELSE false END) AS by_synonym FROM x GROUP BY config"""
+)
+def relevance_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Hits that are relevant by each of the three rules: name or key words, key words in the raw name, synonyms."""
+    cases = table(spark, d, "dialogues").select(F.concat(F.lit("case-"), "dialogue_id").alias("case_id"), "symptom")
+    h = table(spark, d, "hits").join(cases, "case_id", "left").join(table(spark, d, "chunks").select("chunk_id", "source_document"), "chunk_id", "left")
+    s, doc = F.col("symptom"), F.col("source_document")
+    return h.groupBy("config").agg(
+        F.count(F.lit(1)).alias("hits"), F.count_if(evaluate.relevant_by_name(s, doc)).alias("by_name"), F.count_if(evaluate.relevant_by_keywords(s, doc)).alias("by_keywords"), F.count_if(evaluate.relevant_by_synonym(s, doc)).alias("by_synonym")
+    )
+
+
 # ------------------------------------------------------------------------------------------------------------- names and lists
 _DRUGS = r"dr AS (SELECT DISTINCT lower(m) AS m FROM (SELECT unnest(regexp_extract_all(text, 'mg of ([A-Z][a-z]+)', 1)) AS m FROM documents))"
 
@@ -196,7 +229,7 @@ _DRUGS = r"dr AS (SELECT DISTINCT lower(m) AS m FROM (SELECT unnest(regexp_extra
     WHEN lower(name) IN ({", ".join("'" + x.replace("'", "''") + "'" for x in curate.GENERIC)}) THEN 'generic' {" ".join(f"WHEN regexp_matches(lower(name), '^.*{e}$') THEN 'medication_pattern (.*{e}$)'" for e in curate.DRUG_ENDINGS)}
     WHEN length(replace(name, ' ', '')) < 3 THEN 'too_short' WHEN length(regexp_replace(name, '[a-zA-Z \t\n\r\f]', '', 'g')) > 0.3 * length(name) THEN 'too_many_special_chars' ELSE 'kept' END AS reason FROM cl"""
 )
-def vocabulary_filter(spark: SparkSession, d: str) -> DataFrame:
+def vocab_filter_chain(spark: SparkSession, d: str) -> DataFrame:
     """Titles and the drugs named in texts, once each whatever their case, cleaned and sent through the ordered rules; the drugs are the vocabulary of medications."""
     docs = table(spark, d, "documents")
     drugs = docs.select(F.explode(F.regexp_extract_all("text", F.lit("mg of ([A-Z][a-z]+)"), 1)).alias("name"))
@@ -309,6 +342,26 @@ def chunk_grid(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("size", "overlap").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.least("size", F.col("n") - F.col("at"))).alias("chars"))
 
 
+PACKS = [(384, 0), (512, 0), (768, 0), (384, 1), (384, 2), (512, 1), (512, 2), (512, 3), (768, 1), (768, 2), (768, 3), (1024, 2), (1024, 3)]  # fixed values: words and overlapping sentences of the packs
+
+
+@query(
+    rf"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(1))),
+    z AS (SELECT unnest({[s for s, _ in PACKS]}) AS size, unnest({[o for _, o in PACKS]}) AS overlap), w AS (SELECT doc_id, size, overlap, list_transform(t, lambda x: len(string_split_regex(x, '[ \t\n\x0B\f\r]+'))) AS w FROM s CROSS JOIN z WHERE len(t) > 0),
+    p AS (SELECT doc_id, size, overlap, 1 AS i, 0 AS no, 1 AS first, w[1] AS n FROM w UNION ALL
+        SELECT p.doc_id, p.size, p.overlap, i + 1, CASE WHEN n + w[i + 1] <= p.size THEN no ELSE no + 1 END, CASE WHEN n + w[i + 1] <= p.size THEN first ELSE greatest(first, i + 1 - p.overlap) END,
+        CASE WHEN n + w[i + 1] <= p.size THEN n + w[i + 1] ELSE list_sum(w[greatest(first, i + 1 - p.overlap):i + 1]) END FROM p JOIN w ON w.doc_id = p.doc_id AND w.size = p.size AND w.overlap = p.overlap WHERE i < len(w)),
+    c AS (SELECT size, overlap, doc_id, no, max(i) - min(first) + 1 AS n FROM p GROUP BY ALL) SELECT size, overlap, count(*) AS chunks, sum(n)::BIGINT AS sentences FROM c GROUP BY ALL"""
+)
+def sentence_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence packs of all documents under each of the thirteen budgets and overlaps; texts are split once."""
+    docs = table(spark, d, "documents").where("text is not null").where(~F.contains("text", F.lit("\x01")))
+    grid = F.array(*(F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in PACKS))
+    w = docs.select(chunking.sentence_lengths(F.col("text")).alias("w")).select("w", F.explode(grid).alias("z")).select("w", "z.*")
+    p = w.select("size", "overlap", F.explode(chunking.packed(F.col("w"), F.col("size"), F.col("overlap"))).alias("p"))
+    return p.groupBy("size", "overlap").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.col("p.last") - F.col("p.first") + 1).alias("sentences"))
+
+
 @query(
     """WITH o AS (SELECT strategy, length(text) AS n, source_char_start < lag(source_char_end) OVER (PARTITION BY doc_id, strategy ORDER BY source_char_start, chunk_id) AS over FROM chunks),
     m AS (SELECT strategy || CASE WHEN coalesce(over, false) THEN '_o50' ELSE '_o0' END AS method, n FROM o),

@@ -10,7 +10,7 @@ from quern.functions import labels
 from quern.functions.text import SPACE, source_key
 from quern.operators import chunking, evaluate, retrieval
 from quern.plans.registry import query, r6
-from quern.session import table
+from quern.session import table, written
 
 SRC = r"regexp_replace(lower(source), '[\s _\-]+', '', 'g')"
 BODY = "CASE WHEN coalesce(is_contextual, false) THEN concat_ws(' ', text, contextual_info) ELSE coalesce(text, original_text) END"
@@ -157,25 +157,25 @@ def hit_lists(spark: SparkSession, d: str) -> DataFrame:
 HITS = r"""hl AS (SELECT config, case_id, regexp_replace(lower(source), '[\s _\-]+', '', 'g') AS src, chunk_id, min(rank) AS rank, max(score) AS score FROM hits GROUP BY ALL)"""
 
 
+_CONFIG = r"'^(.*)_(semantic|hybrid|bm25)_(.*)$'"
+
+
 @query(
-    f"""WITH {HITS}, two AS (SELECT config AS c, * FROM hl WHERE config IN (SELECT min(config) FROM hits UNION SELECT max(config) FROM hits)),
-    d AS (SELECT case_id, src, chunk_id, rank AS r FROM two WHERE config = (SELECT min(config) FROM hits)), l AS (SELECT case_id, src, chunk_id, rank AS r FROM two WHERE config = (SELECT max(config) FROM hits)),
-    f AS (SELECT coalesce(d.case_id, l.case_id) AS case_id, coalesce(d.src, l.src) AS src, coalesce(d.chunk_id, l.chunk_id) AS chunk_id,
+    f"""WITH {HITS}, two AS (SELECT regexp_extract(config, {_CONFIG}, 1) AS chunking, regexp_extract(config, {_CONFIG}, 2) AS kind, regexp_extract(config, {_CONFIG}, 3) AS profile, case_id, src, chunk_id, rank FROM hl),
+    d AS (SELECT chunking, profile, case_id, src, chunk_id, rank AS r FROM two WHERE kind = 'semantic'), l AS (SELECT chunking, profile, case_id, src, chunk_id, rank AS r FROM two WHERE kind = 'bm25'),
+    f AS (SELECT coalesce(d.chunking, l.chunking) AS chunking, coalesce(d.profile, l.profile) AS profile, coalesce(d.case_id, l.case_id) AS case_id, coalesce(d.src, l.src) AS src, coalesce(d.chunk_id, l.chunk_id) AS chunk_id,
         coalesce(0.7 / (60 + d.r), 0) + coalesce(0.3 / (60 + l.r), 0) AS fused, 0.7 / (60 + coalesce(d.r, 1000000)) + 0.3 / (60 + coalesce(l.r, 1000000)) AS mobile
-        FROM d FULL JOIN l ON d.case_id = l.case_id AND d.src IS NOT DISTINCT FROM l.src AND d.chunk_id = l.chunk_id)
-    SELECT case_id, src, chunk_id, round(fused, 8) AS fused, round(mobile, 8) AS mobile FROM f"""
+        FROM d FULL JOIN l ON d.chunking = l.chunking AND d.profile = l.profile AND d.case_id = l.case_id AND d.src IS NOT DISTINCT FROM l.src AND d.chunk_id = l.chunk_id)
+    SELECT chunking, profile, case_id, src, chunk_id, round(fused, 8) AS fused, round(mobile, 8) AS mobile FROM f"""
 )
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Reciprocal-rank fusion of the hits of two configurations, with and without a term for missing ranks."""
-    h = hit_lists(spark, d)
-    ends = F.broadcast(table(spark, d, "hits").agg(F.min("config").alias("_lo"), F.max("config").alias("_hi")))
-    h = h.join(ends, (F.col("config") == F.col("_lo")) | (F.col("config") == F.col("_hi")))
-    dense, lexical = h.where("config = _lo"), h.where("config = _hi")
-    by = ["case_id", "src"]
-    fused = retrieval.rrf([(dense, 0.7), (lexical, 0.3)], by, "chunk_id").withColumnRenamed("score", "fused")
-    mobile = retrieval.rrf([(dense, 0.7), (lexical, 0.3)], by, "chunk_id", missing_rank=1_000_000).withColumnRenamed("score", "mobile")
-    same = (fused.case_id == mobile.case_id) & fused.src.eqNullSafe(mobile.src) & (fused.chunk_id == mobile.chunk_id)
-    return fused.join(mobile, same).select(fused.case_id, fused.src, fused.chunk_id, F.round("fused", 8).alias("fused"), F.round("mobile", 8).alias("mobile"))
+    """Reciprocal-rank fusion of the vector and the BM25 hits of each chunking and profile, with and without a term for missing ranks."""
+    parts = [F.regexp_extract("config", r"^(.*)_(semantic|hybrid|bm25)_(.*)$", i).alias(n) for i, n in ((1, "chunking"), (2, "kind"), (3, "profile"))]
+    h = hit_lists(spark, d).select(*parts, "case_id", "src", "chunk_id", "rank")
+    by = ["chunking", "profile", "case_id", "src"]
+    lists = [(h.where("kind = 'semantic'"), 0.7), (h.where("kind = 'bm25'"), 0.3)]
+    both = retrieval.rrf(lists, by, "chunk_id", also_missing=1_000_000)
+    return both.select(*by, "chunk_id", F.round("score", 8).alias("fused"), F.round("score_missing", 8).alias("mobile"))
 
 
 @query(
@@ -238,15 +238,15 @@ _STAGES = f"""{_one_sql(30)}, hits_ AS (SELECT o.*, {_SETS}, count(*) OVER (PART
     ts AS (SELECT dialogue_id, chunk_id, n > 10 AS reranked, row_number() OVER (PARTITION BY dialogue_id ORDER BY CASE WHEN n > 10 THEN round({_FEATURE}, 9) ELSE -rank END DESC, chunk_id) AS rank FROM hits_)"""
 
 
-def _two_stage(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    h = _hybrid(spark, d, 3 * k).join(chunks(spark, d, False).drop("src"), "chunk_id").join(cases(spark, d), "dialogue_id")
+def _reranked(spark: SparkSession, d: str, fused: DataFrame, k: int) -> DataFrame:
+    h = fused.join(chunks(spark, d, False).drop("src"), "chunk_id").join(cases(spark, d), "dialogue_id")
     return retrieval.two_stage(h, ["dialogue_id"], retrieval.feature_scores(h, "patient_query", "body"), "chunk_id", k)
 
 
 @query(f"WITH {_ALL}, {_STAGES} SELECT dialogue_id, chunk_id, reranked, rank FROM ts WHERE rank <= 10")
 def two_stage_search(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid search for thirty hits, reranked by features only where more than ten came, cut to ten."""
-    return _two_stage(spark, d).select("dialogue_id", "chunk_id", "reranked", "rank")
+    return _reranked(spark, d, _hybrid(spark, d, 30), 10).select("dialogue_id", "chunk_id", "reranked", "rank")
 
 
 @query(
@@ -258,7 +258,9 @@ def dispatched_search(spark: SparkSession, d: str) -> DataFrame:
     names = ["semantic", "bm25", "hybrid", "contextual"]
     routes = cases(spark, d).select("dialogue_id", F.get(F.array(*map(F.lit, names)), (F.floor(F.col("dialogue_id") / 50) % 4).cast("int")).alias("kind"))
     cut = lambda df: df.where("rank <= 10").select("dialogue_id", "chunk_id", "rank")
-    kinds = {"semantic": _dense(spark, d, 10, False), "bm25": _bm25(spark, d, 10, False), "hybrid": _hybrid(spark, d, 30), "contextual": _two_stage(spark, d)}
+    dense, lexical = written(_dense(spark, d, 60, False), "dense"), written(_bm25(spark, d, 60, False), "lexical")  # each read by several searches
+    fused = retrieval.hybrid(dense, lexical, ["dialogue_id"], "chunk_id", 30)
+    kinds = {"semantic": dense, "bm25": lexical, "hybrid": fused, "contextual": _reranked(spark, d, fused, 10)}
     return retrieval.dispatched({k: cut(v) for k, v in kinds.items()}, routes, "dialogue_id", "kind").select("dialogue_id", "kind", "chunk_id", "rank")
 
 
@@ -309,7 +311,7 @@ _NAMES = r"""nm AS (SELECT dialogue_id, lower(replace(regexp_replace(symptom, '\
 )
 def pass_at_k_by_profile(spark: SparkSession, d: str) -> DataFrame:
     """The grid of retrieval kinds and quota profiles, each judged on all cases."""
-    dense = _dense(spark, d, 20)
+    dense = written(_dense(spark, d, 20), "dense")  # read by both kinds
     p = F.broadcast(_profiles(spark, d).where("quota > 0"))
     pure = dense.join(p, "src").where("rank <= quota").withColumn("pos", F.row_number().over(W.partitionBy("dialogue_id", "suite", "profile").orderBy(F.round("score", 9).desc(), "src", "chunk_id")))
     fused = retrieval.hybrid_quota(dense, _bm25(spark, d, 20), _profiles(spark, d), ["dialogue_id"], "src", "chunk_id", ["suite", "profile"])
