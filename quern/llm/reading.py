@@ -42,6 +42,7 @@ _DECIMAL = re.compile(r"([0-9])\.(?=[0-9])")
 _STOP = re.compile(r"[.!?]+(?=[\s\"'”’)\]]|$)|[\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _VOWELS = re.compile(r"[aeiouyāēīōūáéíóúàèìòùâêîôûäëïöü]+")
+_BULLET = re.compile(r"^[ \t]*[*+#]+ ", re.M)  # marks of list items and headings are no symbols of code
 _SYMBOLS = "{}[]=_\\|<>@#$^~`/*+"
 
 
@@ -109,7 +110,8 @@ class Reader:
         english = sum(counts[w] for w in ENGLISH & counts.keys())
         other = sum(counts[w] for w in OTHER & counts.keys())
         letters = sum(map(operator.mul, map(len, counts), counts.values()))
-        solid = letters >= 0.8 * len("".join(t.split())) and sum(map(t.count, _SYMBOLS)) <= 0.02 * len(t)
+        bare = _BULLET.sub("", t) if "*" in t or "+" in t or "#" in t else t
+        solid = letters >= 0.8 * len("".join(bare.split())) and sum(map(bare.count, _SYMBOLS)) <= 0.02 * len(bare)
         ascii_ = t.isascii() or sum(len(w) * k for w, k in counts.items() if w.isascii()) >= 0.9 * letters
         return grade(n, sentences, syl), n, bool(solid and ascii_ and other <= max(0.06 * n, 0.35 * english)), nodes
 

@@ -99,6 +99,52 @@ def test_splits_keep_entities_together(spark):
     assert splits.assign_splits(groups.limit(0), "k", targets).count() == 0
 
 
+def test_records_that_share_any_column_stay_together(spark):
+    rows = [(1, "auricular oedema", "ann", "x"), (2, "TQ101", None, "y"), (3, None, "ann", "z"), (4, "nothing known", "bob", "z"), (5, "nasal haemorrhage", "eve", None), (6, None, None, None), (7, "", "", ""), (8, None, "bob", "q")]
+    df = spark.createDataFrame(rows, "k int, s string, author string, site string")
+    vocab = spark.createDataFrame(VOCAB, "entity int, name string")
+    got = {r["k"]: r for r in splits.entity_groups(df, "k", "s", vocab, ("author", "site")).collect()}
+    part = lambda *ks: {got[k]["component"] for k in ks}
+    assert len(part(1, 2, 3, 4, 8)) == 1 and len(part(1, 5, 6, 7)) == 4 and got[6]["component"] == "alone:6"
+    assert got[1]["entity"] == 1 and got[8]["entity"] == 1 and got[5]["entity"] == 4 and got[7]["entity"] is None
+    plain = {r["k"]: r for r in splits.entity_groups(df, "k", "s", vocab).collect()}
+    assert plain[1]["component"] == plain[2]["component"] != plain[3]["component"] and plain[4]["entity"] is None
+
+
+def test_many_wrong_words_in_one_name(spark):
+    long = [(9, "alpha bravo carol delta eagle fancy grape hotel"), (10, "alpha bravo carol delta eagle fancy grape house")]
+    df = spark.createDataFrame([(1, "alpho brava caral delto eagla fancu grapo hotal"), (2, "alpho brava caral delto eagla fancu grapo hoxyl")], "k int, s string")
+    got = splits.named_entities(df, "k", "s", spark.createDataFrame(long, "entity int, name string")).collect()
+    assert [(r["k"], r["entity"]) for r in got] == [(1, 9)]
+
+
+def test_very_long_and_odd_texts(spark):
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(5000)]
+    long = [rng.choice(vocab) for _ in range(40_000)]
+    longer = long + rng.choices(vocab, k=8_000)
+    rng.shuffle(longer)
+    other = [f"o{rng.randrange(5000)}" for _ in range(40_000)]
+    odd = ["\ud800 lone", "ＦＵＬＬ width", "e\u0301 combining", "\u200b\ufeff", "١٢٣ digits"]
+    rows = [(1, " ".join(long), "train"), (2, " ".join(longer), "val"), (3, " ".join(other), "test")] + [(10 + i, t.replace("\ud800", "?"), s) for i, t in enumerate(odd) for s in ("train",)] + [(20 + i, t.replace("\ud800", "?"), "val") for i, t in enumerate(odd)]
+    df = spark.createDataFrame([(k, "e", t, s, "clash", "clash") for k, t, s in rows], "k int, e string, t string, split string, class string, ranks string")
+    members, links = overlaps(df)
+    got = {(r["k_a"], r["k_b"]) for r in contamination.overlap_pairs(members, links, "k").collect()}
+    assert got == {(1, 2), *((10 + i, 20 + i) for i in range(5) if i != 3)}
+    members, links = neardup.near_duplicates(df, "k", ["t", "t"])
+    assert {(r["k_a"], r["k_b"]) for r in neardup.duplicate_pairs(members, links, "k").collect()} == got
+
+
+def test_nothing_to_scan(spark):
+    none = spark.createDataFrame([], "k int, e string, t string, split string, source string")
+    one = spark.createDataFrame([(1, "e", "some words here", "val", None), (2, "e", None, "train", "s")], none.schema)
+    for df in (none, one):
+        members, links = overlaps(df)
+        assert contamination.overlap_pairs(members, links, "k").count() == 0
+        report = contamination.overlap_report(df, members, links, "k", "split", "source").collect()
+        assert [(r["split"], r["records"], r["overlapping"], r["pairs"]) for r in report] == ([("val", 1, 0, 0)] if df is one else [])
+
+
 def scanned(e, t):
     """Pairs of numbers that the automaton over ``e`` leaves of ``t``."""
     import numpy as np

@@ -106,6 +106,13 @@ def test_quotas_and_what_is_left_over():
     assert mixing.shard_counts([{"source_key": "a", "docs": 10_000_000}, {"source_key": "b", "docs": 3}]) == {"a": 4096, "b": 1}
 
 
+def test_lists_are_prose_and_code_is_none():
+    r = reading.Reader()
+    items = "\n".join(["* Wash your hands with soap", "* Sit down and rest your leg", "* The bus to the clinic is at ten", "* Drink lots of water at home"] * 4)
+    assert r.read(items)[2] and r.read("Home > Topics\n\n" + items)[2] and r.read(items.replace("* ", "# "))[2]
+    assert not r.read("x = {a[i] * b[j] for i in c} # {d} = [e] * f\n" * 10)[2]
+
+
 def test_mix(spark):
     rows = [(i, ["A one", "a-one", "A_ONE"][i % 3], 10) for i in range(2000)] + [(3000 + i, "b", 10) for i in range(20)] + [(4000, None, 50), (4001, "b", 0)]
     df = spark.createDataFrame(rows, "k int, source string, n_tokens long")
