@@ -389,7 +389,7 @@ def sorted_names(spark: SparkSession, d: str) -> DataFrame:
     return ordering.row_numbers(names, ["name"], "place")
 
 
-@query("SELECT dialogue_id, md5('Query: ' || trim(concat_ws(' ', patient_query, patient_response))) AS text_md5 FROM dialogues WHERE patient_query IS NOT NULL OR patient_response IS NOT NULL")
+@query("SELECT dialogue_id, md5('Query: ' || trim(concat_ws(' ', patient_query, patient_response), ' ')) AS text_md5 FROM dialogues WHERE patient_query IS NOT NULL OR patient_response IS NOT NULL")
 def combined_queries(spark: SparkSession, d: str) -> DataFrame:
     """Query and response of a dialogue as one search text."""
     t = table(spark, d, "dialogues").where("patient_query is not null or patient_response is not null")

@@ -240,7 +240,7 @@ _STAGES = f"""{_one_sql(30)}, hits_ AS (SELECT o.*, {_SETS}, count(*) OVER (PART
 
 def _reranked(spark: SparkSession, d: str, fused: DataFrame, k: int) -> DataFrame:
     h = fused.join(chunks(spark, d, False).drop("src"), "chunk_id").join(cases(spark, d), "dialogue_id")
-    return retrieval.two_stage(h, ["dialogue_id"], retrieval.feature_scores(h, "patient_query", "body"), "chunk_id", k)
+    return retrieval.two_stage(retrieval.with_feature_scores(h, "patient_query", "body"), ["dialogue_id"], F.col("feature_score"), "chunk_id", k)
 
 
 @query(f"WITH {_ALL}, {_STAGES} SELECT dialogue_id, chunk_id, reranked, rank FROM ts WHERE rank <= 10")
@@ -272,7 +272,7 @@ def dispatched_search(spark: SparkSession, d: str) -> DataFrame:
 def feature_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The ten BM25 candidates of each source reranked by token overlap."""
     top = _bm25(spark, d, 10).drop("score", "rank").join(chunks(spark, d), ["src", "chunk_id"]).join(cases(spark, d), "dialogue_id")
-    s = top.select("dialogue_id", "src", "chunk_id", retrieval.feature_scores(top, "patient_query", "body").alias("feature_score"))
+    s = retrieval.with_feature_scores(top, "patient_query", "body").select("dialogue_id", "src", "chunk_id", "feature_score")
     return retrieval.ranked(s, ["dialogue_id"], "chunk_id", 10**9, score="feature_score").withColumn("feature_score", r6("feature_score"))
 
 
