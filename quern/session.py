@@ -82,12 +82,15 @@ def sweep(spark: SparkSession) -> int:
     return n
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16, how: str = "left") -> DataFrame:
-    """Join ``right`` (one row per ``key``) to ``left`` with each key spread over ``salts`` tasks.
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16, how: str = "left", few: int = 50_000) -> DataFrame:
+    """Join ``right`` (one row per ``key``) to ``left``, where one key may hold a third of ``left``. Null keys find nothing.
 
-    One key may hold a third of ``left``: the column ``spread`` (any column that differs between the rows of a key) salts it,
-    and ``right`` is replicated ``salts`` times, so its size should be well under a ``salts``-th of ``left``. Null keys find nothing.
+    Up to ``few`` rows of ``right`` (counted first) are broadcast. Beyond that each key is spread over ``salts`` tasks: the column ``spread``
+    (any column that differs between the rows of a key) salts it, and ``right`` is replicated ``salts`` times, never broadcast. ``few``
+    of 0 spares the count.
     """
+    if few and right.limit(few + 1).count() <= few:
+        return left.join(F.broadcast(right), key, how)
     a = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [key, "_salt"], how).drop("_salt")
+    return a.join(b.hint("merge"), [key, "_salt"], how).drop("_salt")

@@ -159,3 +159,15 @@ def test_shared_folder_is_asked_for(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Away)
+
+
+def test_hot_keys_are_looked_up_both_ways(spark):
+    from quern.session import salted_lookup
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(300)], "i int, k string")
+    right = spark.createDataFrame([("hot", 1), ("k6", 2), (None, 3)], "k string, v int")
+    for how in ("left", "inner"):
+        few, many = (sorted((r["i"], r["v"] or 0) for r in salted_lookup(left, right, "k", "i", how=how, few=n).select("i", "v").collect()) for n in (10, 0))
+        assert few == many and len(few) == (300 if how == "left" else 201)
+    plan = salted_lookup(left, right, "k", "i", few=0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
