@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = salted_lookup(both, least, "u", "v", how="inner")
+    joined = salted_lookup(both, least, "u", "v", how="inner", few=0)
     return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -20,7 +20,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = salted_lookup(down, least, "u", "v", how="inner").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = salted_lookup(down, least, "u", "v", how="inner", few=0).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
