@@ -146,9 +146,16 @@ _CATEGORY = r"""cat AS (SELECT CASE
     FROM (SELECT regexp_replace(trim(regexp_replace(lower(coalesce(final_triage_decision, '')), '[^\p{L}\p{N}&]+', ' ', 'g')), '\b(e|g|a) (d|p|e)\b', '\1\2', 'g') AS t FROM dialogues))"""
 
 
+_NEAR = r"""t AS (SELECT dialogue_id, 1 AS f, patient_query AS x FROM dialogues UNION ALL SELECT dialogue_id, 2, reasoning_decision FROM dialogues),
+    l AS (SELECT dialogue_id, f, CASE WHEN regexp_matches(x, '[\p{L}\p{N}]') THEN regexp_extract_all(lower(x), '[\p{L}\p{N}]+') WHEN regexp_replace(x, '[\p{Z}\s\p{Cf}]+', '', 'g') <> '' THEN [trim(x)] END AS w FROM t),
+    c AS (SELECT dialogue_id, f, w, count(*) AS n FROM (SELECT dialogue_id, f, unnest(w) AS w FROM l) GROUP BY ALL), s AS (SELECT dialogue_id, f, sum(n) AS n FROM c GROUP BY ALL),
+    p AS (SELECT a.dialogue_id AS a, b.dialogue_id AS b, f, sum(least(a.n, b.n)) AS n FROM c a JOIN c b USING (f, w) WHERE a.dialogue_id < b.dialogue_id GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where the whole operator can be said in it; the others are tested against brute force, round trips and held-out rows."""
     return {
+        "p3_found": f"""WITH {_NEAR} SELECT a AS dialogue_id_a, b AS dialogue_id_b FROM p JOIN s x ON x.dialogue_id = a AND x.f = p.f JOIN s y ON y.dialogue_id = b AND y.f = p.f WHERE p.n >= 0.75 * greatest(x.n, y.n) GROUP BY a, b HAVING count(*) = 2""",
         "p5_found": f"""WITH {_CATEGORY}, n AS (SELECT category, count(*) AS n FROM cat GROUP BY category), total AS (SELECT count(*) AS rows_ FROM cat)
             SELECT plan, t.category FROM sample_targets t LEFT JOIN n USING (category) CROSS JOIN total
             WHERE coalesce(n, 0) < greatest(target_share, min_share)::DECIMAL(9, 6) * sample_share::DECIMAL(9, 6) * rows_"""
