@@ -156,6 +156,9 @@ def oracle_sql() -> dict[str, str]:
     """SQL where the whole operator can be said in it; the others are tested against brute force, round trips and held-out rows."""
     return {
         "p3_found": f"""WITH {_NEAR} SELECT a AS dialogue_id_a, b AS dialogue_id_b FROM p JOIN s x ON x.dialogue_id = a AND x.f = p.f JOIN s y ON y.dialogue_id = b AND y.f = p.f WHERE p.n >= 0.75 * greatest(x.n, y.n) GROUP BY a, b HAVING count(*) = 2""",
+        # its cases do not hinge on the tokenizer, so characters stand for tokens
+        "p7_found": r"""WITH d AS (SELECT regexp_replace(lower(source), '[\s _\-]+', '', 'g') AS k, length(coalesce(text, '')) AS n FROM documents), per AS (SELECT k, sum(n) AS n FROM d WHERE k IS NOT NULL GROUP BY k), total AS (SELECT sum(n) AS n FROM d)
+            SELECT mix, t.source FROM (SELECT *, regexp_replace(lower(source), '[\s _\-]+', '', 'g') AS k FROM mix_targets) t LEFT JOIN per USING (k) CROSS JOIN total WHERE max_repeats * coalesce(per.n, 0) < weight * size_share * total.n""",
         "p5_found": f"""WITH {_CATEGORY}, n AS (SELECT category, count(*) AS n FROM cat GROUP BY category), total AS (SELECT count(*) AS rows_ FROM cat)
             SELECT plan, t.category FROM sample_targets t LEFT JOIN n USING (category) CROSS JOIN total
             WHERE coalesce(n, 0) < greatest(target_share, min_share)::DECIMAL(9, 6) * sample_share::DECIMAL(9, 6) * rows_"""
