@@ -404,3 +404,40 @@ def term_postings(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("term", "src").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("postings")).where("df > 1")
 
 
+
+
+@query(
+    r"""SELECT family, size, quantization, config, count(*) AS n FROM (SELECT string_split(m, '-')[1] AS family, regexp_extract(string_split(m, '-')[2], '^[^_]+') AS size, CASE WHEN contains(m, '4bit') THEN '4bit' ELSE '8bit' END AS quantization,
+    m || CASE WHEN p_retailprice > 1000 THEN '_Tuned' ELSE '_Base' END || '_' || CASE WHEN p_size > 25 THEN p_type ELSE 'NoRAG' END AS config FROM (SELECT *, replace(p_brand, '-', '') || '-' || p_size || 'M_' || CASE WHEN p_partkey % 2 = 0 THEN '4bit' ELSE '8bit' END AS m FROM part)) GROUP BY ALL"""
+)
+def model_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of models taken apart, and of configurations put together (names are made of the parts' brands and sizes)."""
+    p = table(spark, d, "part")
+    model = F.concat(F.replace("p_brand", F.lit("-"), F.lit("")), F.lit("-"), F.col("p_size").cast("string"), F.lit("M_"), F.when(F.col("p_partkey") % 2 == 0, "4bit").otherwise("8bit"))
+    name = parse.config_name(F.col("m"), F.col("p_retailprice") > 1000, F.when(F.col("p_size") > 25, F.col("p_type")))
+    return p.withColumn("m", model).select(parse.model_parts(F.col("m")).alias("x"), name.alias("config")).groupBy("x.family", "x.size", "x.quantization", "config").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT config, case_id, rank, h.chunk_id, source_document FROM (SELECT DISTINCT config, case_id, rank, chunk_id FROM hits WHERE rank <= 3) h JOIN chunks c ON c.chunk_id = h.chunk_id")
+def fetched_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of the first three hits fetched by id, each with its rank, so that the order is kept."""
+    top = table(spark, d, "hits").where("rank <= 3").select("config", "case_id", "rank", "chunk_id").distinct()
+    return top.join(table(spark, d, "chunks").select("chunk_id", "source_document"), "chunk_id").select("config", "case_id", "rank", "chunk_id", "source_document")
+
+
+@query(
+    """SELECT field, source, count(*) AS texts, count(DISTINCT md5(t)) AS different FROM (SELECT 'query' AS field, 1 AS o, source, patient_query AS t FROM dialogues UNION ALL SELECT 'question', 2, source, clarifying_question FROM dialogues UNION ALL SELECT 'response', 3, source, patient_response FROM dialogues) WHERE t IS NOT NULL GROUP BY ALL"""
+)
+def united_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text columns of dialogues under each other, repeats kept, counted by field and source."""
+    t = table(spark, d, "dialogues")
+    one = lambda name, c: t.select(F.lit(name).alias("field"), "source", F.col(c).alias("t"))
+    both = one("query", "patient_query").unionByName(one("question", "clarifying_question")).unionByName(one("response", "patient_response"))
+    return both.where("t is not null").groupBy("field", "source").agg(F.count(F.lit(1)).alias("texts"), F.count_distinct(F.md5(F.col("t").cast("binary"))).alias("different"))
+
+
+@query(r"SELECT dialogue_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(patient_query, '\d{1,9}'), lambda x: x::INT))), ',') AS numbers FROM dialogues WHERE patient_query IS NOT NULL AND upper(trim(patient_query, ' ')) <> 'NONE'")
+def number_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct whole numbers of each query, sorted."""
+    t = table(spark, d, "dialogues").where("patient_query is not null and upper(trim(patient_query)) <> 'NONE'")
+    return t.select("dialogue_id", F.array_join(F.transform(parse.numbers(F.col("patient_query")), lambda x: x.cast("string")), ",").alias("numbers"))
