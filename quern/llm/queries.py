@@ -59,7 +59,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.duplicate_groups(*_near(spark, d), "dialogue_id")
+    """One row a dialogue; one without either text is a group of its own."""
+    own = F.col("dialogue_id")
+    g = table(spark, d, "dialogues").select("dialogue_id").join(neardup.duplicate_groups(*_near(spark, d), "dialogue_id"), "dialogue_id", "left")
+    return g.select(own, F.coalesce("rep", own).alias("rep"), F.coalesce("group", own).alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
