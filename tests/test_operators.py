@@ -70,6 +70,73 @@ def test_bm25_against_a_plain_loop(spark, monkeypatch, grid):
     assert best.groupBy("q", "p").count().where("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("drop_zero", [True, False])
+def test_bm25_passes_and_blocks_agree_with_a_plain_loop(spark, monkeypatch, drop_zero):
+    """Parts of many blocks, terms common and rare in them, and equal documents; five passes over the index."""
+    import random
+
+    rnd = random.Random(5)
+    text_of = lambda n: " ".join(rnd.choice(["the", "of", *(f"w{int(rnd.paretovariate(0.6))}" for _ in range(3))]) for _ in range(n))
+    docs = [("big" if i % 4 else "small", f"d{i:03d}", text_of(rnd.randint(1, 12))) for i in range(300)]
+    docs += [("big", f"e{i:03d}", docs[i % 3][2]) for i in range(60)] + [("one", "f", "the w1"), ("bare", "g", None)]
+    q = [(i, text_of(rnd.randint(1, 6))) for i in range(40)]
+    corpus, asked = spark.createDataFrame(docs, "p string, d string, t string"), spark.createDataFrame(q, "q int, t string")
+    monkeypatch.setattr(retrieval, "SMALL_TERMS", sum(len(set(t.split())) for _, t in q) // 5)
+    monkeypatch.setattr(retrieval, "C_BLOCK", 50)
+    monkeypatch.setattr(retrieval, "TILE", 700)
+    got = {(r["q"], r["p"], r["rank"]): (r["d"], r["score"]) for r in retrieval.bm25_topk(asked, "q", "t", corpus, "p", "d", "t", 4, drop_zero=drop_zero).collect()}
+    want = {}
+    for part in ("big", "small", "one"):
+        own = {d: t.split() for p, d, t in docs if p == part}
+        n, avg = len(own), sum(map(len, own.values())) / len(own)
+        idf = {w: math.log(n - k + 0.5) - math.log(k + 0.5) for w in {w for t in own.values() for w in t} if (k := sum(w in t for t in own.values()))}
+        mean = sum(idf.values()) / len(idf)
+        idf = {w: v if v >= 0 else 0.25 * mean for w, v in idf.items()}
+        for i, t in q:
+            scores = {d: sum(idf[w] * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for w in t.split() if w in ws) for d, ws in own.items() if set(ws) & set(t.split())}
+            best = sorted((-round(s, 9), d) for d, s in scores.items() if round(s, 9) > 0 or not drop_zero)[:4]
+            want |= {(i, part, rank): (d, -s) for rank, (s, d) in enumerate(best, 1)}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and math.isclose(got[x][1], want[x][1], abs_tol=2e-9) for x in want)
+
+
+def test_bm25_scores_are_not_rounded(spark):
+    """A score rounded to nine places and then to six can differ from one rounded once."""
+    e = spark.createDataFrame([("a", "d1", "red fox"), ("a", "d2", "cat"), ("a", "d3", "dog")], "p string, d string, t string")
+    q = spark.createDataFrame([(1, "red")], "q int, t string")
+    s = retrieval.bm25_topk(q, "q", "t", e, "p", "d", "t", 1).first()["score"]
+    want = (math.log(2.5) - math.log(1.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / (4 / 3)))
+    assert math.isclose(s, want, rel_tol=1e-14) and s != round(s, 9)
+
+
+def test_tfidf_against_a_plain_loop(spark):
+    """Null texts, a null key, repeated candidates and query rows, no shared term; with and without the cut to the commonest terms."""
+    cands = [(1, "a", "Red fox, the RED hen"), (1, "b", "blue whale x"), (1, "c", None), (1, "a", "fox den"), (1, None, "red hen"), (2, "a", "cat dog"), (2, "b", "dog dog emu"), (3, "a", "cow"), (4, "a", "cow")]
+    asked = [(1, "a red fox"), (2, "dog cat"), (2, "dog cat"), (2, "the dog"), (3, None), (5, "cow")]
+    pairs = spark.createDataFrame(cands, "q int, d string, t string").select("q", "d", retrieval.content_terms(F.col("t")).alias("terms"))
+    queries = spark.createDataFrame(asked, "q int, t string")
+    for most in (5000, 2):
+        got = {(r["q"], r["d"]): r["score"] for r in retrieval.tfidf_scores(pairs, queries, "q", "d", "terms", "t", most).collect()}
+        want = {}
+        for q in (1, 2, 3):
+            own = [t for i, t in asked if i == q]
+            texts = [(d, t) for i, d, t in cands if i == q for _ in own] + [(None, t) for t in set(own)]
+            words = lambda t: [w for w in (t or "").lower().replace(",", " ").split() if len(w) > 1 and w not in retrieval.STOP_WORDS]
+            tf: dict = {}
+            for d, t in texts:
+                for w in words(t):
+                    tf.setdefault(d, {}).setdefault(w, 0)
+                    tf[d][w] += 1
+            terms = {w for x in tf.values() for w in x}
+            kept = sorted(terms, key=lambda w: (-sum(x.get(w, 0) for x in tf.values()), w))[:most]
+            weight = {d: {w: x[w] * (math.log((1 + len(texts)) / (1 + sum(w in y for y in tf.values()))) + 1) for w in kept if w in x} for d, x in tf.items()}
+            norm = {d: math.sqrt(sum(v * v for v in x.values())) for d, x in weight.items()}
+            of_query = weight.get(None, {})
+            for d in {d for d, _ in texts if d} | ({None} if any(i == q and d is None for i, d, _ in cands) else set()):
+                shared = [] if d is None else [w for w in weight.get(d, {}) if w in of_query]
+                want[q, d] = sum(weight[d][w] * of_query[w] for w in shared) / (norm[d] * norm[None]) if shared else 0.0
+        assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-12) for x in want), (got, want)
+
+
 def test_knn_blocks_agree_and_break_ties_by_id(spark, monkeypatch):
     import numpy as np
 

@@ -32,6 +32,19 @@ def test_rank_limits_reach_the_plan(spark, small):
     assert "WindowGroupLimit" in plan
 
 
+def test_tfidf_moves_no_terms_and_copies_no_documents(spark, small, monkeypatch):
+    """Beyond the size of one broadcast too: documents are not dealt to blocks of queries, and terms of candidates are never rows."""
+    from quern.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "SMALL_TERMS", 100)
+    monkeypatch.setattr(retrieval, "C_BLOCK", 20)
+    df = catalogue.queries()["tfidf_rerank"](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "Generate" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+    want = views(small).execute(catalogue.oracle_sql()["tfidf_rerank"]).fetchdf()
+    assert canonical(df.toPandas()) == canonical(want)
+
+
 def test_scans_read_only_what_they_need(spark, small):
     plan = catalogue.queries()["group_means"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in plan and "l_orderkey" not in plan
